@@ -1,9 +1,10 @@
-"""The stored tables: create, read, append what is new, check, cascade."""
+"""The stored tables: read, append what is new, check, cascade."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ _PREFIX = T.StructField("sha_prefix", T.StringType())
 
 @dataclass(frozen=True)
 class TableSet:
-    """The Parquet tables under one base path.
+    """The Parquet tables under one base path; one not yet written reads as empty.
 
     `commits` is laid out by the first `prefix_length` digits of the id: ids
     are uniform, so the folders are even, and a look-up of a few ids reads only
@@ -30,13 +31,6 @@ class TableSet:
     base: str
     prefix_length: int = 2
 
-    def create(self) -> TableSet:
-        """Make every table that is not there yet; stored rows stay."""
-        for name, (schema, layout) in self._specs().items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("ignore").partitionBy(*layout).parquet(self._path(name))
-        return self
-
     def commits(self) -> DataFrame:
         """COMMIT columns and `sha_prefix`."""
         return self._read("commits")
@@ -53,20 +47,21 @@ class TableSet:
     def rejects(self) -> DataFrame:
         return self._read("rejects")
 
-    def append_commits(self, new: DataFrame, unique: bool = False) -> None:
+    def append_commits(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
         """Store commits whose id is not stored; the first write wins.
 
-        `unique` says that `new` holds no id twice, which saves a shuffle.
+        `unique` says that `new` holds no id twice, which saves a shuffle, and
+        `small` that its keys have been found to fit a broadcast.
         """
         if not unique:
             new = first_per_key(new, COMMIT_KEY, commit_order())
-        self._append_absent("commits", new.select(*COMMIT.names), COMMIT_KEY)
+        self._append_absent("commits", new.select(*COMMIT.names), COMMIT_KEY, small)
 
-    def append_embeddings(self, new: DataFrame, unique: bool = False) -> None:
+    def append_embeddings(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
         """Store embeddings whose (sha, model, source) is not stored."""
         if not unique:
             new = first_per_key(new, EMBEDDING_KEY, [F.col("dim"), F.col("vector")])
-        self._append_absent("embeddings", new.select(*EMBEDDING.names), EMBEDDING_KEY)
+        self._append_absent("embeddings", new.select(*EMBEDDING.names), EMBEDDING_KEY, small)
 
     def append_index_docs(self, docs: DataFrame) -> None:
         self._append("index_docs", docs)
@@ -82,10 +77,12 @@ class TableSet:
         """The folder of an id in `commits`."""
         return F.substring(F.col(sha) if isinstance(sha, str) else sha, 1, self.prefix_length)
 
-    def _append_absent(self, name: str, new: DataFrame, keys: list[str]) -> None:
+    def _append_absent(self, name: str, new: DataFrame, keys: list[str], small: bool | None) -> None:
         existing = self._read(name).select(*keys)
         if not existing.isEmpty():
-            new = exclude(new, existing, keys, fits_broadcast(new.select(*keys)))
+            if small is None:
+                small = fits_broadcast(new.select(*keys))
+            new = exclude(new, existing, keys, small)
         self._append(name, new)
 
     def _append(self, name: str, rows: DataFrame) -> None:
@@ -100,7 +97,12 @@ class TableSet:
 
     def _read(self, name: str) -> DataFrame:
         schema, _ = self._specs()[name]
-        return self.spark.read.schema(schema).parquet(self._path(name))
+        try:
+            return self.spark.read.schema(schema).parquet(self._path(name))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _path(self, name: str) -> str:
         return f"{self.base}/{name}"

@@ -36,15 +36,21 @@ def index_commits(
     run: str = "run",
     strict: bool = False,
     concurrency: int | None = None,
+    repair: bool = True,
 ) -> None:
     """Index raw commits into `tables`; running it again changes nothing stored.
 
+    A run starts by repairing the index, as an earlier one may have been cut
+    short; a stream does that once and not for every batch.
+
     Commits that already have a vector of `model` are left out before the
     embedder is called. The checked input and the embedded rows are written once
     each, as both feed several sinks and an embedder need not answer twice the
     same. Tables are written in the order commits, embeddings, index, log.
     `strict` rejects the whole batch of a bad commit instead of the row.
     """
+    if repair:
+        sync_index(tables)
     checked = check_commits(raw)
     if strict:
         checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
@@ -62,10 +68,12 @@ def index_commits(
 
     answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded")
     good = embedded(answered)
-
-    tables.append_commits(good, unique=True)
-    tables.append_embeddings(good, unique=True)
-    sync_index(tables, good.select(*EMBEDDING_KEY))
+    if not good.isEmpty():
+        keys = good.select(*EMBEDDING_KEY)
+        small = fits_broadcast(keys)
+        tables.append_commits(good, unique=True, small=small)
+        tables.append_embeddings(good, unique=True, small=small)
+        sync_index(tables, keys, small)
     tables.write_rejects(
         rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)), run
     )

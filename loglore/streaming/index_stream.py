@@ -30,11 +30,11 @@ def index_stream(
     what is stored. Commits of any date are taken at any time, so there is no
     watermark and no state beyond the tables.
     """
-    sync_index(tables.create())
+    sync_index(tables)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         here = replace(tables, spark=batch.sparkSession)
-        index_commits(batch, here, factory, model, run=f"batch-{batch_id}", concurrency=concurrency)
+        index_commits(batch, here, factory, model, f"batch-{batch_id}", concurrency=concurrency, repair=False)
 
     trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
     return (
