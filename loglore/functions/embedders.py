@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -33,7 +34,18 @@ def model_or_default(model: str) -> str:
 HASHED_DIM = 64
 HASHED_MODEL = f"hashed-words-{HASHED_DIM}"
 
-_SPACE = re.compile(r"\s+", re.ASCII)
+_WORD = re.compile(r"\S+", re.ASCII)
+_REMEMBERED_WORDS = 200_000
+
+
+class _Buckets(dict):
+    """Bucket of every word met so far; the common ones are hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED_WORDS:
+            self.clear()
+        found = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % HASHED_DIM
+        return found
 
 
 def hashed_words(model: str = HASHED_MODEL) -> Embedder:
@@ -43,20 +55,12 @@ def hashed_words(model: str = HASHED_MODEL) -> Embedder:
     first six hex digits of its md5, modulo 64; a vector has length one, or is
     all zero for a text without words. It always answers with its own name.
     """
-    buckets: dict[str, int] = {}
-
-    def bucket(word: str) -> int:
-        found = buckets.get(word)
-        if found is None:
-            if len(buckets) > 200_000:
-                buckets.clear()
-            found = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % HASHED_DIM
-            buckets[word] = found
-        return found
+    buckets = _Buckets()
 
     def one(text: str) -> np.ndarray:
-        words = [bucket(w) for w in _SPACE.split(text.lower()) if w]
-        counts = np.bincount(np.asarray(words, dtype=np.int64), minlength=HASHED_DIM).astype(np.float64)
+        words = Counter(_WORD.findall(text.lower()))
+        at = np.fromiter((buckets[w] for w in words), np.int64, len(words))
+        counts = np.bincount(at, np.fromiter(words.values(), np.float64, len(words)), HASHED_DIM)
         length = np.sqrt((counts * counts).sum())
         return (counts / length if length else counts).astype(np.float32)
 

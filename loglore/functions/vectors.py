@@ -41,9 +41,9 @@ def vector_problem(v: Column) -> Column:
     return (
         F.when(v.isNull(), F.lit("vector is null"))
         .when(F.size(v) == 0, F.lit("vector is empty"))
-        .when(F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit("vector is not finite"))
-        .when(length == float("inf"), F.lit("vector is not finite"))
         .when(length == 0, F.lit("vector is zero"))
+        # NULL, NaN and infinite values all show in the length.
+        .when(~F.coalesce(length < float("inf"), F.lit(False)), F.lit("vector is not finite"))
     )
 
 

@@ -39,12 +39,13 @@ def embed(
 
     Slices follow the rows of a task. With `batch`, the columns that number
     batches beforehand, a slice is exactly one numbered batch. `concurrency`
-    spreads the rows over that many tasks, where the input has too few.
+    spreads the rows of a table scan with fewer splits over that many tasks; a
+    scan with enough of them stays where it is.
     """
     wanted = model_or_default(model)
     if batch:
         df = df.repartition(*([concurrency] if concurrency else []), *batch).sortWithinPartitions(*batch)
-    elif concurrency:
+    elif concurrency and df.rdd.getNumPartitions() < concurrency:
         df = df.repartition(concurrency)
     if batch:
         df = df.withColumn("_batch", F.to_json(F.struct(*batch)))

@@ -10,7 +10,7 @@ from loglore.functions.vectors import norm, vector_problem
 from loglore.operators.sizing import exclude, fits_broadcast, restrict
 from loglore.operators.tables import TableSet
 from loglore.schema import EMBEDDING_KEY, INDEX_DOC
-from loglore.session import materialise
+from loglore.session import materialise, staging
 
 
 def index_docs(embeddings: DataFrame) -> DataFrame:
@@ -47,9 +47,10 @@ def marks(docs: DataFrame) -> DataFrame:
 
 def mark_synced(tables: TableSet, keys: DataFrame) -> None:
     """Mark keys as synced; unknown keys change nothing, a repeat renews the time."""
-    wanted = materialise(keys.select(*EMBEDDING_KEY).distinct(), "marks")
-    stored = tables.embeddings().select(*EMBEDDING_KEY)
-    tables.append_sync_log(marks(restrict(stored, wanted, EMBEDDING_KEY, fits_broadcast(wanted))))
+    with staging(tables.spark) as folder:
+        wanted = materialise(keys.select(*EMBEDDING_KEY).distinct(), "wanted", folder)
+        stored = tables.embeddings().select(*EMBEDDING_KEY)
+        tables.append_sync_log(marks(restrict(stored, wanted, EMBEDDING_KEY, fits_broadcast(wanted))))
 
 
 def sync_index(tables: TableSet, batch: DataFrame | None = None, small: bool | None = None) -> None:
@@ -58,9 +59,9 @@ def sync_index(tables: TableSet, batch: DataFrame | None = None, small: bool | N
     Without `batch` this is the repair at start-up, over the whole table; with
     it, only the keys of that batch are looked at, `small` when they have been
     found to fit a broadcast. Keys are compared first, and vectors are read for
-    the missing ones alone. The index is written before
-    the log, so a crash in between leaves rows unmarked; the next call finds
-    their documents in place and adds only the marks.
+    the missing ones alone. The index is written before the log, so a crash in
+    between leaves rows unmarked; the next call finds their documents in place
+    and adds only the marks.
     """
     stored = tables.embeddings()
     keys = stored.select(*EMBEDDING_KEY)
@@ -71,10 +72,11 @@ def sync_index(tables: TableSet, batch: DataFrame | None = None, small: bool | N
         asked = batch.select(*EMBEDDING_KEY)
         few = fits_broadcast(asked) if small is None else small
         keys = restrict(keys, asked, EMBEDDING_KEY, few)
-    missing = materialise(exclude(keys, tables.sync_log(), EMBEDDING_KEY, few), "unsynced")
-    if missing.isEmpty():
-        return
-    few = few or fits_broadcast(missing)
-    absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
-    tables.append_index_docs(index_docs(restrict(stored, absent, EMBEDDING_KEY, few)))
-    tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))
+    with staging(tables.spark) as folder:
+        missing = materialise(exclude(keys, tables.sync_log(), EMBEDDING_KEY, few), "unsynced", folder)
+        if missing.isEmpty():
+            return
+        few = few or fits_broadcast(missing)
+        absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
+        tables.append_index_docs(index_docs(restrict(stored, absent, EMBEDDING_KEY, few)))
+        tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))

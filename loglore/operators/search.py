@@ -25,12 +25,15 @@ from loglore.session import materialise, work_path
 
 # Queries up to this number are read in one go; more are staged and cut up.
 FIRST_READ = 4096
-# Tasks per core of a scoring stage; each sends its own k best per query.
-WAVES = 4
+# Best rows a task keeps at once; more queries than that take another pass.
+STATE_ROWS = 1_000_000
 # A task keeps the k best itself up to this k; beyond it, pruning saves nothing.
 MAX_LOCAL_K = 10_000
-# Rows of one query that a single task may number.
-WINDOW_ROWS = 1_000_000
+# Scored rows that may leave a scoring stage, and those of one query.
+SCORED_ROWS = 200_000_000
+WINDOW_ROWS = 5_000_000
+# Scoring tasks per core below which they are not merged further.
+WAVES = 4
 # Entries of one block of scores in a task.
 BLOCK_SCORES = 2_000_000
 
@@ -63,7 +66,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFram
         blocks = _blocks(first)
         if not blocks:
             return _rank(spark.createDataFrame([], SCORED), DEFAULT_K)
-        scored = [_score(spark, index, block, k) for block in blocks]
+        scored = [_score(spark, index, part, k) for block in blocks for part in _passes(block, k)]
         together = scored[0]
         for more in scored[1:]:
             together = together.unionByName(more)
@@ -100,8 +103,7 @@ def best_per_commit(hits: DataFrame) -> DataFrame:
 def _rank(scored: DataFrame, k: int) -> DataFrame:
     columns = ["query_id", "rank", "sha", "source", "similarity"]
     order = [F.col("similarity").desc(), F.col("sha"), F.col("source")]
-    tasks = WAVES * scored.sparkSession.sparkContext.defaultParallelism
-    if k > MAX_LOCAL_K or k * tasks > WINDOW_ROWS:
+    if k > MAX_LOCAL_K or k * WAVES * scored.sparkSession.sparkContext.defaultParallelism > WINDOW_ROWS:
         # So many hits per query must not meet in one task to be numbered.
         ranked = number_rows(scored, ["query_id"], order, "rank")
     else:
@@ -131,9 +133,10 @@ def _score_in_chunks(spark: SparkSession, usable: DataFrame, index: DataFrame, k
         for chunk in range(chunks):
             part = mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toArrow()
             for block in _blocks(part):
-                shared = spark.sparkContext.broadcast(block)
-                _score(spark, index, block, k, shared).write.mode("append").parquet(path)
-                shared.destroy()
+                for one in _passes(block, k):
+                    shared = spark.sparkContext.broadcast(one)
+                    _score(spark, index, one, k, shared).write.mode("append").parquet(path)
+                    shared.destroy()
     return spark.read.schema(SCORED).parquet(path)
 
 
@@ -153,6 +156,15 @@ def _blocks(queries: pa.Table) -> list[QueryBlock]:
     ]
 
 
+def _passes(block: QueryBlock, k: int) -> list[QueryBlock]:
+    """The block cut so that a task's best rows stay within STATE_ROWS."""
+    step = max(1, STATE_ROWS // k) if k <= MAX_LOCAL_K else len(block.ids)
+    return [
+        QueryBlock(block.ids[i : i + step], block.vectors[i : i + step], block.model)
+        for i in range(0, len(block.ids), step)
+    ]
+
+
 def _score(
     spark: SparkSession,
     index: DataFrame,
@@ -160,15 +172,21 @@ def _score(
     k: int,
     shared: Broadcast | None = None,
 ) -> DataFrame:
-    """SCORED rows of one query block: every task's k best per query."""
+    """SCORED rows of one query block: every task's k best per query.
+
+    Each task sends up to queries x k rows, so where the index has very many
+    splits, neighbouring ones are scored by one task to keep the sum bounded.
+    """
     dim = block.vectors.shape[1]
     docs = index.filter((F.col("model") == block.model) & (F.col("dim") == dim)).select(
         "sha", "source", "vector", "norm"
     )
     if shared is None:
         shared = spark.sparkContext.broadcast(block)
-    tasks = WAVES * spark.sparkContext.defaultParallelism
-    return docs.coalesce(tasks).mapInArrow(_scorer(shared, dim, k), SCORED)
+    if k <= MAX_LOCAL_K:
+        tasks = min(SCORED_ROWS // (len(block.ids) * k), WINDOW_ROWS // k)
+        docs = docs.coalesce(max(tasks, WAVES * spark.sparkContext.defaultParallelism))
+    return docs.mapInArrow(_scorer(shared, dim, k), SCORED)
 
 
 def _scorer(
@@ -178,76 +196,139 @@ def _scorer(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw, _ = shared.value
-        queries = raw.astype(np.float64)
-        lengths = np.sqrt(np.cumsum(queries * queries, axis=1)[:, -1])
+        queries = _Side.of(raw)
         best = _Best(len(ids), k) if k <= MAX_LOCAL_K else None
         for batch in batches:
-            for docs in _doc_blocks(batch, dim, len(ids)):
-                for q, d, score in _candidates(queries, lengths, docs, k, best):
+            for docs in _doc_blocks(batch, dim, len(ids), k):
+                for q, d, score in _candidates(queries, docs.side, k, best):
+                    names = docs.names(d)
                     if best is None:
-                        yield _scored_batch(ids, q, docs.sha[d], docs.source[d], score)
+                        yield _scored_batch(ids, q, *names, score)
                     else:
-                        best.add(q, docs.sha[d], docs.source[d], score)
+                        best.add(q, *names, score)
         if best is not None:
             yield from (_scored_batch(ids, *part) for part in best.rows())
 
     return run
 
 
+class _Side(NamedTuple):
+    """Vectors of one side of the product: exact, their lengths, and rough unit form."""
+
+    exact: np.ndarray
+    lengths: np.ndarray
+    rough: np.ndarray
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, lengths: np.ndarray | None = None) -> _Side:
+        exact = vectors.astype(np.float64)
+        if lengths is None:
+            lengths = np.sqrt(np.cumsum(exact * exact, axis=1)[:, -1])
+        return cls(exact, lengths, (exact / lengths[:, None]).astype(np.float32))
+
+
 class _Docs(NamedTuple):
-    sha: np.ndarray
-    source: np.ndarray
-    vectors: np.ndarray
-    norms: np.ndarray
+    sha: pa.Array
+    source: pa.Array
+    side: _Side
+
+    def names(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        taken = pa.array(rows)
+        return _bytes(self.sha.take(taken)), _bytes(self.source.take(taken))
 
 
-def _doc_blocks(batch: pa.RecordBatch, dim: int, n_queries: int) -> Iterator[_Docs]:
+def _doc_blocks(batch: pa.RecordBatch, dim: int, n_queries: int, k: int) -> Iterator[_Docs]:
     """Documents of one Arrow batch, few enough for one block of scores."""
-    step = max(64, BLOCK_SCORES // max(n_queries, 1))
+    step = max(64, BLOCK_SCORES // n_queries)
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
-        vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-        yield _Docs(
-            _bytes(part.column("sha")),
-            _bytes(part.column("source")),
-            vectors.reshape(part.num_rows, dim).astype(np.float64),
-            part.column("norm").to_numpy(zero_copy_only=False),
-        )
+        vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        sha, source = part.column("sha"), part.column("source")
+        norms = part.column("norm").to_numpy(zero_copy_only=False)
+        keep = _without_surplus_copies(vectors, sha, source, k)
+        if keep is not None:
+            taken = pa.array(keep)
+            sha, source, vectors, norms = sha.take(taken), source.take(taken), vectors[keep], norms[keep]
+        yield _Docs(sha, source, _Side.of(vectors, norms))
+
+
+def _without_surplus_copies(
+    vectors: np.ndarray, sha: pa.Array, source: pa.Array, k: int
+) -> np.ndarray | None:
+    """Rows to keep where more than k share one vector, or None to keep all.
+
+    Copies score the same for every query and rank by sha and source, so at
+    most the first k of them can be a hit. Without this, a block full of copies
+    would be all candidates.
+    """
+    if len(vectors) <= k:
+        return None
+    bits = np.ascontiguousarray(vectors).view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(len(bits[0])).integers(1, 2**63, bits.shape[1], dtype=np.uint64) * 2 + 1
+    _, first, group, size = np.unique(
+        (bits * odd).sum(axis=1), return_index=True, return_inverse=True, return_counts=True
+    )
+    if size.max() <= k:
+        return None
+    copies = np.flatnonzero((size[group] > k) & (bits == bits[first[group]]).all(axis=1))
+    taken = pa.array(copies)
+    by_name = np.lexsort((_bytes(source.take(taken)), _bytes(sha.take(taken)), group[copies]))
+    ordered = copies[by_name]
+    drop = ordered[_places(group[ordered]) >= k]
+    return np.setdiff1d(np.arange(len(vectors)), drop, assume_unique=True)
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Place of each row, from 0, in its run of equal neighbours."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))
 
 
 def _bytes(strings: pa.Array) -> np.ndarray:
+    """UTF-8 bytes, which order like Spark strings."""
     return np.array(strings.cast(pa.binary()).to_pylist(), dtype=np.bytes_)
 
 
 def _candidates(
-    queries: np.ndarray, lengths: np.ndarray, docs: _Docs, k: int, best: _Best | None
+    queries: _Side, docs: _Side, k: int, best: _Best | None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, document, similarity) of every pair that may be among the k best.
 
-    A matrix product finds the candidates. Its sums depend on where a row lies
-    in the block, so the pairs that pass, by a margin wider than any such
-    difference, are summed again element by element; only that number counts.
+    A float32 matrix product finds the candidates. It is off by less than the
+    margin, so no hit is missed. The pairs that pass are summed again in DOUBLE,
+    element by element, and only that number counts: it does not depend on
+    where a row lies in a block.
     """
-    dim = queries.shape[1]
-    margin = 8 * dim * np.finfo(np.float64).eps
-    step = max(1, BLOCK_SCORES // len(docs.norms))
-    for start in range(0, len(queries), step):
-        rows = slice(start, start + step)
-        rough = (queries[rows] @ docs.vectors.T) / (lengths[rows, None] * docs.norms[None, :])
+    dim = queries.exact.shape[1]
+    margin = 4 * dim * np.finfo(np.float32).eps
+    step = max(1, BLOCK_SCORES // len(docs.lengths))
+    for start in range(0, len(queries.exact), step):
         if best is None:
-            q, d = np.nonzero(np.ones_like(rough, dtype=bool))
+            shape = (len(queries.exact[start : start + step]), len(docs.exact))
+            q, d = (i.ravel() for i in np.indices(shape))
         else:
-            if rough.shape[1] > k:
-                kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-                best.raise_floor(rows, kth - margin)
-            q, d = np.nonzero(rough >= best.floor[rows, None] - margin)
+            rough = queries.rough[start : start + step] @ docs.rough.T
+            floor = best.floor[start : start + step]
+            q, d = np.nonzero(_passing(rough, floor, k, margin))
         q = q + start
         # Pieces keep the element-wise products of many candidates small.
         piece = max(1, BLOCK_SCORES // dim)
         for at in range(0, len(q), piece):
             qi, di = q[at : at + piece], d[at : at + piece]
-            exact = np.cumsum(queries[qi] * docs.vectors[di], axis=1)[:, -1]
-            yield qi, di, exact / (lengths[qi] * docs.norms[di])
+            exact = np.cumsum(queries.exact[qi] * docs.exact[di], axis=1)[:, -1]
+            yield qi, di, exact / (queries.lengths[qi] * docs.lengths[di])
+
+
+def _passing(rough: np.ndarray, floor: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """Which scores may reach the floor; raises `floor` by the block's own k best."""
+    passing = rough >= (floor - margin)[:, None]
+    many = np.flatnonzero(passing.sum(axis=1) > k)
+    if len(many):
+        at = rough.shape[1] - k
+        kth = np.partition(rough[many], at, axis=1)[:, at]
+        floor[many] = np.maximum(floor[many], kth - margin)
+        passing[many] = rough[many] >= (floor[many] - margin)[:, None]
+    return passing
 
 
 class _Best:
@@ -260,9 +341,6 @@ class _Best:
         self._pending = 0
         self._limit = max(4 * n_queries * k, 50_000)
 
-    def raise_floor(self, rows: slice, floor: np.ndarray) -> None:
-        self.floor[rows] = np.maximum(self.floor[rows], floor)
-
     def add(self, q: np.ndarray, sha: np.ndarray, source: np.ndarray, score: np.ndarray) -> None:
         self._kept.append((q, sha, source, score))
         self._pending += len(q)
@@ -277,15 +355,12 @@ class _Best:
     def _prune(self) -> None:
         q, sha, source, score = (np.concatenate(column) for column in zip(*self._kept))
         order = np.lexsort((source, sha, -score, q))
-        q = q[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        sizes = np.diff(np.r_[starts, len(q)])
-        place = np.arange(len(q)) - np.repeat(starts, sizes)
-        keep = order[place < self.k]
-        self._kept = [(q[place < self.k], sha[keep], source[keep], score[keep])]
-        self._pending = len(keep)
-        last = place == self.k - 1
-        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[order[last]])
+        place = _places(q[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self._kept = [(q[order], sha[order], source[order], score[order])]
+        self._pending = len(order)
+        last = order[place == self.k - 1]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
 
 
 def _scored_batch(
@@ -293,7 +368,7 @@ def _scored_batch(
 ) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[i] for i in q], pa.string()),
+            pa.array(ids, pa.string()).take(pa.array(q)),
             pa.array(sha.tolist(), pa.binary()).cast(pa.string()),
             pa.array(source.tolist(), pa.binary()).cast(pa.string()),
             pa.array(score, pa.float64()),

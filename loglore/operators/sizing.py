@@ -37,14 +37,17 @@ def restrict(big: DataFrame, keys_of: DataFrame, keys: list[str], small: bool) -
     return big.join(F.broadcast(wanted) if small else wanted, keys, "left_semi")
 
 
-def exclude(new: DataFrame, existing: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def exclude(
+    new: DataFrame, existing: DataFrame, keys: list[str], small: bool, asked: DataFrame | None = None
+) -> DataFrame:
     """Rows of `new` whose key is not in `existing`.
 
     For a small `new`, the existing keys are first cut down to those that can
     match, in place, so a large table is never shuffled for a small addition.
-    What remains is a part of the keys of `new`, and as small.
+    What remains is a part of the keys of `new`, and as small. `asked` may stand
+    in for those keys where it is cheaper to read than `new`.
     """
     known = existing.select(*keys)
     if small:
-        known = F.broadcast(restrict(known, new, keys, small=True).distinct())
+        known = F.broadcast(restrict(known, new if asked is None else asked, keys, small=True).distinct())
     return new.join(known, keys, "left_anti")

@@ -53,15 +53,12 @@ class TableSet:
         `unique` says that `new` holds no id twice, which saves a shuffle, and
         `small` that its keys have been found to fit a broadcast.
         """
-        if not unique:
-            new = first_per_key(new, COMMIT_KEY, commit_order())
-        self._append_absent("commits", new.select(*COMMIT.names), COMMIT_KEY, small)
+        self._append_absent("commits", new, COMMIT_KEY, None if unique else commit_order(), small)
 
     def append_embeddings(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
         """Store embeddings whose (sha, model, source) is not stored."""
-        if not unique:
-            new = first_per_key(new, EMBEDDING_KEY, [F.col("dim"), F.col("vector")])
-        self._append_absent("embeddings", new.select(*EMBEDDING.names), EMBEDDING_KEY, small)
+        order = [F.col("dim"), F.col("vector")]
+        self._append_absent("embeddings", new, EMBEDDING_KEY, None if unique else order, small)
 
     def append_index_docs(self, docs: DataFrame) -> None:
         self._append("index_docs", docs)
@@ -77,13 +74,15 @@ class TableSet:
         """The folder of an id in `commits`."""
         return F.substring(F.col(sha) if isinstance(sha, str) else sha, 1, self.prefix_length)
 
-    def _append_absent(self, name: str, new: DataFrame, keys: list[str], small: bool | None) -> None:
+    def _append_absent(
+        self, name: str, new: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None
+    ) -> None:
+        asked = new.select(*keys)
+        rows = first_per_key(new, keys, order) if order else new
         existing = self._read(name).select(*keys)
         if not existing.isEmpty():
-            if small is None:
-                small = fits_broadcast(new.select(*keys))
-            new = exclude(new, existing, keys, small)
-        self._append(name, new)
+            rows = exclude(rows, existing, keys, fits_broadcast(asked) if small is None else small, asked)
+        self._append(name, rows)
 
     def _append(self, name: str, rows: DataFrame) -> None:
         schema, layout = self._specs()[name]

@@ -20,7 +20,7 @@ from loglore.operators.number import with_batch_no
 from loglore.operators.sizing import exclude, fits_broadcast
 from loglore.operators.tables import TableSet
 from loglore.schema import COMMIT_KEY, EMBEDDING_KEY, SOURCE_MESSAGE
-from loglore.session import materialise
+from loglore.session import materialise, staging
 
 
 def arrival_order() -> list[Column]:
@@ -51,29 +51,29 @@ def index_commits(
     """
     if repair:
         sync_index(tables)
-    checked = check_commits(raw)
-    if strict:
-        checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
-    checked = materialise(checked, "checked")
+    with staging(raw.sparkSession) as folder:
+        checked = check_commits(raw)
+        if strict:
+            checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
+        checked = materialise(checked, "checked", folder)
+        todo = first_per_key(good_commits(checked), COMMIT_KEY, commit_order())
+        known = (
+            tables.embeddings()
+            .filter((F.col("model") == model_or_default(model)) & (F.col("source") == SOURCE_MESSAGE))
+            .select(*COMMIT_KEY)
+        )
+        if not known.isEmpty():
+            asked = checked.select(*COMMIT_KEY)
+            todo = exclude(todo, known, COMMIT_KEY, fits_broadcast(asked), asked)
 
-    todo = first_per_key(good_commits(checked), COMMIT_KEY, commit_order())
-    known = (
-        tables.embeddings()
-        .filter((F.col("model") == model_or_default(model)) & (F.col("source") == SOURCE_MESSAGE))
-        .select(*COMMIT_KEY)
-    )
-    if not known.isEmpty():
-        small = fits_broadcast(checked.select(*COMMIT_KEY))
-        todo = exclude(todo, known, COMMIT_KEY, small)
-
-    answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded")
-    good = embedded(answered)
-    if not good.isEmpty():
-        keys = good.select(*EMBEDDING_KEY)
-        small = fits_broadcast(keys)
-        tables.append_commits(good, unique=True, small=small)
-        tables.append_embeddings(good, unique=True, small=small)
-        sync_index(tables, keys, small)
-    tables.write_rejects(
-        rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)), run
-    )
+        answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded", folder)
+        good = embedded(answered)
+        if not good.isEmpty():
+            keys = good.select(*EMBEDDING_KEY)
+            small = fits_broadcast(keys)
+            tables.append_commits(good, unique=True, small=small)
+            tables.append_embeddings(good, unique=True, small=small)
+            sync_index(tables, keys, small)
+        tables.write_rejects(
+            rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)), run
+        )

@@ -200,7 +200,7 @@ WITH {_VECTORS}
 SELECT sha || '|fixture-64|message' AS doc_id,
        CASE WHEN label NOT IN (5, 6) THEN CAST(len(embedding) AS INTEGER) END AS dim,
        CASE WHEN label NOT IN (5, 6)
-            THEN round(v[1] / sqrt(list_inner_product(v, v)), 4) END AS first_unit,
+            THEN round(v[1] / sqrt(list_inner_product(v, v)), 4) + 0.0 END AS first_unit,
        CASE WHEN label NOT IN (5, 6) THEN 1.0 END::DOUBLE AS unit_length,
        CASE label WHEN 5 THEN 'vector is zero' WHEN 6 THEN 'vector is empty' ELSE 'synced' END AS outcome
 FROM vectors""",

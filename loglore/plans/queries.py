@@ -401,7 +401,6 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         hashed_words,
         work_path(spark, "stream-checkpoint"),
         HASHED_MODEL,
-        concurrency=spark.sparkContext.defaultParallelism,
     )
     running.awaitTermination()
     return _stored(tables)
@@ -427,11 +426,10 @@ def index_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _spoilt(spark, sf_dir)
     turns = raw_from_conversations(table(spark, sf_dir, "conversations"))
     tables = _tables(spark, "again")
-    cores = spark.sparkContext.defaultParallelism
     steps = [("first", raw), ("same again", raw), ("empty", raw.limit(0)), ("more", raw.unionByName(turns))]
     counts = []
     for name, feed in steps:
-        index_commits(feed, tables, hashed_words, HASHED_MODEL, run=name.replace(" ", "-"), concurrency=cores)
+        index_commits(feed, tables, hashed_words, HASHED_MODEL, run=name.replace(" ", "-"))
         for what, rows in (
             ("commits", tables.commits()),
             ("embeddings", tables.embeddings()),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,19 @@ def local_session(cores: str | int = "*", app: str = "loglore") -> SparkSession:
     )
 
 
+_local_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it."""
+    global _local_dir
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="loglore-")
-    spark.conf.set(CHECKPOINT_CONF, made)
-    return made
+    _local_dir = _local_dir or tempfile.mkdtemp(prefix="loglore-")
+    return _local_dir
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -45,12 +50,23 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loglore/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage without tying the rows to the executors that made them.
     """
     spark = df.sparkSession
-    path = work_path(spark, label)
+    path = f"{folder}/{label}" if folder else work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one run, removed when it ends."""
+    folder = work_path(spark, "staging")
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from loglore.functions.vectors import cosine, dot, norm, pack, unit, unpack, vector_problem
+from loglore.operators.tables import check_packed
+
+
+def frame(spark, vectors):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id int, vector array<float>")
+
+
+def test_bytes_are_little_endian_float32(spark):
+    vectors = [[1.5, -2.25, 0.0], [3.14], [], None]
+    rows = frame(spark, vectors).withColumn("blob", pack("vector")).withColumn("back", unpack("blob")).collect()
+    assert bytes(rows[0]["blob"]) == struct.pack("<3f", 1.5, -2.25, 0.0)
+    assert len(rows[0]["blob"]) == 12
+    assert rows[0]["back"] == [1.5, -2.25, 0.0]
+    assert rows[1]["back"] == [float(np.float32(3.14))]
+    assert rows[2]["back"] == []
+    assert rows[3]["blob"] is None and rows[3]["back"] is None
+
+
+def test_stray_byte_is_an_error(spark):
+    blobs = spark.createDataFrame([(bytearray(b"\1\2\3"),)], "blob binary")
+    with pytest.raises(PySparkException):
+        blobs.select(unpack("blob")).collect()
+
+
+def test_packed_check(spark):
+    rows = [(b"\0" * 8, 2), (b"\0" * 7, 2), (b"\0" * 4, 2), (None, 2), (b"", 0)]
+    df = spark.createDataFrame([(bytearray(b) if b is not None else None, d) for b, d in rows], "vector binary, dim int")
+    assert [r["reason"] for r in check_packed(df).collect()] == [
+        None,
+        "byte length is not a multiple of 4",
+        "byte length does not match dim",
+        "vector is null",
+        None,
+    ]
+
+
+def test_vector_problems(spark):
+    vectors = [[1.0, 2.0], [], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [float("-inf")], [None, 1.0], None]
+    reasons = [r["p"] for r in frame(spark, vectors).select(vector_problem(F.col("vector")).alias("p")).collect()]
+    assert reasons == [
+        None,
+        "vector is empty",
+        "vector is zero",
+        "vector is not finite",
+        "vector is not finite",
+        "vector is not finite",
+        "vector is not finite",
+        "vector is null",
+    ]
+
+
+def test_sums_run_in_double_element_by_element(spark):
+    rng = np.random.default_rng(1)
+    a, b = (rng.normal(size=(40, 33)).astype(np.float32) for _ in range(2))
+    df = spark.createDataFrame(
+        [(x.tolist(), y.tolist()) for x, y in zip(a, b)], "a array<float>, b array<float>"
+    )
+    x, y = F.col("a"), F.col("b")
+    rows = df.select(
+        dot(x, y).alias("dot"), norm(x).alias("norm"), cosine(x, y).alias("cos"), norm(unit(x, norm(x))).alias("one")
+    ).collect()
+    for row, u, v in zip(rows, a.astype(float), b.astype(float)):
+        exact = np.cumsum(u * v)[-1]
+        lengths = np.sqrt(np.cumsum(u * u)[-1]), np.sqrt(np.cumsum(v * v)[-1])
+        assert row["dot"] == exact
+        assert row["norm"] == lengths[0]
+        assert row["cos"] == exact / (lengths[0] * lengths[1])
+        assert row["one"] == pytest.approx(1.0, abs=1e-12)
