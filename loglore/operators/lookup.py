@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglore.functions.text import hit_line, is_commit_id
+from loglore.functions.text import hit_line
 from loglore.operators.sizing import fits_broadcast
-from loglore.schema import HIT
+from loglore.schema import COMMIT_ID_PATTERN, HIT
 
 
 def request_list(lists: DataFrame, ids: str = "ids") -> DataFrame:
@@ -27,7 +27,8 @@ def find_commits(
     """
     if small is None:
         small = fits_broadcast(ids)
-    wanted = ids.filter(is_commit_id("sha"))
+    # A plain pattern filter also tells the optimizer that pruning folders pays.
+    wanted = ids.filter(F.col("sha").rlike(COMMIT_ID_PATTERN))
     keys = ["sha"]
     if prefix_length:
         wanted = wanted.withColumn("sha_prefix", F.substring("sha", 1, prefix_length))
