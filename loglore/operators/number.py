@@ -19,8 +19,12 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
     partitions. A row's number is its place in its partition plus the rows of
     its group in earlier partitions; only one row per group and partition is
     needed to work that out. The sorted rows are written once, as range bounds
-    are sampled and must not change between the two uses. Rows equal in every
-    ordering column are told apart by a running id, so they spread too.
+    are sampled and must not change between the two uses.
+
+    Rows equal in every ordering column are told apart by a running id, so they
+    spread too. For that id to come out the same when a lost task runs again,
+    `df` must read a table or written rows without a shuffle in between;
+    `materialise` it first where it does not.
     """
     groups = [F.col(c) for c in by]
     running = df.withColumn("_tie", F.monotonically_increasing_id())

@@ -51,11 +51,14 @@ def read_log_dump(spark: SparkSession, path: str, repo: str | None = None) -> Da
     split = (
         lines.select(label.alias("repo"), record.alias("record"))
         .filter(F.col("record") != "")
-        .select("repo", F.split("record", FIELD_SEPARATOR, len(DUMP_FIELDS)).alias("f"))
+        .withColumn("f", F.split("record", FIELD_SEPARATOR, len(DUMP_FIELDS)))
         .withColumn(
             "f",
-            F.when(F.size("f") == len(DUMP_FIELDS), F.col("f")).otherwise(
-                F.raise_error(F.concat(F.lit("log dump record with too few fields: "), F.col("f")[0]))
+            F.when(F.size("f") == len(DUMP_FIELDS), F.col("f"))
+            # Filters may be reordered, so the empty record is named here too.
+            .when(
+                F.col("record") != "",
+                F.raise_error(F.concat(F.lit("log dump record with too few fields: "), F.col("f")[0])),
             ),
         )
     )

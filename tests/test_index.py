@@ -13,9 +13,9 @@ from loglore.operators.tables import TableSet
 from loglore.plans.indexing import index_commits
 from loglore.plans.searching import search_text
 from loglore.schema import EMBEDDING, EMBEDDING_KEY
+from loglore.sources.commits import read_commit_stream
 from loglore.streaming.index_stream import index_stream
 from tests.commits import commit, raw, sha
-from loglore.schema import RAW_COMMIT
 
 
 def vectors_of(spark, numbers, model="m"):
@@ -186,12 +186,8 @@ def test_index_then_search(spark, tables):
     assert [r["display"].split("\n")[1].strip() for r in found.collect()] == ["add sink", "fix sink"]
 
 
-def arriving(spark, folder):
-    return spark.readStream.schema(RAW_COMMIT).json(folder)
-
-
 def run_stream(spark, folder, tables, checkpoint, factory=hashed_words):
-    index_stream(arriving(spark, folder), tables, factory, checkpoint, HASHED_MODEL).awaitTermination()
+    index_stream(read_commit_stream(spark, folder), tables, factory, checkpoint, HASHED_MODEL).awaitTermination()
 
 
 def test_stream_equals_batch_and_takes_repeats(spark, tables, tmp_path):

@@ -22,7 +22,7 @@ def test_json_and_parquet_exports(spark, tmp_path):
 
 def test_broken_json_ends_the_job(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"sha": sha(1)}) + "\n{broken\n")
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
         read_commits(spark, str(tmp_path)).collect()
 
 
