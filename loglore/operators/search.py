@@ -238,18 +238,18 @@ class _Docs(NamedTuple):
 
 
 def _doc_blocks(batch: pa.RecordBatch, dim: int, n_queries: int, k: int) -> Iterator[_Docs]:
-    """Documents of one Arrow batch, few enough for one block of scores."""
+    """Documents of one Arrow batch in pieces few enough for one block of scores."""
+    vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    sha, source = batch.column("sha"), batch.column("source")
+    norms = batch.column("norm").to_numpy(zero_copy_only=False)
+    keep = _without_surplus_copies(vectors, sha, source, k)
+    if keep is not None:
+        taken = pa.array(keep)
+        sha, source, vectors, norms = sha.take(taken), source.take(taken), vectors[keep], norms[keep]
     step = max(64, BLOCK_SCORES // n_queries)
-    for start in range(0, batch.num_rows, step):
-        part = batch.slice(start, step)
-        vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        sha, source = part.column("sha"), part.column("source")
-        norms = part.column("norm").to_numpy(zero_copy_only=False)
-        keep = _without_surplus_copies(vectors, sha, source, k)
-        if keep is not None:
-            taken = pa.array(keep)
-            sha, source, vectors, norms = sha.take(taken), source.take(taken), vectors[keep], norms[keep]
-        yield _Docs(sha, source, _Side.of(vectors, norms))
+    for start in range(0, len(vectors), step):
+        rows = slice(start, start + step)
+        yield _Docs(sha[rows], source[rows], _Side.of(vectors[rows], norms[rows]))
 
 
 def _without_surplus_copies(
@@ -258,7 +258,7 @@ def _without_surplus_copies(
     """Rows to keep where more than k share one vector, or None to keep all.
 
     Copies score the same for every query and rank by sha and source, so at
-    most the first k of them can be a hit. Without this, a block full of copies
+    most the first k of them can be a hit. Without this, a batch full of copies
     would be all candidates.
     """
     if len(vectors) <= k:
