@@ -134,7 +134,7 @@ def _score_in_chunks(spark: SparkSession, usable: DataFrame, index: DataFrame, k
             part = mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toArrow()
             for block in _blocks(part):
                 for one in _passes(block, k):
-                    shared = spark.sparkContext.broadcast(one)
+                    shared = _broadcast(spark, one)
                     _score(spark, index, one, k, shared).write.mode("append").parquet(path)
                     shared.destroy()
     return spark.read.schema(SCORED).parquet(path)
@@ -165,6 +165,11 @@ def _passes(block: QueryBlock, k: int) -> list[QueryBlock]:
     ]
 
 
+def _broadcast(spark: SparkSession, block: QueryBlock) -> Broadcast:
+    """Plain values, which a worker can load without this package."""
+    return spark.sparkContext.broadcast((block.ids, block.vectors))
+
+
 def _score(
     spark: SparkSession,
     index: DataFrame,
@@ -182,7 +187,7 @@ def _score(
         "sha", "source", "vector", "norm"
     )
     if shared is None:
-        shared = spark.sparkContext.broadcast(block)
+        shared = _broadcast(spark, block)
     if k <= MAX_LOCAL_K:
         tasks = min(SCORED_ROWS // (len(block.ids) * k), WINDOW_ROWS // k)
         docs = docs.coalesce(max(tasks, WAVES * spark.sparkContext.defaultParallelism))
@@ -195,7 +200,7 @@ def _scorer(
     """The per-task part: blocks of documents against all queries of the broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw, _ = shared.value
+        ids, raw = shared.value
         queries = _Side.of(raw)
         best = _Best(len(ids), k) if k <= MAX_LOCAL_K else None
         for batch in batches:
