@@ -53,30 +53,34 @@ def mark_synced(tables: TableSet, keys: DataFrame) -> None:
         tables.append_sync_log(marks(restrict(stored, wanted, EMBEDDING_KEY, fits_broadcast(wanted))))
 
 
-def sync_index(tables: TableSet, batch: DataFrame | None = None, small: bool | None = None) -> None:
-    """Add unsynced embeddings to the index, then mark them.
-
-    Without `batch` this is the repair at start-up, over the whole table; with
-    it, only the keys of that batch are looked at, `small` when they have been
-    found to fit a broadcast. Keys are compared first, and vectors are read for
-    the missing ones alone. The index is written before the log, so a crash in
-    between leaves rows unmarked; the next call finds their documents in place
-    and adds only the marks.
+def index_batch(tables: TableSet, fresh: DataFrame) -> None:
+    """Index embeddings that were just stored for the first time, from the rows in hand.
+
+    The stored table is not read, so a small batch costs the same however large
+    the table is. The index is written before the log.
+    """
+    docs = index_docs(fresh)
+    tables.append_index_docs(docs)
+    tables.append_sync_log(marks(docs))
+
+
+def sync_index(tables: TableSet) -> None:
+    """Repair: add every unsynced embedding to the index, then mark it.
+
+    Keys are compared first, and vectors are read for the missing ones alone.
+    The index is written before the log, so a crash in between leaves rows
+    unmarked; the next call finds their documents in place and adds only the
+    marks.
     """
     stored = tables.embeddings()
     keys = stored.select(*EMBEDDING_KEY)
     if keys.isEmpty():
         return
-    few = False
-    if batch is not None:
-        asked = batch.select(*EMBEDDING_KEY)
-        few = fits_broadcast(asked) if small is None else small
-        keys = restrict(keys, asked, EMBEDDING_KEY, few)
     with staging(tables.spark) as folder:
-        missing = materialise(exclude(keys, tables.sync_log(), EMBEDDING_KEY, few), "unsynced", folder)
+        missing = materialise(exclude(keys, tables.sync_log(), EMBEDDING_KEY, small=False), "unsynced", folder)
         if missing.isEmpty():
             return
-        few = few or fits_broadcast(missing)
+        few = fits_broadcast(missing)
         absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
         tables.append_index_docs(index_docs(restrict(stored, absent, EMBEDDING_KEY, few)))
         tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))

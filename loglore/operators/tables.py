@@ -56,10 +56,14 @@ class TableSet:
         self._append_absent("commits", new, COMMIT_KEY, None if unique else commit_order(), small)
 
     def append_embeddings(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
-        """Store embeddings whose (sha, model, source) is not stored."""
+        """Store embeddings whose (sha, model, source) is not stored; flags as for commits."""
         order = [F.col("dim"), F.col("vector")]
         self._append_absent("embeddings", new, EMBEDDING_KEY, None if unique else order, small)
 
+    def add_embeddings(self, fresh: DataFrame) -> None:
+        """Store embeddings whose keys are known to be unique and not stored."""
+        self._append("embeddings", fresh)
+
     def append_index_docs(self, docs: DataFrame) -> None:
         self._append("index_docs", docs)
 
@@ -77,21 +81,21 @@ class TableSet:
     def _append_absent(
         self, name: str, new: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None
     ) -> None:
-        asked = new.select(*keys)
-        rows = first_per_key(new, keys, order) if order else new
         existing = self._read(name).select(*keys)
         if not existing.isEmpty():
-            rows = exclude(rows, existing, keys, fits_broadcast(asked) if small is None else small, asked)
-        self._append(name, rows)
+            new = exclude(new, existing, keys, fits_broadcast(new.select(*keys)) if small is None else small)
+        # Stored rows are left out first, so that only new ones are sorted out by key.
+        self._append(name, first_per_key(new, keys, order) if order else new)
 
     def _append(self, name: str, rows: DataFrame) -> None:
         schema, layout = self._specs()[name]
         if "sha_prefix" in layout:
             rows = rows.withColumn("sha_prefix", self.prefix())
         rows = rows.select(*schema.names)
-        if layout:
-            # Rebalancing gives each folder few, even files and splits a hot one.
-            rows = rows.hint("rebalance", *layout)
+        if "sha_prefix" in layout:
+            # Many folders: rebalancing gives each few files of even size. By
+            # model there are few folders, and vectors need not travel for them.
+            rows = rows.hint("rebalance", "sha_prefix")
         rows.write.mode("append").partitionBy(*layout).parquet(self._path(name))
 
     def _read(self, name: str) -> DataFrame:

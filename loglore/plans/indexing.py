@@ -15,9 +15,9 @@ from loglore.operators.clean import (
     rejected_commits,
 )
 from loglore.operators.embed import embed, embed_rejects, embedded
-from loglore.operators.index import index_rejects, sync_index
+from loglore.operators.index import index_batch, index_rejects, sync_index
 from loglore.operators.number import with_batch_no
-from loglore.operators.sizing import exclude, fits_broadcast
+from loglore.operators.sizing import exclude, fits_broadcast, restrict
 from loglore.operators.tables import TableSet
 from loglore.schema import COMMIT_KEY, EMBEDDING_KEY, SOURCE_MESSAGE
 from loglore.session import materialise, staging
@@ -49,6 +49,7 @@ def index_commits(
     same. Tables are written in the order commits, embeddings, index, log.
     `strict` rejects the whole batch of a bad commit instead of the row.
     """
+    wanted = model_or_default(model)
     if repair:
         sync_index(tables)
     with staging(raw.sparkSession) as folder:
@@ -56,24 +57,31 @@ def index_commits(
         if strict:
             checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
         checked = materialise(checked, "checked", folder)
-        todo = first_per_key(good_commits(checked), COMMIT_KEY, commit_order())
+        todo = good_commits(checked)
         known = (
             tables.embeddings()
-            .filter((F.col("model") == model_or_default(model)) & (F.col("source") == SOURCE_MESSAGE))
+            .filter((F.col("model") == wanted) & (F.col("source") == SOURCE_MESSAGE))
             .select(*COMMIT_KEY)
         )
         if not known.isEmpty():
-            asked = checked.select(*COMMIT_KEY)
-            todo = exclude(todo, known, COMMIT_KEY, fits_broadcast(asked), asked)
+            todo = exclude(todo, known, COMMIT_KEY, fits_broadcast(todo.select(*COMMIT_KEY)))
+        todo = first_per_key(todo, COMMIT_KEY, commit_order())
 
         answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded", folder)
         good = embedded(answered)
-        if not good.isEmpty():
+        found = good.agg(F.count("*").alias("rows"), F.count_if(F.col("model") != wanted).alias("renamed")).first()
+        if found["rows"]:
             keys = good.select(*EMBEDDING_KEY)
             small = fits_broadcast(keys)
+            fresh = good
+            if found["renamed"]:
+                # Answers under another name than asked for may be stored already.
+                stored = tables.embeddings().select(*EMBEDDING_KEY)
+                new_keys = materialise(exclude(keys, stored, EMBEDDING_KEY, small), "fresh", folder)
+                fresh = restrict(good, new_keys, EMBEDDING_KEY, small)
             tables.append_commits(good, unique=True, small=small)
-            tables.append_embeddings(good, unique=True, small=small)
-            sync_index(tables, keys, small)
+            tables.add_embeddings(fresh)
+            index_batch(tables, fresh)
         tables.write_rejects(
             rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)), run
         )

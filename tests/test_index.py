@@ -5,8 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import loglore.operators.sizing as sizing
 from loglore.functions.embedders import HASHED_MODEL, Reply, hashed_words
-from loglore.operators.index import index_docs, index_rejects, mark_synced, marks, sync_index, sync_status, unsynced
+from loglore.operators.index import index_batch, index_docs, index_rejects, mark_synced, marks, sync_index, sync_status, unsynced
 from loglore.operators.report import reject_report
 from loglore.operators.search import search
 from loglore.operators.tables import TableSet
@@ -52,23 +53,34 @@ def test_unsynced_then_synced(spark, tables):
     assert counts(tables)[2:] == (4, 4)
 
 
-def test_only_the_batch_is_looked_at(spark, tables):
-    tables.append_embeddings(vectors_of(spark, range(4)))
-    sync_index(tables, vectors_of(spark, [1, 2]))
+def test_batch_is_indexed_from_the_rows_in_hand(spark, tables, monkeypatch):
+    def unread(self):
+        raise AssertionError("a batch must not read the stored vectors")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(TableSet, "embeddings", unread)
+        index_batch(tables, vectors_of(spark, [1, 2]))
     assert {r["sha"] for r in tables.index_docs().collect()} == {sha(1), sha(2)}
-    sync_index(tables)
-    assert tables.index_docs().count() == 4
+    assert {r["sha"] for r in tables.sync_log().collect()} == {sha(1), sha(2)}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_crash_between_index_and_log_is_repaired(spark, tables, small):
+@pytest.mark.parametrize("limit", [sizing.BROADCAST_BYTES, 0])
+def test_crash_between_index_and_log_is_repaired(spark, tables, monkeypatch, limit):
+    monkeypatch.setattr(sizing.fits_broadcast, "__defaults__", (limit,))
     tables.append_embeddings(vectors_of(spark, range(4)))
     tables.append_index_docs(index_docs(vectors_of(spark, [0, 1])))
-    sync_index(tables, vectors_of(spark, range(4)) if small else None, small)
+    sync_index(tables)
     assert counts(tables)[2:] == (4, 4)
     assert tables.index_docs().select("doc_id").distinct().count() == 4
 
 
+def test_answers_under_another_name_are_stored_once(spark, tables):
+    feed = raw(spark, [commit(i) for i in range(3)])
+    for run in "ab":
+        index_commits(feed, tables, hashed_words, run=run)
+        assert counts(tables) == (3, 3, 3, 3)
+
+
 def test_marks_of_unknown_keys_change_nothing_and_repeats_renew(spark, tables):
     tables.append_embeddings(vectors_of(spark, [1]))
     mark_synced(tables, vectors_of(spark, [1, 9]))
