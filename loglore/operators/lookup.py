@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loglore.functions.text import hit_line
 from loglore.operators.sizing import fits_broadcast
-from loglore.schema import COMMIT_ID_PATTERN, HIT
+from loglore.schema import COMMIT_ID_PATTERN, HIT, NO_HITS_LINE
 
 
 def request_list(lists: DataFrame, ids: str = "ids") -> DataFrame:
@@ -55,3 +55,12 @@ def hit_list(hits: DataFrame) -> DataFrame:
     return hits.withColumn("line_no", number.cast("long")).withColumn(
         "display", hit_line("line_no", "sha", "similarity", "message")
     )
+
+
+def result_pages(queries: DataFrame, listed: DataFrame) -> DataFrame:
+    """The hit list of every query; a query without hits gets one line that says so."""
+    return (
+        queries.select("query_id")
+        .join(listed, "query_id", "left")
+        .withColumn("display", F.coalesce("display", F.lit(NO_HITS_LINE)))
+    )

@@ -81,11 +81,7 @@ class TableSet:
     def _append_absent(
         self, name: str, new: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None
     ) -> None:
-        existing = self._read(name).select(*keys)
-        if not existing.isEmpty():
-            new = exclude(new, existing, keys, fits_broadcast(new.select(*keys)) if small is None else small)
-        # Stored rows are left out first, so that only new ones are sorted out by key.
-        self._append(name, first_per_key(new, keys, order) if order else new)
+        self._append(name, absent_rows(new, self._read(name), keys, order, small))
 
     def _append(self, name: str, rows: DataFrame) -> None:
         schema, layout = self._specs()[name]
@@ -121,6 +117,27 @@ class TableSet:
         }
 
 
+def absent_rows(
+    new: DataFrame, stored: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None = None
+) -> DataFrame:
+    """One row, the first in `order`, of every key of `new` that is not stored.
+
+    Without `order`, `new` holds no key twice. A small `new` loses its stored
+    rows before the rest is shuffled by key. A large one is cut to one row per
+    key first: that happens before the shuffle, so copies of a key never meet,
+    and the join that follows finds its rows already in place.
+    """
+    one = (lambda df: first_per_key(df, keys, order)) if order else (lambda df: df)
+    existing = stored.select(*keys)
+    if existing.isEmpty():
+        return one(new)
+    if small is None:
+        small = fits_broadcast(new.select(*keys))
+    if small:
+        return one(exclude(new, existing, keys, small))
+    return exclude(one(new), existing, keys, small)
+
+
 def embedding_problem() -> Column:
     """Why an embedding row breaks the table's own rules, or NULL."""
     problem = F.when(F.col("sha").isNull(), F.lit("sha is null"))

@@ -9,7 +9,6 @@ from loglore.functions.embedders import EmbedderFactory, model_or_default
 from loglore.operators.clean import (
     check_commits,
     commit_order,
-    first_per_key,
     good_commits,
     reject_whole_batches,
     rejected_commits,
@@ -18,7 +17,7 @@ from loglore.operators.embed import embed, embed_rejects, embedded
 from loglore.operators.index import index_batch, index_rejects, sync_index
 from loglore.operators.number import with_batch_no
 from loglore.operators.sizing import exclude, fits_broadcast, restrict
-from loglore.operators.tables import TableSet
+from loglore.operators.tables import TableSet, absent_rows
 from loglore.schema import COMMIT_KEY, EMBEDDING_KEY, SOURCE_MESSAGE
 from loglore.session import materialise, staging
 
@@ -57,16 +56,8 @@ def index_commits(
         if strict:
             checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
         checked = materialise(checked, "checked", folder)
-        todo = good_commits(checked)
-        known = (
-            tables.embeddings()
-            .filter((F.col("model") == wanted) & (F.col("source") == SOURCE_MESSAGE))
-            .select(*COMMIT_KEY)
-        )
-        if not known.isEmpty():
-            todo = exclude(todo, known, COMMIT_KEY, fits_broadcast(todo.select(*COMMIT_KEY)))
-        todo = first_per_key(todo, COMMIT_KEY, commit_order())
-
+        known = tables.embeddings().filter((F.col("model") == wanted) & (F.col("source") == SOURCE_MESSAGE))
+        todo = absent_rows(good_commits(checked), known, COMMIT_KEY, commit_order())
         answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded", folder)
         good = embedded(answered)
         found = good.agg(F.count("*").alias("rows"), F.count_if(F.col("model") != wanted).alias("renamed")).first()

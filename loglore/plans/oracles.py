@@ -213,6 +213,17 @@ WITH {_RAW}, {_VECTORS}, {_HITS}
 SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS line_no, h.sha, repo,
        round(similarity, 4) AS similarity, author_name
 FROM hits h JOIN commits c ON c.sha = h.sha""",
+    "b16_page_of_every_query": f"""
+WITH {_RAW}, {_VECTORS}, {_HITS},
+first AS (
+  SELECT query_id, h.sha, similarity, message FROM hits h JOIN commits c ON c.sha = h.sha WHERE rank = 1
+)
+SELECT query_id, sha,
+       CASE WHEN sha IS NULL THEN 'No matching commits found.'
+            ELSE {_HIT_LINE.format(rank="CAST(1 AS BIGINT)", sha="sha", similarity="similarity", message="message")}
+       END AS display
+FROM (SELECT CAST(item_id AS VARCHAR) AS query_id FROM benchmark JOIN vectors ON vec_id = item_id)
+LEFT JOIN first USING (query_id)""",
     "b17_top_k_for_many_queries": f"""
 WITH {_VECTORS}, {_HITS}
 SELECT query_id, rank, sha, source, round(similarity, 4) AS similarity FROM hits""",

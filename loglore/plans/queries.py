@@ -28,7 +28,7 @@ from loglore.operators.clean import (
 )
 from loglore.operators.embed import attach_vectors, embed, embedding_rows
 from loglore.operators.index import index_docs, index_rejects, mark_synced, sync_index, sync_status, unsynced
-from loglore.operators.lookup import find_commits, hit_list, lookup, with_commits
+from loglore.operators.lookup import find_commits, hit_list, lookup, result_pages, with_commits
 from loglore.operators.number import with_batch_no
 from loglore.operators.report import reject_report
 from loglore.operators.search import best_per_commit, count_documents, search
@@ -47,7 +47,7 @@ from loglore.plans.indexing import arrival_order, index_commits
 from loglore.plans.searching import search_text
 from loglore.schema import EMBEDDING_KEY, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
 from loglore.session import materialise, work_path
-from loglore.sources.commits import read_log_dump, union_exports, write_log_dump
+from loglore.sources.commits import read_commits, read_log_dump, union_exports, write_log_dump
 from loglore.streaming.index_stream import index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +92,9 @@ def _dates_as_text(df: DataFrame) -> DataFrame:
 
 
 def flatten_drop_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dates_as_text(flatten(drop_merges(_raw(spark, sf_dir))).drop("date_out_of_range"))
+    path = work_path(spark, "export")
+    _raw(spark, sf_dir).write.json(path)
+    return _dates_as_text(flatten(drop_merges(read_commits(spark, path))).drop("date_out_of_range"))
 
 
 def parse_log_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +319,14 @@ def hits_with_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_of_every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # With one hit each, the queries whose nearest commit was a merge are left with none.
+    hits = materialise(_benchmark_hits(spark, sf_dir, k=1), "hits")
+    listed = hit_list(with_commits(hits, _commits(spark, sf_dir)))
+    queries = benchmark_vectors(table(spark, sf_dir, "benchmark"), _vectors(spark, sf_dir))
+    return result_pages(queries, listed).select("query_id", "sha", "display")
+
+
 def top_k_for_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _benchmark_hits(spark, sf_dir)
     return hits.select("query_id", "rank", "sha", "source", F.round("similarity", 4).alias("similarity"))
@@ -473,6 +483,7 @@ QUERIES: dict[str, Query] = {
     "b14_build_index": build_index,
     "b15_look_up_request_list": look_up_request_list,
     "b16_hits_with_commits": hits_with_commits,
+    "b16_page_of_every_query": page_of_every_query,
     "b17_top_k_for_many_queries": top_k_for_many_queries,
     "b18_top_k_edges": top_k_edges,
     "b19_best_hit_per_commit": best_hit_per_commit,
