@@ -23,7 +23,7 @@ class TableSet:
 
     `commits` is laid out by the first `prefix_length` digits of the id: ids
     are uniform, so the folders are even, and a look-up of a few ids reads only
-    their folders. `embeddings` and `index_docs` are laid out by model, as a
+    their folders; with 0 there are none. `embeddings` and `index_docs` are laid out by model, as a
     search reads all vectors of one model. One writer at a time.
     """
 
@@ -32,7 +32,7 @@ class TableSet:
     prefix_length: int = 2
 
     def commits(self) -> DataFrame:
-        """COMMIT columns and `sha_prefix`."""
+        """COMMIT columns, and `sha_prefix` where there are folders."""
         return self._read("commits")
 
     def embeddings(self) -> DataFrame:
@@ -106,10 +106,10 @@ class TableSet:
     def _path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    @staticmethod
-    def _specs() -> dict[str, tuple[T.StructType, list[str]]]:
+    def _specs(self) -> dict[str, tuple[T.StructType, list[str]]]:
+        folders = [_PREFIX] if self.prefix_length else []
         return {
-            "commits": (T.StructType([*COMMIT.fields, _PREFIX]), ["sha_prefix"]),
+            "commits": (T.StructType([*COMMIT.fields, *folders]), [f.name for f in folders]),
             "embeddings": (EMBEDDING, ["model"]),
             "index_docs": (INDEX_DOC, ["model"]),
             "sync_log": (SYNC_LOG, []),

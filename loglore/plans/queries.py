@@ -77,8 +77,8 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, label: str) -> TableSet:
-    # Nothing is looked up by id in these tables, so few folders will do.
-    return TableSet(spark, work_path(spark, label), prefix_length=1)
+    # Nothing is looked up by id in these tables, so they need no folders.
+    return TableSet(spark, work_path(spark, label), prefix_length=0)
 
 
 def _benchmark_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:

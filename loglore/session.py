@@ -26,6 +26,8 @@ def local_session(cores: str | int = "*", app: str = "loglore") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Call sites of every column expression cost more here than small queries do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -22,6 +22,7 @@ def spark(tmp_path_factory: pytest.TempPathFactory) -> SparkSession:
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
