@@ -21,6 +21,9 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
     needed to work that out. The sorted rows are written once, as range bounds
     are sampled and must not change between the two uses.
 
+    Bounds are sampled from the ordering columns, so those must be short: order
+    by a hash of a long text, not by the text.
+
     Rows equal in every ordering column are told apart by a running id, so they
     spread too. For that id to come out the same when a lost task runs again,
     `df` must read a table or written rows without a shuffle in between;

@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,14 +146,18 @@ def _blocks(queries: pa.Table) -> list[QueryBlock]:
     ids = queries.column("query_id").to_pylist()
     if len(set(ids)) != len(ids):
         raise ValueError("query_id is not unique")
-    models = queries.column("model").to_pylist()
-    vectors = [np.asarray(v, dtype=np.float32) for v in queries.column("vector").to_pylist()]
+    vectors = queries.column("vector").combine_chunks()
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
     groups: dict[tuple[str, int], list[int]] = {}
-    for i, (model, vector) in enumerate(zip(models, vectors)):
-        groups.setdefault((model, len(vector)), []).append(i)
+    for i, group in enumerate(zip(queries.column("model").to_pylist(), sizes.tolist())):
+        groups.setdefault(group, []).append(i)
     return [
-        QueryBlock([ids[i] for i in rows], np.stack([vectors[i] for i in rows]), model)
-        for (model, _), rows in groups.items()
+        QueryBlock(
+            [ids[i] for i in rows],
+            vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim),
+            model,
+        )
+        for (model, dim), rows in groups.items()
     ]
 
 

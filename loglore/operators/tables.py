@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -23,8 +24,9 @@ class TableSet:
 
     `commits` is laid out by the first `prefix_length` digits of the id: ids
     are uniform, so the folders are even, and a look-up of a few ids reads only
-    their folders; with 0 there are none. `embeddings` and `index_docs` are laid out by model, as a
-    search reads all vectors of one model. One writer at a time.
+    their folders; with 0 there are none. `embeddings` and `index_docs` are laid
+    out by model, as a search reads all vectors of one model. One writer at a
+    time.
     """
 
     spark: SparkSession
@@ -72,6 +74,8 @@ class TableSet:
 
     def write_rejects(self, rejects: DataFrame, run: str) -> None:
         """Replace the rejects of one run, so a repeated run reports once."""
+        if not re.fullmatch(r"[\w.-]+", run):
+            raise ValueError(f"run name is not fit for a folder: {run!r}")
         rejects.select(*REJECT.names).write.mode("overwrite").parquet(f"{self._path('rejects')}/run={run}")
 
     def prefix(self, sha: Column | str = "sha") -> Column:

@@ -47,6 +47,7 @@ def index_commits(
     each, as both feed several sinks and an embedder need not answer twice the
     same. Tables are written in the order commits, embeddings, index, log.
     `strict` rejects the whole batch of a bad commit instead of the row.
+    `concurrency` sets how many tasks call the embedder at a time.
     """
     wanted = model_or_default(model)
     if repair:
@@ -58,7 +59,9 @@ def index_commits(
         checked = materialise(checked, "checked", folder)
         known = tables.embeddings().filter((F.col("model") == wanted) & (F.col("source") == SOURCE_MESSAGE))
         todo = absent_rows(good_commits(checked), known, COMMIT_KEY, commit_order())
-        answered = materialise(embed(todo, factory, model, concurrency=concurrency), "embedded", folder)
+        if concurrency:
+            todo = todo.repartition(concurrency)
+        answered = materialise(embed(todo, factory, model), "embedded", folder)
         good = embedded(answered)
         found = good.agg(F.count("*").alias("rows"), F.count_if(F.col("model") != wanted).alias("renamed")).first()
         if found["rows"]:

@@ -127,7 +127,7 @@ marked AS (
 ),
 batched AS (
   SELECT repo, sha, (row_number() OVER (
-           PARTITION BY repo ORDER BY committer_date NULLS LAST, sha, message) - 1) // 50 AS batch_no
+           PARTITION BY repo ORDER BY committer_date NULLS LAST, sha, md5(message)) - 1) // 50 AS batch_no
   FROM marked
 ),
 reasons AS (
