@@ -11,8 +11,9 @@ from loglore.schema import COMMIT_ID_PATTERN, HIT, NO_HITS_LINE
 
 
 def request_list(lists: DataFrame, ids: str = "ids") -> DataFrame:
-    """Rows `pos, sha` of an array of ids, positions from 0."""
-    return lists.select(F.posexplode(ids).alias("pos", "sha"))
+    """A row per id of every array in `ids`, with `pos` from 0 and `sha`; other columns stay."""
+    kept = [c for c in lists.columns if c != ids]
+    return lists.select(*kept, F.posexplode(ids).alias("pos", "sha"))
 
 
 def find_commits(
@@ -37,9 +38,11 @@ def find_commits(
     return found.drop("sha_prefix")
 
 
-def lookup(commits: DataFrame, ids: DataFrame, prefix_length: int = 0) -> DataFrame:
-    """Commits of a request list `pos, sha`, in request order."""
-    return find_commits(commits, ids, prefix_length=prefix_length).orderBy("pos")
+def lookup(
+    commits: DataFrame, ids: DataFrame, order: tuple[str, ...] = ("pos",), prefix_length: int = 0
+) -> DataFrame:
+    """Commits of request lists, in request order; `order` names the list before `pos` if there are several."""
+    return find_commits(commits, ids, prefix_length=prefix_length).orderBy(*order)
 
 
 def with_commits(

@@ -206,8 +206,11 @@ SELECT sha || '|fixture-64|message' AS doc_id,
 FROM vectors""",
     "b15_look_up_request_list": f"""
 WITH {_RAW}
-SELECT conv_id * 1000 + turn AS pos, sha, repo, author_name, split_part(message, chr(10), 1) AS subject
-FROM conversations JOIN commits ON sha = sha256(CAST(conv_id AS VARCHAR))""",
+SELECT conv_id, turn, pos, sha, repo, split_part(message, chr(10), 1) AS subject
+FROM (SELECT conv_id, turn, 0 AS pos, conv_id AS wanted FROM conversations
+      UNION ALL SELECT conv_id, turn, 1, turn FROM conversations
+      UNION ALL SELECT conv_id, turn, 2, conv_id FROM conversations)
+JOIN commits ON doc_id = wanted""",
     "b16_hits_with_commits": f"""
 WITH {_RAW}, {_VECTORS}, {_HITS}
 SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS line_no, h.sha, repo,

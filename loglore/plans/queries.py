@@ -28,7 +28,7 @@ from loglore.operators.clean import (
 )
 from loglore.operators.embed import attach_vectors, embed, embedding_rows
 from loglore.operators.index import index_docs, index_rejects, mark_synced, sync_index, sync_status, unsynced
-from loglore.operators.lookup import find_commits, hit_list, lookup, result_pages, with_commits
+from loglore.operators.lookup import find_commits, hit_list, lookup, request_list, result_pages, with_commits
 from loglore.operators.number import with_batch_no
 from loglore.operators.report import reject_report
 from loglore.operators.search import best_per_commit, count_documents, search
@@ -303,12 +303,11 @@ def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def look_up_request_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every turn asks for the commit numbered like its conversation: ids repeat, and some are unknown.
-    asked = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), sha_of(F.col("conv_id")).alias("sha")
-    )
-    found = lookup(_commits(spark, sf_dir), asked)
-    return found.select("pos", "sha", "repo", "author_name", first_line("message").alias("subject"))
+    # Every turn asks for three commits; ids repeat within and between lists, and merges are unknown.
+    ids = F.array(*[sha_of(F.col(c)) for c in ("conv_id", "turn", "conv_id")])
+    lists = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
+    found = lookup(_commits(spark, sf_dir), request_list(lists), ("conv_id", "turn", "pos"))
+    return found.select("conv_id", "turn", "pos", "sha", "repo", first_line("message").alias("subject"))
 
 
 def hits_with_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
