@@ -16,7 +16,7 @@ from pathlib import Path
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from loglore.functions.embedders import HASHED_MODEL, hashed_words  # noqa: E402

@@ -63,7 +63,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFram
         F.col("query_id").cast("string"), "vector", "model"
     )
     first = usable.limit(FIRST_READ + 1).toArrow()
-    if first.num_rows <= FIRST_READ:
+    if first.num_rows <= FIRST_READ and first.nbytes <= BROADCAST_BYTES:
         blocks = _blocks(first)
         if not blocks:
             return _rank(spark.createDataFrame([], SCORED), DEFAULT_K)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglore.functions.vectors import blob_problem, vector_problem
+from loglore.functions.vectors import blob_problem
 from loglore.operators.clean import commit_order, first_per_key
 from loglore.operators.sizing import exclude, fits_broadcast
 from loglore.schema import COMMIT, COMMIT_KEY, EMBEDDING, EMBEDDING_KEY, INDEX_DOC, REJECT, SYNC_LOG
@@ -177,11 +177,6 @@ def check_packed(packed: DataFrame, vector: str = "vector") -> DataFrame:
     return packed.withColumn("reason", blob_problem(F.col(vector), F.col("dim")))
 
 
-def check_vectors(embeddings: DataFrame) -> DataFrame:
-    """Add `reason` to embeddings: NULL where the vector can be indexed."""
-    return embeddings.withColumn("reason", vector_problem(F.col("vector")))
-
-
 def cascade(embeddings: DataFrame, surviving: DataFrame) -> DataFrame:
     """Embeddings left once only `surviving` commits are; write to a new path."""
     return embeddings.join(surviving.select("sha"), "sha", "left_semi")

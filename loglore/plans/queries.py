@@ -367,7 +367,8 @@ def best_hit_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = _commits(spark, sf_dir)
     cores = spark.sparkContext.defaultParallelism
-    index = index_docs(embedding_rows(embed(commits.select("sha", "message"), hashed_words, HASHED_MODEL, concurrency=cores)))
+    answered = embed(commits.select("sha", "message"), hashed_words, HASHED_MODEL, concurrency=cores)
+    index = index_docs(embedding_rows(answered))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     found = search_text(queries, index, commits, hashed_words, HASHED_MODEL)
     return found.select("query_id", "rank", "sha", "display")
@@ -420,7 +421,9 @@ def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(tables: TableSet) -> DataFrame:
     """Everything stored of each commit, side by side."""
-    commits = tables.commits().select("sha", "repo", "author_email", "committer_date", F.length("message").alias("n_chars"))
+    commits = tables.commits().select(
+        "sha", "repo", "author_email", "committer_date", F.length("message").alias("n_chars")
+    )
     vectors = tables.embeddings().select("sha", "source", "model", "dim")
     docs = tables.index_docs().select("sha", "source", "model", "doc_id")
     marked = sync_status(tables.sync_log())

@@ -259,3 +259,20 @@ def test_search_sees_only_the_settled_index(spark, tables):
     assert search(asked, tables.index_docs()).count() == 0
     sync_index(tables)
     assert search(asked, tables.index_docs()).count() == 3
+
+
+def test_search_reads_one_model_and_the_columns_it_needs(spark, tables):
+    for model in ("one", "two"):
+        rows = vectors_of(spark, range(3), model)
+        tables.append_embeddings(rows)
+    sync_index(tables)
+    asked = spark.createDataFrame([("q", [1.0, 0.0], "one")], "query_id string, vector array<float>, model string")
+    hits = search(asked, tables.index_docs())
+    assert hits.count() == 3
+    plan = hits._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "PartitionFilters: [isnotnull(model" in plan and "= one)]" in plan
+    assert "EqualTo(dim,2)" in plan
+    schema = next(line for line in plan.splitlines() if line.startswith("ReadSchema"))
+    assert schema.count(":") == 1 + 5 and "doc_id" not in schema
