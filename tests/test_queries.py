@@ -5,16 +5,20 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from loglore.plans.oracles import ORACLES
+from loglore.plans.queries import QUERIES
 from tests.oracle import normal, spark_rows, sql_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     found = contract.queries()[name](spark, SF_DIR)
     names, rows = spark_rows(found)
