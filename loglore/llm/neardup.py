@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,8 +26,8 @@ ERRORS = DISTANCE // CHUNKS
 WIDTH = SYMBOLS // CHUNKS
 #: Similarity as a share: 75 of 100.
 SHARE = 75
-#: A bucket of more rows than this is dealt out again by its other chunks before pairs are compared.
-BUCKET = 256
+#: A bucket of more open rows than this is dealt out again by its other chunks before pairs are compared.
+BUCKET = 4096
 
 _MULTIPLY = np.random.default_rng(64).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(65).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -94,7 +95,7 @@ def finer_keys(rows: DataFrame) -> DataFrame:
     spare = DISTANCE // (CHUNKS - 1)
     choices = list(combinations(range(WIDTH), WIDTH - spare))
     names = [f for f in rows.schema.fields]
-    kinds = {"key": pa.int64(), "rep": pa.int64(), "comp": pa.int64(), "sig": pa.binary()}
+    kinds = defaultdict(pa.int64, sig=pa.binary(), n=pa.int32(), can=pa.int32())
     schema = pa.schema([(f.name, kinds[f.name]) for f in names] + [("sub", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +142,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        change nothing and are not made. Buckets of more than BUCKET rows are split by `finer_keys`
        first, which loses no pair.
 
+    Shingles that one set alone has bound its similarity to any other (`shareable`). That keeps large
+    families of texts that share a core, but are not similar enough, from being confirmed pair by pair.
+
     The signatures make step 2 and 3 exact within DISTANCE; beyond it, a pair of similarity 0.75 is
     missed about once in 100,000, others less often.
 
@@ -154,7 +158,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         drawn = materialise(sketches(docs), "sketches", folder)
         linked = drawn.where("n > 0 AND doc_id IS NOT NULL")
         classes = materialise(linked.groupBy("same", "sig").agg(F.min("doc_id").alias("rep")), "classes", folder)
-        signs = classes.select("rep", "sig")
 
         keys = bucket_keys(classes)
         # Only buckets with two leaders or more go on.
@@ -165,6 +168,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted = materialise(wanted, "wanted", folder)
         few = fits_broadcast(wanted)
         sets = materialise(shingle_arrays(restrict(docs, wanted, ["doc_id"], few)), "sets", folder)
+        signs = materialise(classes.select("rep", "sig").join(shareable(sets), "rep"), "signs", folder)
+        # The other set may be as small as what is shared, so the union is `n` at least.
+        hopeful = signs.where(F.coalesce(100 * F.col("can") >= SHARE * F.col("n"), F.lit(True))).select("rep")
+        shared = materialise(shared.join(hopeful, "rep", "left_semi"), "hopeful", folder)
 
         links: DataFrame | None = None
         comps = signs.select("rep", F.col("rep").alias("comp")).limit(0)
@@ -183,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")
         ).where("c0 < c1")
         open_rows = rows.join(split.select("key", "rows"), "key").join(signs, "rep")
-        open_rows = materialise(open_rows.select("key", "rep", "comp", "sig", "rows"), "open", folder)
+        open_rows = materialise(open_rows.select("key", "rep", "comp", "sig", "n", "can", "rows"), "open", folder)
         small = open_rows.where(F.col("rows") <= BUCKET).drop("rows").withColumn("sub", F.lit(0).cast("long"))
         large = finer_keys(open_rows.where(F.col("rows") > BUCKET).drop("rows"))
         last = materialise(_across(small.unionByName(large)), "across", folder)
@@ -211,6 +218,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
 
 
+def shareable(sets: DataFrame) -> DataFrame:
+    """rep, its set's size n, and `can`: how many of its shingles any other set has too.
+
+    An intersection is no larger than either side's `can`. A doc_id that comes with several texts
+    gets a null, which bounds nothing.
+    """
+    each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"))
+    alone = held.where("rep = high").groupBy("rep").agg(F.count("*").cast("int").alias("alone"))
+    sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(
+        F.max(F.size("shingles")).alias("n"), F.count("*").alias("texts")
+    )
+    can = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("alone", F.lit(0)))
+    return sizes.join(alone, "rep", "left").select("rep", "n", can.alias("can"))
+
+
+def _possible(n: str, can: str, other_n: str, other_can: str) -> Column:
+    """Whether two sets can be similar enough, by their sizes and what each can share."""
+    most = F.least(can, other_can)  # nulls bound nothing
+    return F.coalesce(100 * most >= SHARE * (F.col(n) + F.col(other_n) - most), F.lit(True))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (rep, lead) whose full sets are similar enough."""
     own = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("a"))
@@ -253,19 +282,22 @@ def _with_comps(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs within the signature distance, with that distance."""
-    own = signs.select("rep", F.col("sig").alias("a"))
-    other = signs.select(F.col("rep").alias("lead"), F.col("sig").alias("b"))
-    joined = pairs.join(own, "rep").join(other, "lead").withColumn("apart", _apart("a", "b"))
-    return joined.where(F.col("apart") <= DISTANCE).select("rep", "lead", "apart")
+    own = signs.select("rep", F.col("sig").alias("a"), "n", "can")
+    other = signs.select(F.col("rep").alias("lead"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("can").alias("may"))
+    joined = pairs.join(own, "rep").join(other, "lead").where(_possible("n", "can", "m", "may"))
+    return joined.withColumn("apart", _apart("a", "b")).where(F.col("apart") <= DISTANCE).select("rep", "lead", "apart")
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """Distinct pairs of one bucket from two components, within the signature distance."""
-    a = rows.select("key", "sub", "rep", F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    b = rows.select("key", "sub", F.col("rep").alias("lead"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
+    a = rows.select("key", "sub", "rep", F.col("comp").alias("ca"), F.col("sig").alias("sa"), "n", "can")
+    b = rows.select(
+        "key", "sub", F.col("rep").alias("lead"), F.col("comp").alias("cb"), F.col("sig").alias("sb"),
+        F.col("n").alias("m"), F.col("can").alias("may"),
+    )
     return (
         a.join(b, ["key", "sub"])
-        .where((F.col("ca") < F.col("cb")) & (_apart("sa", "sb") <= DISTANCE))
+        .where((F.col("ca") < F.col("cb")) & _possible("n", "can", "m", "may") & (_apart("sa", "sb") <= DISTANCE))
         .select("rep", "lead")
         .distinct()
     )
