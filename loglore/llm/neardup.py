@@ -26,8 +26,8 @@ ERRORS = DISTANCE // CHUNKS
 WIDTH = SYMBOLS // CHUNKS
 #: Similarity as a share: 75 of 100.
 SHARE = 75
-#: A bucket of more open rows than this is dealt out again by its other chunks before pairs are compared.
-BUCKET = 4096
+#: Shingles of a block: a larger bucket is split into blocks, and each pair of blocks is compared apart.
+BLOCK = 200_000
 
 _MULTIPLY = np.random.default_rng(64).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(65).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -86,35 +86,6 @@ def bucket_keys(classes: DataFrame) -> DataFrame:
     return classes.select("sig", "rep").mapInArrow(run, "key long, rep long")
 
 
-def finer_keys(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets under finer keys: two symbols of another chunk beside the bucket's.
-
-    Of two signatures within DISTANCE that agree in one chunk but for ERRORS, the DISTANCE errors
-    at most leave one of the other CHUNKS - 1 with 2 at most, so WIDTH - 2 symbols of it agree.
-    """
-    spare = DISTANCE // (CHUNKS - 1)
-    choices = list(combinations(range(WIDTH), WIDTH - spare))
-    names = [f for f in rows.schema.fields]
-    kinds = defaultdict(pa.int64, sig=pa.binary(), n=pa.int32(), can=pa.int32())
-    schema = pa.schema([(f.name, kinds[f.name]) for f in names] + [("sub", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_chunk = len(list(combinations(range(WIDTH), WIDTH - ERRORS)))
-        for some in slices(batches, 1024):
-            signs = _symbols(some.column("sig"))
-            own = (some.column("key").to_numpy() >> (16 * (WIDTH - ERRORS))) // per_chunk
-            for c in range(CHUNKS):
-                other = np.flatnonzero(own != c)
-                for k, choice in enumerate(choices):
-                    sub = np.full(len(other), c * len(choices) + k, np.int64)
-                    for s in choice:
-                        sub = (sub << 16) | signs[other, c * WIDTH + s]
-                    taken = some.take(pa.array(other))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sub)], schema=schema)
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", sub long")
-
-
 def shingle_arrays(docs: DataFrame) -> DataFrame:
     """doc_id and its whole shingle set."""
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -137,10 +108,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Class leaders meet in buckets (`bucket_keys`). Each is held against the leading members of its
        buckets, two rounds with other leaders, the nearest signature first: that ties most groups
        together with one link per member instead of one per pair.
-    3. In buckets whose members are still in several components, every pair from two components
-       within the signature distance is confirmed on the full sets. Pairs within one component
-       change nothing and are not made. Buckets of more than BUCKET rows are split by `finer_keys`
-       first, which loses no pair.
+    3. In buckets whose members are still in several components, pairs from two components within
+       the signature distance are confirmed on the full sets, block by block (`_across`). Pairs within
+       one component change nothing, and pairs that are no links leave no row.
 
     Shingles that one set alone has bound its similarity to any other (`shareable`). That keeps large
     families of texts that share a core, but are not similar enough, from being confirmed pair by pair.
@@ -170,8 +140,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = materialise(shingle_arrays(restrict(docs, wanted, ["doc_id"], few)), "sets", folder)
         signs = materialise(classes.select("rep", "sig").join(shareable(sets), "rep"), "signs", folder)
         # The other set may be as small as what is shared, so the union is `n` at least.
-        hopeful = signs.where(F.coalesce(100 * F.col("can") >= SHARE * F.col("n"), F.lit(True))).select("rep")
-        shared = materialise(shared.join(hopeful, "rep", "left_semi"), "hopeful", folder)
+        hopeful = signs.where(F.coalesce(100 * F.col("can") >= SHARE * F.col("n"), F.lit(True)))
+        shared = materialise(shared.join(hopeful.select("rep", "n", "can"), "rep"), "hopeful", folder)
 
         links: DataFrame | None = None
         comps = signs.select("rep", F.col("rep").alias("comp")).limit(0)
@@ -183,18 +153,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = found if links is None else links.unionByName(found)
             comps = components(links, f"comps-{lead}", folder)
 
-        rows = shared.select("key", "rep").join(comps, "rep", "left").select(
-            "key", "rep", F.coalesce("comp", "rep").alias("comp")
-        )
+        # No partner in a bucket is smaller than its smallest set.
+        least = shared.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"))
+        rows = shared.join(least, "key").where(_possible("n", "can", "least", "can"))
+        rows = rows.join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), "n", "can")
         split = rows.groupBy("key").agg(
-            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.coalesce("n", F.lit(1000))).alias("total")
         ).where("c0 < c1")
-        open_rows = rows.join(split.select("key", "rows"), "key").join(signs, "rep")
-        open_rows = materialise(open_rows.select("key", "rep", "comp", "sig", "n", "can", "rows"), "open", folder)
-        small = open_rows.where(F.col("rows") <= BUCKET).drop("rows").withColumn("sub", F.lit(0).cast("long"))
-        large = finer_keys(open_rows.where(F.col("rows") > BUCKET).drop("rows"))
-        last = materialise(_across(small.unionByName(large)), "across", folder)
-        links = links.unionByName(confirmed(last, sets))
+        blocks = F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")
+        open_rows = rows.join(split.select("key", blocks), "key").join(signs.select("rep", "sig"), "rep")
+        open_rows = open_rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        links = links.unionByName(materialise(_across(open_rows), "links-across", folder))
         comps = components(links, "comps", folder)
 
         answered = drawn.join(classes.select("same", "rep"), "same", "left").join(comps, "rep", "left")
@@ -222,7 +191,7 @@ def shareable(sets: DataFrame) -> DataFrame:
     """rep, its set's size n, and `can`: how many of its shingles any other set has too.
 
     An intersection is no larger than either side's `can`. A doc_id that comes with several texts
-    gets a null, which bounds nothing.
+    gets nulls, which bound nothing.
     """
     each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle"))
     held = each.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("high"))
@@ -230,8 +199,10 @@ def shareable(sets: DataFrame) -> DataFrame:
     sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(
         F.max(F.size("shingles")).alias("n"), F.count("*").alias("texts")
     )
-    can = F.when(F.col("texts") == 1, F.col("n") - F.coalesce("alone", F.lit(0)))
-    return sizes.join(alone, "rep", "left").select("rep", "n", can.alias("can"))
+    known = F.when(F.col("texts") == 1, F.col("n"))
+    return sizes.join(alone, "rep", "left").select(
+        "rep", known.alias("n"), (known - F.coalesce("alone", F.lit(0))).alias("can")
+    )
 
 
 def _possible(n: str, can: str, other_n: str, other_can: str) -> Column:
@@ -289,18 +260,53 @@ def _near(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of one bucket from two components, within the signature distance."""
-    a = rows.select("key", "sub", "rep", F.col("comp").alias("ca"), F.col("sig").alias("sa"), "n", "can")
-    b = rows.select(
-        "key", "sub", F.col("rep").alias("lead"), F.col("comp").alias("cb"), F.col("sig").alias("sb"),
-        F.col("n").alias("m"), F.col("can").alias("may"),
-    )
-    return (
-        a.join(b, ["key", "sub"])
-        .where((F.col("ca") < F.col("cb")) & _possible("n", "can", "m", "may") & (_apart("sa", "sb") <= DISTANCE))
-        .select("rep", "lead")
-        .distinct()
+    """Links (rep, lead) between components of one bucket.
+
+    A bucket's rows are dealt to blocks; a group is two blocks of a bucket, or one with itself. In
+    it, signatures are compared all at once, and full sets where they are near enough. A pair that
+    shares several buckets is taken up in the first alone. Only links leave a group.
+    """
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")),
     )
+    dealt = rows.withColumn("block", block).select("*", F.explode(pairs).alias("p"))
+    dealt = dealt.select("key", "p.x", "p.y", "block", "rep", "comp", "n", "can", "sig", "shingles")
+    schema = pa.schema([("rep", pa.int64()), ("lead", pa.int64())])
+    choices = list(combinations(range(WIDTH), WIDTH - ERRORS))
+
+    def run(group: pa.Table) -> pa.Table:
+        number = group.column("key")[0].as_py() >> (16 * (WIDTH - ERRORS))
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        reps, comps, block = (group.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        shingles = group.column("shingles").combine_chunks()
+        sets = [shingles[i].values.to_numpy() for i in range(len(reps))]
+        signs = _symbols(group.column("sig"))
+        sizes = np.array([len(s) for s in sets])
+        can = np.where([c.is_valid for c in group.column("can")], group.column("can").fill_null(0).to_numpy(), sizes)
+        comps = comps.copy()
+        out = []
+        right = np.flatnonzero(block == y)
+        for i in np.flatnonzero(block == x):
+            most = np.minimum(can[i], can[right])
+            other = (comps[right] != comps[i]) & (100 * most >= SHARE * (sizes[i] + sizes[right] - most))
+            if x == y:
+                other &= right > i
+            near = right[other]
+            same = (signs[near] == signs[i]).reshape(len(near), CHUNKS, WIDTH)
+            near_enough = same.sum(axis=(1, 2)) >= SYMBOLS - DISTANCE
+            shared = np.stack([same[:, :, list(c)].all(axis=2) for c in choices], axis=2)
+            shared = shared.reshape(len(near), CHUNKS * len(choices))
+            for j in near[near_enough & (shared.argmax(axis=1) == number)]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if comps[i] != comps[j] and 100 * both >= SHARE * (sizes[i] + sizes[j] - both):
+                    out.append((reps[i], reps[j]))
+                    comps[comps == comps[j]] = comps[i]
+        columns = zip(*out, strict=True) if out else ((), ())
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(run, "rep long, lead long")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -312,5 +318,5 @@ def _apart(a: str, b: str) -> Column:
     return F.lit(SYMBOLS) - same
 
 
-def _symbols(column: pa.Array) -> np.ndarray:
+def _symbols(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), SYMBOLS).astype(np.int64)
