@@ -71,8 +71,8 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = docs.select("doc_id", F.sha2("text", 256).alias("h"))
     first = hashes.groupBy("h").agg(F.min("doc_id").alias("first"))
     copies = hashes.join(first, "h").where("doc_id <> first").select("doc_id")
-    versions = spark.createDataFrame([("byte_bpe_50k",), ("words",)], "tokenizer_version string")
-    gone = copies.join(F.broadcast(versions))
+    versions = F.array(F.lit("byte_bpe_50k"), F.lit("words"))
+    gone = copies.select("doc_id", F.explode(versions).alias("tokenizer_version"))
 
     rollup.upsert("1-bpe", count_tokens(docs, tokenizer_json(), "byte_bpe_50k"))
     rollup.upsert("2-words", plain)

@@ -110,7 +110,7 @@ def _ratios(counts: DataFrame) -> DataFrame:
         ends = counts.groupBy(F.right("run", F.lit(k + 1)).alias("end")).agg(
             F.sum("yes").alias("yes"), F.sum("no").alias("no")
         )
-        context = F.substring("end", 1, k) if k else F.lit("")
+        context = F.substring("end", 1, k)
         around = ends.groupBy(context.alias("context")).agg(
             F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"),
             F.count_if(F.col("yes") > 0).alias("kinds_yes"), F.count_if(F.col("no") > 0).alias("kinds_no"),
