@@ -10,7 +10,7 @@ import numpy as np
 from loglore.llm.common import process_cache
 
 #: Pieces that a worker remembers; beyond it, new ones are encoded each time they come.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _LONGEST = 64
 
 
