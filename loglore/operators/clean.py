@@ -108,13 +108,18 @@ def reject_whole_batches(checked: DataFrame, batch: list[str]) -> DataFrame:
     """Strict mode: one bad row rejects every row of its batch.
 
     `batch` names the columns that number the batches (see number.with_batch_no).
+    Nulls in them are equal, as they are to the numbering.
     """
-    bad = checked.filter(F.col("reason").isNotNull()).select(*batch).distinct()
+    named = [F.col(c).alias(f"_bad{i}") for i, c in enumerate(batch)]
+    bad = checked.filter(F.col("reason").isNotNull()).select(*named, F.lit(True).alias("_spoilt")).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(batch):
+        same = same & F.col(c).eqNullSafe(F.col(f"_bad{i}"))
     spoilt = F.when(F.col("_spoilt"), F.lit("batch holds an invalid commit"))
     return (
-        checked.join(bad.withColumn("_spoilt", F.lit(True)), batch, "left")
+        checked.join(bad, same, "left")
         .withColumn("reason", F.coalesce("reason", spoilt))
-        .drop("_spoilt")
+        .select(*checked.columns)
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglore.functions.text import hit_line
 from loglore.operators.sizing import fits_broadcast
+from loglore.operators.tables import check_layout
 from loglore.schema import COMMIT_ID_PATTERN, HIT, NO_HITS_LINE
 
 
@@ -23,7 +24,7 @@ def find_commits(
 
     Unknown ids drop out and repeated ids repeat. With `prefix_length`, that of
     the stored `sha_prefix` folders, only the folders of the wanted ids are
-    read. A small id table is broadcast; a large one is joined by shuffle, where
+    read; another length than the stored one is an error. A small id table is broadcast; a large one is joined by shuffle, where
     the adaptive plan splits an id that is asked for very often.
     """
     if small is None:
@@ -32,6 +33,7 @@ def find_commits(
     wanted = ids.filter(F.col("sha").rlike(COMMIT_ID_PATTERN))
     keys = ["sha"]
     if prefix_length:
+        check_layout(commits, prefix_length)
         wanted = wanted.withColumn("sha_prefix", F.substring("sha", 1, prefix_length))
         keys = ["sha_prefix", "sha"]
     found = commits.join(F.broadcast(wanted) if small else wanted, keys)

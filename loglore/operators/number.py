@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglore.operators.sizing import fits_broadcast
 from loglore.schema import BATCH_SIZE
 from loglore.session import materialise
 
@@ -12,7 +13,7 @@ from loglore.session import materialise
 _POSITION_BITS = (1 << 33) - 1
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str, folder: str | None = None) -> DataFrame:
     """Add `name`, the row's number from 1 in its `by` group, in `order`.
 
     Rows are range partitioned by group and order, so a large group spans many
@@ -28,6 +29,9 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
     spread too. For that id to come out the same when a lost task runs again,
     `df` must read a table or written rows without a shuffle in between;
     `materialise` it first where it does not.
+
+    `folder` takes the written rows; who names it removes it. The starts, a row
+    per group and partition, are broadcast where they are measured to be small.
     """
     groups = [F.col(c) for c in by]
     running = df.withColumn("_tie", F.monotonically_increasing_id())
@@ -39,7 +43,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS)))
         .drop("_tie")
     )
-    placed = materialise(placed, "numbered")
+    placed = materialise(placed, "numbered", folder)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(*by, "_part")
@@ -47,6 +51,9 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
         .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1)
         .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), "_shift")
     )
+    starts = materialise(starts, "starts", folder)
+    if fits_broadcast(starts):
+        starts = F.broadcast(starts)
     same = F.col("_part") == F.col("_p")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
@@ -58,8 +65,12 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
 
 
 def with_batch_no(
-    df: DataFrame, order: list[Column], by: tuple[str, ...] = ("repo",), size: int = BATCH_SIZE
+    df: DataFrame,
+    order: list[Column],
+    by: tuple[str, ...] = ("repo",),
+    size: int = BATCH_SIZE,
+    folder: str | None = None,
 ) -> DataFrame:
     """Number batches of `size` rows from 0 inside each group; the last is shorter."""
-    numbered = number_rows(df, list(by), order, "_row")
+    numbered = number_rows(df, list(by), order, "_row", folder)
     return numbered.withColumn("batch_no", F.floor((F.col("_row") - 1) / size)).drop("_row")

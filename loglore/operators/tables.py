@@ -90,6 +90,7 @@ class TableSet:
     def _append(self, name: str, rows: DataFrame) -> None:
         schema, layout = self._specs()[name]
         if "sha_prefix" in layout:
+            check_layout(self._read(name), self.prefix_length)
             rows = rows.withColumn("sha_prefix", self.prefix())
         rows = rows.select(*schema.names)
         if "sha_prefix" in layout:
@@ -121,6 +122,13 @@ class TableSet:
         }
 
 
+def check_layout(commits: DataFrame, prefix_length: int) -> None:
+    """Fail if stored commits lie in folders of another prefix: looking there would find nothing."""
+    stored = commits.select(F.length("sha_prefix").alias("n")).first()
+    if stored and stored["n"] != prefix_length:
+        raise ValueError(f"commits are stored by {stored['n']} digits of the id, not by {prefix_length}")
+
+
 def absent_rows(
     new: DataFrame, stored: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None = None
 ) -> DataFrame:
@@ -156,7 +164,8 @@ def check_embeddings(embeddings: DataFrame, commits: DataFrame) -> tuple[DataFra
     """Split embeddings into those that may be stored and REJECT rows.
 
     An embedding needs its commit, its required columns and a vector as long as
-    `dim`. The search for orphans compares ids only; no vector travels for it.
+    `dim`. The search for orphans compares ids only, and the orphans travel to
+    the vectors where they are measured to be few.
     """
     checked = embeddings.withColumn("reason", embedding_problem())
     sound = checked.filter(F.col("reason").isNull()).drop("reason")
@@ -169,6 +178,9 @@ def check_embeddings(embeddings: DataFrame, commits: DataFrame) -> tuple[DataFra
     rejects = broken.unionByName(orphans).select(
         F.lit("store").alias("stage"), "reason", "sha", F.concat_ws("|", "model", "source").alias("detail")
     )
+    gone = orphans.select("sha").distinct()
+    if fits_broadcast(gone):
+        return sound.join(F.broadcast(gone), "sha", "left_anti"), rejects
     return sound.join(commits.select("sha"), "sha", "left_semi"), rejects
 
 
@@ -178,8 +190,13 @@ def check_packed(packed: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def cascade(embeddings: DataFrame, surviving: DataFrame) -> DataFrame:
-    """Embeddings left once only `surviving` commits are; write to a new path."""
-    return embeddings.join(surviving.select("sha"), "sha", "left_semi")
+    """Embeddings left once only `surviving` commits are; write to a new path.
+
+    Only ids are compared with the commits; ids to delete then go to the vectors.
+    """
+    known = embeddings.filter(F.col("sha").isNotNull())
+    gone = known.select("sha").distinct().join(surviving.select("sha"), "sha", "left_anti")
+    return cascade_delete(known, gone)
 
 
 def cascade_delete(embeddings: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def index_commits(
     tables: TableSet,
     factory: EmbedderFactory,
     model: str = "",
-    run: str = "run",
+    run: str | None = None,
     strict: bool = False,
     concurrency: int | None = None,
     repair: bool = True,
@@ -46,7 +48,9 @@ def index_commits(
     embedder is called. The checked input and the embedded rows are written once
     each, as both feed several sinks and an embedder need not answer twice the
     same. Tables are written in the order commits, embeddings, index, log.
-    `strict` rejects the whole batch of a bad commit instead of the row.
+    `strict` rejects the whole batch of a bad commit instead of the row. `run`
+    names the run's rejects; a run of the same name replaces them, one without a
+    name gets a name of its own.
     `concurrency` sets how many tasks call the embedder at a time.
     """
     wanted = model_or_default(model)
@@ -55,7 +59,8 @@ def index_commits(
     with staging(raw.sparkSession) as folder:
         checked = check_commits(raw)
         if strict:
-            checked = reject_whole_batches(with_batch_no(checked, arrival_order()), ["repo", "batch_no"])
+            numbered = with_batch_no(checked, arrival_order(), folder=folder)
+            checked = reject_whole_batches(numbered, ["repo", "batch_no"])
         checked = materialise(checked, "checked", folder)
         known = tables.embeddings().filter((F.col("model") == wanted) & (F.col("source") == SOURCE_MESSAGE))
         todo = absent_rows(good_commits(checked), known, COMMIT_KEY, commit_order())
@@ -77,5 +82,6 @@ def index_commits(
             tables.add_embeddings(fresh)
             index_batch(tables, fresh)
         tables.write_rejects(
-            rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)), run
+            rejected_commits(checked).unionByName(embed_rejects(answered)).unionByName(index_rejects(good)),
+            f"run-{uuid.uuid4().hex}" if run is None else run,
         )

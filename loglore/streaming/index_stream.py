@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -27,14 +28,16 @@ def index_stream(
     What an earlier run left unmarked is repaired first. Without
     `processing_time` the stream takes what is available and stops. A batch that
     is replayed after a failure stores nothing twice, as every append leaves out
-    what is stored. Commits of any date are taken at any time, so there is no
+    what is stored, and replaces that batch's rejects, which are named after the
+    checkpoint and the batch. Commits of any date are taken at any time, so there is no
     watermark and no state beyond the tables.
     """
     sync_index(tables)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         here = replace(tables, spark=batch.sparkSession)
-        index_commits(batch, here, factory, model, f"batch-{batch_id}", concurrency=concurrency, repair=False)
+        index_commits(batch, here, factory, model, f"stream-{stream}-batch-{batch_id}", concurrency=concurrency, repair=False)
 
     trigger = {"processingTime": processing_time} if processing_time else {"availableNow": True}
     return (
