@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loglore.llm.common import slices, texts_of
 from loglore.llm.encoding import encoder
 from loglore.operators.sizing import fits_broadcast, restrict
+from loglore.session import materialise
 
 _KEY = ["doc_key", "tokenizer_version"]
 _CELL = ["source", "lang", "tokenizer_version"]
@@ -91,6 +92,8 @@ class TokenRollup:
     def _apply(self, batch: str, new: DataFrame) -> bool:
         if self._batches().where(F.col("batch") == batch).head(1):
             return False
+        # Counted once: the batch feeds the look-up of what is known and the new rows.
+        new = materialise(new, "rollup-batch")
         ledger = self._committed("ledger")
         keys = new.select(*_KEY)
         known = restrict(ledger.drop("batch"), keys, _KEY, small=fits_broadcast(keys))
