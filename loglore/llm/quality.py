@@ -130,8 +130,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the documents that the rules reject."""
-    return with_quality(docs).where("__ll_quality.kept").drop("__ll_quality")
+    """`docs`, all columns, without the documents that the rules reject.
+
+    The filter waits behind a running number. Pushed down, the verdict would be put together from
+    the text alone, with each step written out as often as later ones name it: a plan without end.
+    """
+    judged = with_quality(docs).withColumn("__ll_row", F.monotonically_increasing_id())
+    kept = F.col("__ll_quality.kept") & (F.col("__ll_row") >= 0)
+    return judged.where(kept).drop("__ll_quality", "__ll_row")
 
 
 def _bins() -> int:
