@@ -28,13 +28,13 @@ from loglore.session import materialise, work_path
 FIRST_READ = 4096
 # Best rows a task keeps at once; more queries than that take another pass.
 STATE_ROWS = 1_000_000
-# A task keeps the k best itself up to this k; beyond it, pruning saves nothing.
+# A task keeps the k best itself up to this k; beyond it, counts of scores give a floor first.
 MAX_LOCAL_K = 10_000
+# Equal steps of similarity, from -1 to 1, in which scores are counted for that floor.
+BINS = 512
 # Scored rows that may leave a scoring stage, and those of one query.
 SCORED_ROWS = 200_000_000
 WINDOW_ROWS = 5_000_000
-# Scoring tasks per core below which they are not merged further.
-WAVES = 4
 # Entries of one block of scores in a task.
 BLOCK_SCORES = 2_000_000
 
@@ -47,7 +47,7 @@ class QueryBlock(NamedTuple):
     model: str
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, local_k: int = MAX_LOCAL_K) -> DataFrame:
     """The k most similar documents of every query, ranked from 1.
 
     `queries` has `query_id` (unique), `vector` and `model`; a query meets the
@@ -55,6 +55,11 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFram
     zero or not finite has no similarity to anything and gets no hits
     (`query_rejects` lists them). Equal similarities rank by sha, then source.
     k above the number of documents gives them all; k below 1 gives none.
+
+    Up to `local_k`, every task keeps its own k best. For a larger k the corpus
+    is read twice: the first time scores are counted in BINS steps, which gives
+    each query a floor that no hit lies below, and then only what may reach it
+    leaves a task. Either way gives the same hits.
     """
     spark = queries.sparkSession
     if k <= 0:
@@ -67,12 +72,14 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K) -> DataFram
         blocks = _blocks(first)
         if not blocks:
             return _rank(spark.createDataFrame([], SCORED), DEFAULT_K)
-        scored = [_score(spark, index, part, k) for block in blocks for part in _passes(block, k)]
+        scored = [
+            _score(spark, index, part, k, local_k) for block in blocks for part in _passes(block, k, local_k)
+        ]
         together = scored[0]
         for more in scored[1:]:
             together = together.unionByName(more)
-        return _rank(together, k)
-    return _rank(_score_in_chunks(spark, usable, index, k), k)
+        return _rank(together, k, local_k)
+    return _rank(_score_in_chunks(spark, usable, index, k, local_k), k, local_k)
 
 
 def query_rejects(queries: DataFrame) -> DataFrame:
@@ -101,10 +108,10 @@ def best_per_commit(hits: DataFrame) -> DataFrame:
     )
 
 
-def _rank(scored: DataFrame, k: int) -> DataFrame:
+def _rank(scored: DataFrame, k: int, local_k: int = MAX_LOCAL_K) -> DataFrame:
     columns = ["query_id", "rank", "sha", "source", "similarity"]
     order = [F.col("similarity").desc(), F.col("sha"), F.col("source")]
-    if k > MAX_LOCAL_K or k * WAVES * scored.sparkSession.sparkContext.defaultParallelism > WINDOW_ROWS:
+    if k > local_k:
         # So many hits per query must not meet in one task to be numbered.
         ranked = number_rows(scored, ["query_id"], order, "rank")
     else:
@@ -113,7 +120,9 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select(*columns)
 
 
-def _score_in_chunks(spark: SparkSession, usable: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def _score_in_chunks(
+    spark: SparkSession, usable: DataFrame, index: DataFrame, k: int, local_k: int
+) -> DataFrame:
     """Score a large query table one bounded chunk at a time, into one written table."""
     staged = materialise(usable, "queries")
     groups = (
@@ -134,9 +143,9 @@ def _score_in_chunks(spark: SparkSession, usable: DataFrame, index: DataFrame, k
         for chunk in range(chunks):
             part = mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toArrow()
             for block in _blocks(part):
-                for one in _passes(block, k):
+                for one in _passes(block, k, local_k):
                     shared = _broadcast(spark, one)
-                    _score(spark, index, one, k, shared).write.mode("append").parquet(path)
+                    _score(spark, index, one, k, local_k, shared).write.mode("append").parquet(path)
                     shared.destroy()
     return spark.read.schema(SCORED).parquet(path)
 
@@ -161,9 +170,9 @@ def _blocks(queries: pa.Table) -> list[QueryBlock]:
     ]
 
 
-def _passes(block: QueryBlock, k: int) -> list[QueryBlock]:
-    """The block cut so that a task's best rows stay within STATE_ROWS."""
-    step = max(1, STATE_ROWS // k) if k <= MAX_LOCAL_K else len(block.ids)
+def _passes(block: QueryBlock, k: int, local_k: int) -> list[QueryBlock]:
+    """The block cut so that a task's best rows, or counts, stay within STATE_ROWS."""
+    step = max(1, STATE_ROWS // (k if k <= local_k else BINS))
     return [
         QueryBlock(block.ids[i : i + step], block.vectors[i : i + step], block.model)
         for i in range(0, len(block.ids), step)
@@ -180,12 +189,14 @@ def _score(
     index: DataFrame,
     block: QueryBlock,
     k: int,
+    local_k: int,
     shared: Broadcast | None = None,
 ) -> DataFrame:
-    """SCORED rows of one query block: every task's k best per query.
+    """SCORED rows of one query block: every task's k best per query, or all above the floor.
 
     Each task sends up to queries x k rows, so where the index has very many
     splits, neighbouring ones are scored by one task to keep the sum bounded.
+    Behind a floor the sum is bounded as it is, and the splits stay.
     """
     dim = block.vectors.shape[1]
     docs = index.filter((F.col("model") == block.model) & (F.col("dim") == dim)).select(
@@ -193,24 +204,60 @@ def _score(
     )
     if shared is None:
         shared = _broadcast(spark, block)
-    if k <= MAX_LOCAL_K:
-        tasks = min(SCORED_ROWS // (len(block.ids) * k), WINDOW_ROWS // k)
-        docs = docs.coalesce(max(tasks, WAVES * spark.sparkContext.defaultParallelism))
-    return docs.mapInArrow(_scorer(shared, dim, k), SCORED)
+    if k > local_k:
+        floors = _floors(docs, shared, dim, len(block.ids), k)
+        return docs.mapInArrow(_scorer(shared, dim, k, floors), SCORED)
+    tasks = min(SCORED_ROWS // (len(block.ids) * k), WINDOW_ROWS // k)
+    return docs.coalesce(max(1, tasks)).mapInArrow(_scorer(shared, dim, k), SCORED)
+
+
+def _floors(docs: DataFrame, shared: Broadcast, dim: int, n_queries: int, k: int) -> np.ndarray:
+    """A similarity for each query that its k-th best document reaches; -inf if there are fewer."""
+    counted = docs.mapInArrow(_counter(shared, dim, k), "q int, bin int, n long")
+    from_top = Window.partitionBy("q").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counted.groupBy("q", "bin").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(from_top))
+    reached = summed.filter(F.col("n") >= k).groupBy("q").agg(F.max("bin").alias("bin"))
+    floors = np.full(n_queries, -np.inf)
+    for row in reached.collect():  # a row per query of the pass
+        floors[row["q"]] = row["bin"] * 2 / BINS - 1 - 2 * _margin(dim)
+    return floors
+
+
+def _counter(shared: Broadcast, dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of documents by query and step of similarity; only sums leave a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, raw = shared.value
+        queries = _Side.of(raw)
+        counts = np.zeros(len(raw) * BINS, np.int64)
+        for batch in batches:
+            for docs in _doc_blocks(batch, dim, len(raw), k):
+                rough = queries.rough @ docs.side.rough.T
+                steps = np.clip((rough + 1) * (BINS / 2), 0, BINS - 1).astype(np.int64)
+                steps += np.arange(len(raw))[:, None] * BINS
+                counts += np.bincount(steps.ravel(), minlength=len(counts))
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen // BINS, pa.int32()), pa.array(seen % BINS, pa.int32()), pa.array(counts[seen])],
+            names=["q", "bin", "n"],
+        )
+
+    return run
 
 
 def _scorer(
-    shared: Broadcast, dim: int, k: int
+    shared: Broadcast, dim: int, k: int, floors: np.ndarray | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The per-task part: blocks of documents against all queries of the broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw = shared.value
         queries = _Side.of(raw)
-        best = _Best(len(ids), k) if k <= MAX_LOCAL_K else None
+        best = _Best(len(ids), k) if floors is None else None
+        floor = best.floor if best else floors.copy()
         for batch in batches:
             for docs in _doc_blocks(batch, dim, len(ids), k):
-                for q, d, score in _candidates(queries, docs.side, k, best):
+                for q, d, score in _candidates(queries, docs.side, k, floor):
                     names = docs.names(d)
                     if best is None:
                         yield _scored_batch(ids, q, *names, score)
@@ -299,8 +346,13 @@ def _bytes(strings: pa.Array) -> np.ndarray:
     return np.array(strings.cast(pa.binary()).to_pylist(), dtype=np.bytes_)
 
 
+def _margin(dim: int) -> float:
+    """More than a float32 product of unit vectors can be off."""
+    return 4 * dim * np.finfo(np.float32).eps
+
+
 def _candidates(
-    queries: _Side, docs: _Side, k: int, best: _Best | None
+    queries: _Side, docs: _Side, k: int, floor: np.ndarray
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, document, similarity) of every pair that may be among the k best.
 
@@ -310,16 +362,11 @@ def _candidates(
     where a row lies in a block.
     """
     dim = queries.exact.shape[1]
-    margin = 4 * dim * np.finfo(np.float32).eps
+    margin = _margin(dim)
     step = max(1, BLOCK_SCORES // len(docs.lengths))
     for start in range(0, len(queries.exact), step):
-        if best is None:
-            shape = (len(queries.exact[start : start + step]), len(docs.exact))
-            q, d = (i.ravel() for i in np.indices(shape))
-        else:
-            rough = queries.rough[start : start + step] @ docs.rough.T
-            floor = best.floor[start : start + step]
-            q, d = np.nonzero(_passing(rough, floor, k, margin))
+        rough = queries.rough[start : start + step] @ docs.rough.T
+        q, d = np.nonzero(_passing(rough, floor[start : start + step], k, margin))
         q = q + start
         # Pieces keep the element-wise products of many candidates small.
         piece = max(1, BLOCK_SCORES // dim)

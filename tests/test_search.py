@@ -79,10 +79,9 @@ def test_equals_brute_force(corpus, conf, monkeypatch, k):
         {"FIRST_READ": 3},
         {"FIRST_READ": 3, "BROADCAST_BYTES": 400},
         {"STATE_ROWS": 25},
-        {"MAX_LOCAL_K": 5},
         {"WINDOW_ROWS": 1},
         {"BLOCK_SCORES": 70},
-        {"SCORED_ROWS": 1, "WAVES": 0},
+        {"SCORED_ROWS": 1},
     ],
 )
 def test_every_way_gives_the_same(corpus, conf, monkeypatch, limits):
@@ -90,11 +89,28 @@ def test_every_way_gives_the_same(corpus, conf, monkeypatch, limits):
     asked, docs = corpus
     for name, value in limits.items():
         monkeypatch.setattr(searching, name, value)
-    if "WAVES" in limits:
-        monkeypatch.setattr(searching, "WAVES", 1)
     assert got(search(asked, index_docs(docs), 10)) == brute(asked, docs, 10)
 
 
+@pytest.mark.parametrize(("k", "local_k"), [(10, 5), (100, 1), (239, 5), (500, 5)])
+@pytest.mark.parametrize("limits", [{}, {"BINS": 3}, {"STATE_ROWS": 1024}, {"FIRST_READ": 3}])
+def test_a_large_k_emits_what_reaches_the_floor(corpus, conf, monkeypatch, k, local_k, limits):
+    conf(spark__sql__execution__arrow__maxRecordsPerBatch=64)
+    asked, docs = corpus
+    for name, value in limits.items():
+        monkeypatch.setattr(searching, name, value)
+    assert got(search(asked, index_docs(docs), k, local_k)) == brute(asked, docs, k)
+
+
+def test_a_large_k_is_no_pair_of_everything(spark, corpus):
+    rng = np.random.default_rng(3)
+    docs = index_docs(documents(spark, rng.normal(size=(400, 8)).astype(np.float32)).repartition(3))
+    asked = queries(spark, rng.normal(size=(6, 8)).astype(np.float32))
+    block, = searching._blocks(asked.toArrow())
+    scored = searching._score(spark, docs, block, 20, 5).groupBy("query_id").count().collect()
+    assert len(scored) == 6 and all(20 <= r["count"] <= 3 * 20 for r in scored)
+
+
 def test_scoring_equals_the_column_function(spark, corpus):
     asked, docs = corpus
     hits = search(asked, index_docs(docs), 20)
