@@ -7,7 +7,8 @@ wherever their rows happen to be processed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,13 +58,26 @@ def blob_problem(blob: Column, dim: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.BinaryType())
-def pack(vectors: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes of each vector."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@F.arrow_udf(T.BinaryType())
+def pack(vectors: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes of each vector: the batch's values as they are, with offsets in bytes."""
+    sizes = pc.list_value_length(vectors).fill_null(0).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32)
+    values = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False), "<f4")
+    valid = vectors.is_valid().buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [valid, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def unpack(blobs: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def unpack(blobs: pa.Array) -> pa.Array:
     """The vector behind each byte string; a stray byte length is an error."""
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+    sizes = pc.binary_length(blobs).fill_null(0).to_numpy()
+    if (sizes % 4).any():
+        raise ValueError("byte length is not a multiple of 4")
+    offsets = np.concatenate([[0], np.cumsum(sizes) // 4]).astype(np.int32)
+    # Without nulls, the bytes of a batch lie one after the other.
+    own = blobs.drop_null().cast(pa.binary())
+    ends = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else [0, 0]
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    values = pa.array(data.view("<f4"), pa.float32())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=blobs.is_null())

@@ -230,6 +230,15 @@ LEFT JOIN first USING (query_id)""",
     "b17_top_k_for_many_queries": f"""
 WITH {_VECTORS}, {_HITS}
 SELECT query_id, rank, sha, source, round(similarity, 4) AS similarity FROM hits""",
+    "b18_top_k_by_floor": f"""
+WITH {_VECTORS},
+ranked AS (
+  SELECT CAST(b.item_id AS VARCHAR) AS query_id, d.sha, list_cosine_similarity(q.v, d.v) AS similarity,
+         row_number() OVER (PARTITION BY b.item_id
+                            ORDER BY list_cosine_similarity(q.v, d.v) DESC, d.sha) AS rank
+  FROM benchmark b JOIN vectors q ON q.vec_id = b.item_id CROSS JOIN vectors d
+)
+SELECT query_id, rank, sha, 'message' AS source, round(similarity, 4) AS similarity FROM ranked WHERE rank <= 50""",
     "b18_top_k_edges": f"""
 WITH {_VECTORS}
 SELECT 'documents' AS k_case, 'fixture-64' AS query_id, count(*) AS n_hits,

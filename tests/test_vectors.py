@@ -76,3 +76,12 @@ def test_sums_run_in_double_element_by_element(spark):
         assert row["norm"] == lengths[0]
         assert row["cos"] == exact / (lengths[0] * lengths[1])
         assert row["one"] == pytest.approx(1.0, abs=1e-12)
+
+
+def test_packing_keeps_nulls_and_empty_vectors_apart(spark, conf):
+    conf(spark__sql__execution__arrow__maxRecordsPerBatch=3)
+    rows = [(0, None), (1, [1.5, -2.25]), (2, []), (3, None), (4, [3.0]), (5, [0.0] * 5), (6, [])]
+    df = spark.createDataFrame(rows, "i int, vector array<float>").coalesce(1).withColumn("blob", pack("vector"))
+    found = df.withColumn("back", unpack("blob")).orderBy("i").collect()
+    assert [r["back"] for r in found] == [v for _, v in rows]
+    assert [r["blob"] and len(r["blob"]) for r in found] == [None, 8, 0, None, 4, 20, 0]
