@@ -84,4 +84,4 @@ def test_packing_keeps_nulls_and_empty_vectors_apart(spark, conf):
     df = spark.createDataFrame(rows, "i int, vector array<float>").coalesce(1).withColumn("blob", pack("vector"))
     found = df.withColumn("back", unpack("blob")).orderBy("i").collect()
     assert [r["back"] for r in found] == [v for _, v in rows]
-    assert [r["blob"] and len(r["blob"]) for r in found] == [None, 8, 0, None, 4, 20, 0]
+    assert [None if r["blob"] is None else len(r["blob"]) for r in found] == [None, 8, 0, None, 4, 20, 0]
