@@ -21,8 +21,8 @@ from loglore.session import materialise, staging, work_path
 FREQUENT = 100_000
 #: Rounds that fit the pieces' probabilities to the training words.
 ROUNDS = 2
-#: What an unseen word adds in the word model, and an unseen piece in the subword model.
-WORD_PRIOR, PIECE_PRIOR = 0.1, 0.1
+#: What an unseen word adds in the word model, an unseen piece to the pieces' counts, an end to the ends.
+WORD_PRIOR, PIECE_PRIOR, END_PRIOR = 0.1, 0.1, 0.5
 #: Different words that a task counts before it hands them on; documents of one block of postings.
 _COUNTED, _BLOCK = 300_000, 4096
 _LN10 = math.log(10)
@@ -45,11 +45,16 @@ def scores(docs: DataFrame, content: str, rounds: int = ROUNDS) -> DataFrame:
 
     Tokens are lower-cased words and one end per text. Both models learn from all documents that
     are not held out. The base is a smoothed word model. The subword model takes the pieces of an
-    existing vocabulary. Its scores start from the pieces' ranks and are fitted to the counts of all
-    training words: each round sums, per piece, how often all segmentations of all words use it,
-    weighted by their probability. `score` is the log10 probability of a text: for each word, with
-    the space before it, the sum over all its segmentations, and the end, a piece of its own. No
-    piece reaches over a space, so the text's marginal is the product of its words'.
+    existing vocabulary. Its scores start from the pieces' ranks and are fitted to all training
+    words: each round sums, per piece, how often all segmentations of all words use it, weighted by
+    their probability. A word of the training texts is an edge of its lattice as a whole, too: its
+    count less a discount, as a share of all words. What the discounts leave is the weight of the
+    pieces, which therefore learn from each different word once, as a new word would come.
+
+    `score` is the log10 probability of a text: for each word, with the space before it, the sum
+    over all its segmentations, and the end, a token of its own. No piece reaches over a space, so
+    the text's marginal is the product of its words'. Each first piece starts with the space and no
+    other does, so the words' probabilities sum to 1, as the texts' do.
 
     Counts of words are summed before they are shuffled. Words that make up at least one in FREQUENT
     training tokens, FREQUENT of them at most, go to every task, and their sums never leave the
@@ -67,25 +72,31 @@ def scores(docs: DataFrame, content: str, rounds: int = ROUNDS) -> DataFrame:
         counted = docs.mapInArrow(_count_words, "word binary, c long")
         words = materialise(counted.groupBy("word").agg(F.sum("c").alias("c")), "words", folder)
         ends = docs.where("NOT held_out").count()
-        seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+        seen = words.agg(
+            F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+            *[F.count_if(x).alias(a) for a, x in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2))],
+        ).first()
         n, v = seen.n + ends, seen.v + (1 if ends else 0)
+        # Absolute discounting; half a count where the data don't tell.
+        discount = seen.once / (seen.once + 2 * seen.twice) if seen.once and seen.twice else 0.5
+        ended = (ends + END_PRIOR) / (n + 2 * END_PRIOR)
 
-        logp = np.log(1.0 / (np.arange(len(pieces) + 1) + 10.0))
+        logp = np.log(1.0 / (np.arange(len(pieces)) + 10.0))
         logp -= np.logaddexp.reduce(logp)
         for _ in range(rounds):
-            used = np.full(len(pieces) + 1, PIECE_PRIOR)
-            used[-1] += ends
+            used = np.full(len(pieces), PIECE_PRIOR)
             learnt = words.where("c > 0").mapInArrow(_expect(pieces, logp), "piece int, uses double")
             for row in learnt.groupBy("piece").agg(F.sum("uses").alias("uses")).toLocalIterator():
                 used[row.piece] += row.uses
             logp = np.log(used / used.sum())
 
         base = F.log10((F.col("c") + WORD_PRIOR) / F.lit(float(n + WORD_PRIOR * (v + 1))))
-        scored = words.mapInArrow(_marginals(pieces, logp), "word binary, c long, sub double")
+        marginals = _marginals(pieces, logp, seen.n, seen.v, discount, math.log1p(-ended))
+        scored = words.mapInArrow(marginals, "word binary, c long, sub double")
         scored = materialise(scored.select("word", "c", base.alias("base"), "sub"), "scored", folder)
         often = scored.where(F.col("c") * FREQUENT >= n)
         known = {bytes(r.word): (r.c > 0, r.base, r.sub) for r in often.toLocalIterator()} if n else {}
-        end = (ends > 0, math.log10((ends + WORD_PRIOR) / (n + WORD_PRIOR * (v + 1))), float(logp[-1]) / _LN10)
+        end = (ends > 0, math.log10((ends + WORD_PRIOR) / (n + WORD_PRIOR * (v + 1))), math.log10(ended))
 
         split = materialise(docs.mapInArrow(_postings(known, end), _ROWS), "postings", folder)
         texts = split.where("word IS NULL").drop("word", "places", "times")
@@ -138,22 +149,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(pieces: list[bytes], logp: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces, logp[:-1])
+        lattice = Lattice(pieces, logp)
         total = np.zeros(len(pieces))
         for some in slices(batches, 100_000):
             words = [b" " + w for w in some.column("word").to_pylist()]
-            total += lattice.expected(words, some.column("c").to_numpy().astype(np.float64))
+            total += lattice.expected(words, np.ones(len(words)))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "uses"])
 
     return run
 
 
-def _marginals(pieces: list[bytes], logp: np.ndarray) -> Callable:
+def _marginals(pieces: list[bytes], logp: np.ndarray, n: int, v: int, discount: float, go_on: float) -> Callable:
+    """Log10 of each word's sum over all segmentations: as a whole (if known), or in pieces."""
+    by_pieces = math.log(discount * v / n) if n else 0.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces, logp[:-1])
+        lattice = Lattice(pieces, logp)
         for some in slices(batches, 100_000):
-            sub = lattice.marginals([b" " + w for w in some.column("word").to_pylist()]) / _LN10
+            sub = by_pieces + lattice.marginals([b" " + w for w in some.column("word").to_pylist()])
+            counts = some.column("c").to_numpy()
+            known = counts > 0
+            sub[known] = np.logaddexp(sub[known], np.log((counts[known] - discount) / max(n, 1)))
+            sub = (sub + go_on) / _LN10
             yield pa.RecordBatch.from_arrays(
                 [some.column("word"), some.column("c"), pa.array(sub)], ["word", "c", "sub"]
             )
