@@ -6,16 +6,18 @@ import math
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglore.llm import neardup
 from loglore.llm.common import table, tokenizer_json
 from loglore.llm.decontaminate import contaminated, without_contaminated
 from loglore.llm.lattice import Lattice
-from loglore.llm.lattice_lm import scores
+from loglore.llm.lattice_lm import pieces_of, scores
 from loglore.llm.line_dedup import drop_boilerplate
 from loglore.llm.neardup import near_duplicates, one_of_each
 from loglore.llm.quality import quality
@@ -106,9 +108,12 @@ def test_lattice_against_all_segmentations():
 
 
 def test_scores(spark, docs, no_docs):
+    apart = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    strange = next(i for i in range(100, 200) if apart(i))
+    more = spark.createDataFrame([(strange, "xq" * 15_000)], "doc_id long, text string")
+    docs = docs.unionByName(more, allowMissingColumns=True)
     rows = scores(docs, tokenizer_json(), 1).collect()
     tokens = [(d.doc_id, [*words_of(d.text), b""]) for d in docs.select("doc_id", "text").collect()]
-    apart = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     counts = Counter(t for i, ts in tokens if not apart(i) for t in ts)
     n, v = sum(counts.values()), len(counts)
     expected = sorted(
@@ -118,16 +123,58 @@ def test_scores(spark, docs, no_docs):
     )
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == expected
     assert all(r.score < 0 for r in rows)
-    plain = {r.doc_id: r.score / r.n_tokens for r in rows if r.doc_id in (6, 7)}
-    assert plain[6] > plain[7]
+    # Neither is in the training texts: pieces alone tell words from none.
+    plain = {r.doc_id: r.score / r.n_tokens for r in rows if r.doc_id in (6, strange)}
+    assert apart(6) and plain[6] > plain[strange]
     assert scores(no_docs, tokenizer_json(), 1).count() == 0
 
 
-def test_pipeline(spark, odd_dir):
-    ids = [r.doc_id for r in corpus_pipeline.run(spark, odd_dir).collect()]
-    docs = table(spark, odd_dir, "documents")
+def test_scores_against_their_definition(spark, docs):
+    """Without fitting, so that the pieces' scores are those of their ranks."""
+    found = scores(docs, tokenizer_json(), 0).collect()
+    apart = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    texts = [(d.doc_id, words_of(d.text)) for d in docs.select("doc_id", "text").collect()]
+    counts = Counter(w for i, ws in texts if not apart(i) for w in ws)
+    n, ends = sum(counts.values()), sum(not apart(i) for i, _ in texts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    pieces = pieces_of(tokenizer_json())
+    logp = np.log(1 / (np.arange(len(pieces)) + 10.0))
+    lattice = Lattice(pieces, logp - np.logaddexp.reduce(logp))
+    words = sorted({w for _, ws in texts for w in ws})
+    ended = (ends + 0.5) / (n + ends + 1)
+    each = {}
+    for w, spelt in zip(words, lattice.marginals([b" " + w for w in words]), strict=True):
+        ways = [spelt + math.log(discount * len(counts) / n)]
+        ways += [math.log((counts[w] - discount) / n)] if w in counts else []
+        each[w] = (np.logaddexp.reduce(ways) + math.log(1 - ended)) / math.log(10)
+    expected = sorted((str(i), sum(each[w] for w in ws) + math.log10(ended)) for i, ws in texts)
+    assert [i for i, _ in expected] == [i for i, _ in sorted((str(r.doc_id), r.score) for r in found)]
+    assert [x for _, x in sorted((str(r.doc_id), r.score) for r in found)] == pytest.approx([x for _, x in expected])
+
+
+def test_pipeline(spark, odd_dir, tmp_path):
+    """Odd documents and ordinary ones with their copies and benchmark passages."""
+    for p in Path(odd_dir).iterdir():
+        if p.stem != "documents":
+            (tmp_path / p.name).symlink_to(p)
+    odd = table(spark, odd_dir, "documents")
+    given = table(spark, SF_DIR, "documents").withColumn("doc_id", F.col("doc_id") + 1000)
+    odd.unionByName(given.select(odd.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
-    good = quality(docs).where("kept").select("doc_id")
+
+    judged = quality(docs)
+    good = judged.where("kept").select("doc_id")
     texts = drop_boilerplate(docs.join(good, "doc_id", "left_semi")).select("doc_id", "text").collect()
-    expected = [int(i) for i, _, _, kept in brute_components([tuple(r) for r in texts]) if kept]
-    assert sorted(ids) == sorted(expected) and 0 in ids
+    led = [int(i) for i, _, _, kept in brute_components([tuple(r) for r in texts]) if kept]
+    items = table(spark, str(tmp_path), "benchmark")
+    leaks = {r.doc_id for r in contaminated(spark.createDataFrame([r for r in texts if r.doc_id in set(led)]), items).collect()}
+    assert sorted(ids) == sorted(set(led) - leaks)
+    # Each stage takes something out.
+    assert len(texts) < docs.count() and len(led) < len(texts) and leaks
+    # Texts 0 to 2 pass the base rules, but none of their words is a common one of their language.
+    found = {r.doc_id: r for r in judged.where("doc_id < 3").collect()}
+    assert all(not r.base_failed and r.words_apart > 0.3 and not r.kept for r in found.values())
+    assert 3 in ids
