@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark passages in documents: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -17,9 +17,6 @@ from loglore.operators.sizing import measured_bytes
 
 #: Words of a seed.
 SEED = 3
-#: A seed is rare if at most so many times as many documents hold it as hold its item's rarest one;
-#: the rarer half of an item's seeds is taken in any case.
-RARE = 8
 #: Alignment: points of an equal word, of another word, of a word left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A passage counts if its alignment reaches this share of the points of the whole item.
@@ -58,6 +55,13 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most_score(item: np.ndarray, window: np.ndarray) -> int:
+    """A bound that no alignment of the two exceeds: the best stretch of `window`, its words matched wherever `item` has them."""
+    sums = np.cumsum(np.where(np.isin(window, item), MATCH, max(MISMATCH, GAP)))
+    lowest = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
+    return min(MATCH * len(item), int((sums - lowest).max(initial=0)))
+
+
 @dataclass
 class Items:
     """Benchmark items of one block as word numbers, and the seeds in them."""
@@ -84,23 +88,6 @@ class Items:
         keys = sorted(held)
         return cls(ids, words, number, np.array(keys, np.int64), [held[k] for k in keys])
 
-    def rare(self, frequency: dict[int, int]) -> Items:
-        """The same items with their rare seeds alone."""
-        of_item: dict[int, set[int]] = defaultdict(set)
-        for k, places in enumerate(self.places):
-            for item, _ in places:
-                of_item[item].add(k)
-        taken: dict[int, set[int]] = defaultdict(set)
-        for item, seeds in of_item.items():
-            counts = sorted(frequency.get(k, 0) for k in seeds)
-            most = max(RARE * max(counts[0], 1), counts[(len(counts) - 1) // 2])
-            for k in seeds:
-                if frequency.get(k, 0) <= most:
-                    taken[k].add(item)
-        keep = sorted(taken)
-        places = [[p for p in self.places[k] if p[0] in taken[k]] for k in keep]
-        return Items(self.ids, self.words, self.number, self.keys[keep], places)
-
     def hits(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of each text, and of every seed in them: text, place, number of the seed."""
         get = self.number.get
@@ -138,10 +125,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     doc_id, item_id, score (share of the points of the whole item), start_word and end_word of the
     best passage (words of the document without punctuation, end exclusive), item_words.
 
-    The first pass over the documents counts in how many of them each seed stands; only sums leave
-    a task. The second looks for the rare ones and aligns the item with the words around each hit,
-    where the document is. No document is shuffled and no pair made without a shared rare seed. A
-    benchmark beyond BLOCK_BYTES is worked off in blocks, two passes each.
+    One pass over the documents looks for every seed, however many documents hold it, and aligns the
+    item with the words around its hits, where the document is. What cannot reach the score by the
+    words that it shares with the item (`most_score`) is not aligned; that leaves nothing out. No
+    document is shuffled and no pair made without a shared seed, so a passage edited so closely that
+    none of its runs of SEED words is left is not seen. A benchmark beyond BLOCK_BYTES is worked off
+    in blocks, one pass each.
 
     Null texts count as empty. Items of fewer than SEED words are like any phrase and match nothing.
     Rows that repeat a document, and items that repeat a text, are answered each; a null doc_id or
@@ -155,9 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         held = Items.of([(r.item_id, (r.text or "").encode()) for r in own.collect()])
-        counted = docs.select("text").mapInArrow(_counter(held), "seed long, docs long")
-        frequency = dict(counted.groupBy("seed").agg(F.sum("docs")).toPandas().itertuples(index=False))
-        found = docs.mapInArrow(_finder(held.rare(frequency), least_score), _FOUND)
+        found = docs.mapInArrow(_finder(held, least_score), _FOUND)
         out = found if block == 0 else out.unionByName(found)
     return out
 
@@ -168,26 +155,13 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(found.distinct(), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
 
 
-def _counter(items: Items) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.keys), np.int64)
-        for some in slices(batches):
-            _, text, _, k = items.hits(bytes_of(some.column("text")))
-            once = np.unique(text * max(len(total), 1) + k) % max(len(total), 1)
-            total += np.bincount(once, minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "docs"])
-
-    return run
-
-
 def _finder(items: Items, least_score: float) -> Callable:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     schema = pa.schema(list(zip([f.split()[0] for f in _FOUND.split(", ")], kinds, strict=True)))
 
-    def best(numbers: np.ndarray, item: np.ndarray, starts: list[int]) -> tuple[int, int, int]:
-        """Score, start and end of the best passage near the places where the item seems to start."""
-        slack = len(item) // 2 + 2
+    def best(numbers: np.ndarray, item: np.ndarray, starts: list[int], least: float) -> tuple[float, int, int]:
+        """Share, start and end of the best passage near the places where the item seems to start; zeros below `least`."""
+        slack, whole = len(item) // 2 + 2, MATCH * len(item)
         spans: list[list[int]] = []
         for s in sorted(starts):
             left, right = max(0, s - slack), s + len(item) + slack
@@ -198,12 +172,16 @@ def _finder(items: Items, least_score: float) -> Callable:
         top = (0, 0, 0)
         for left, right in spans:
             window = numbers[left:right]
+            if most_score(item, window) / whole < least:
+                continue
             score, end = align(item, window)
             if score > top[0]:
                 top = (score, left, left + end)
         score, left, end = top
+        if not score or score / whole < least:
+            return 0, 0, 0
         _, back = align(item[::-1], numbers[left:end][::-1])
-        return score, end - back, end
+        return score / whole, end - back, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
@@ -216,9 +194,8 @@ def _finder(items: Items, least_score: float) -> Callable:
             out = []
             for (t, i), starts in near.items():
                 item = items.words[i]
-                score, start, end = best(numbers[t], item, starts)
-                share = score / (MATCH * len(item))
-                if share >= (least_score if len(item) >= SHORT else 1):
+                share, start, end = best(numbers[t], item, starts, least_score if len(item) >= SHORT else 1)
+                if share:
                     out.append((ids[t], items.ids[i], share, start, end, len(item)))
             columns = zip(*out, strict=True) if out else [()] * len(schema)
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loglore.llm import neardup
 from loglore.llm.common import table, tokenizer_json
-from loglore.llm.decontaminate import contaminated, without_contaminated
+from loglore.llm.decontaminate import MATCH, align, contaminated, most_score, passage_words, without_contaminated
 from loglore.llm.lattice import Lattice
 from loglore.llm.lattice_lm import pieces_of, scores
 from loglore.llm.line_dedup import drop_boilerplate
@@ -83,6 +83,42 @@ def test_benchmark_passages(spark, docs, no_docs):
     assert contaminated(no_docs, items).count() == contaminated(docs, items.limit(0)).count() == 0
 
 
+def brute_shares(docs: list[tuple], items: list[tuple], least: float = 0.5) -> dict[tuple, float]:
+    """Whole documents aligned with every item."""
+    number: dict[bytes, int] = {}
+    numbers = lambda text: np.array([number.setdefault(w, len(number)) for w in passage_words(text.encode())], np.int64)
+    held = [(j, numbers(text)) for j, text in items]
+    shares = {}
+    for i, text in docs:
+        window = numbers(text)
+        for j, item in held:
+            score, _ = align(item, window)
+            assert score <= most_score(item, window)
+            if score >= least * MATCH * len(item):
+                shares[i, j] = score / (MATCH * len(item))
+    return shares
+
+
+@pytest.mark.parametrize("copies", [9, 2000])
+@pytest.mark.parametrize("exact", [0, 1])
+def test_frequent_leaks(spark, copies, exact):
+    """Leaks make their own seeds frequent, whether edited, cut to half or more, or whole."""
+    kinds = []
+    for name, edit in (("a", lambda k: k % 5 == 4), ("b", lambda k: k >= 24)):
+        words = [f"{name}{k}" for k in range(40)]
+        edited = [f"new{k}" if edit(k) else w for k, w in enumerate(words)]
+        kinds.append((" ".join(words), " ".join(edited)))
+    items = [(j, whole) for j, (whole, _) in enumerate(kinds)]
+    rows = [(2 * i + j, f"start{i} here {edited} end{i}") for i in range(copies) for j, (_, edited) in enumerate(kinds)]
+    rows += [(10_000 + j, whole) for j, whole in items if exact]
+    rows += [(20_000 + i, " ".join(f"a{k} a{k + 1} a{k + 2} other{i}" for k in range(0, 12, 6))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_shares(rows, items)
+    assert len(expected) == 2 * copies + 2 * exact
+    assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(expected) and len(found) == len(expected)
+
+
 def test_lattice_against_all_segmentations():
     pieces = [b"a", b"b", b"ab", b"ba", b"aba", b"c"]
     p = np.array([0.2, 0.1, 0.3, 0.05, 0.25, 0.1])
