@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from loglore.llm.common import table
 from loglore.llm.line_dedup import drop_boilerplate
 from loglore.llm.oracles import ORACLES
 from loglore.llm.quality import passing, quality
@@ -29,6 +31,18 @@ def test_repeated_line_is_dropped_and_columns_stay(docs):
     assert passing(docs).columns == docs.columns
 
 
+def test_copies_do_not_become_the_reference(spark):
+    """A third of all rows are copies of one long junk text."""
+    given = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    junk = " ".join(f"#{i} *x{i % 13}| $% {i * i}&" for i in range(300))
+    given = given.unionByName(spark.createDataFrame([(-1, junk, "en")], given.schema))
+    copies = spark.range(given.count() // 2).select((-2 - F.col("id")).alias("doc_id"), F.lit(junk).alias("text"), F.lit("en").alias("lang"))
+    alone = {r.doc_id: r for r in quality(given).collect()}
+    found = {r.doc_id: r for r in quality(given.unionByName(copies)).collect()}
+    assert {i: r for i, r in found.items() if i >= -1} == alone
+    assert not any(r.kept for i, r in found.items() if i < 0) and sum(r.kept for r in alone.values()) > len(alone) / 2
+
+
 def test_empty_tables(spark, no_docs):
     assert quality(no_docs).count() == drop_boilerplate(no_docs, counts=True).count() == secrets(no_docs).count() == 0
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
