@@ -43,6 +43,17 @@ def test_copies_do_not_become_the_reference(spark):
     assert not any(r.kept for i, r in found.items() if i < 0) and sum(r.kept for r in alone.values()) > len(alone) / 2
 
 
+def test_copies_keep_their_lines(spark):
+    """A third of a source are copies of one text; a footer stands on every page."""
+    own = [(i, f"page {i} is its own\nand so is {i * i}\nfooter line here", "site") for i in range(40)]
+    copied = "a whole document\nof several lines\nthat was copied\nfooter line here"
+    rows = own + [(100 + i, copied, "site") for i in range(20)] + [(200, None, "site"), (201, None, "site")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = drop_boilerplate(docs).collect()
+    expected = [(i, t and t.removesuffix("\nfooter line here")) for i, t, _ in rows]
+    assert sorted((r.doc_id, r.text) for r in found) == expected
+
+
 def test_empty_tables(spark, no_docs):
     assert quality(no_docs).count() == drop_boilerplate(no_docs, counts=True).count() == secrets(no_docs).count() == 0
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
