@@ -43,20 +43,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a hash of the whole set, and its signature (null without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.binary())])
+    """doc_id, hash of the text, n_shingles, a hash of the whole set, and its signature (null without words)."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("mark", pa.string()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
             sets = shingle_sets(bytes_of(some.column("text")))
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signs = [signature(s).tobytes() if len(s) else None for s in sets]
-            columns = [some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [some.column("doc_id"), some.column("mark").cast(pa.string())]
+            columns += [pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array(same, pa.binary()), pa.array(signs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, same binary, sig binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text").mapInArrow(
+        run, "doc_id long, mark string, n long, same binary, sig binary"
     )
 
 
@@ -122,6 +125,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named: such a row has a null component_id and is kept. Rows that repeat a doc_id are judged by
     their own text; with equal texts they share one answer.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """`near_duplicates` with the hashes of each row's text (mark) and of its set (same)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with staging(spark) as folder:
@@ -170,7 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "rep", "doc_id"))
         result = answered.select(
             "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+            F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "mark", "same",
         )
         path = work_path(spark, "near-duplicates")
         result.write.parquet(path)
@@ -178,13 +186,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, without those whose group is led by another document."""
-    found = near_duplicates(docs)
-    dropped = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    dropped = dropped.withColumnRenamed("doc_id", "_dropped")
-    if fits_broadcast(dropped):
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """One row, all columns, of each group of `docs`; rows without words are in no group and all stay.
+
+    The row has the leader's doc_id and, where that comes with several texts, each of these sets stays
+    once. A row without a doc_id stays where no row with one has its set, one row for each set.
+
+    Rows are named by doc_id and the hash of their text, and these names travel, broadcast behind a
+    check of their size. Only rows whose name repeats and stays are grouped, one from each input
+    partition at most.
+    """
+    worded = _judged(docs).where("same IS NOT NULL")
+    names = worded.groupBy("same", "doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    names = materialise(names, "near-duplicate-names")
+    # By set: its leader, or none. By set and leader: one text of several with this set.
+    leads = names.groupBy("same", "doc_id").agg(F.min("mark").alias("first"))
+    named = names.where("doc_id IS NOT NULL").select("same").distinct().withColumn("named", F.lit(True))
+    own = (names["same"] == leads["same"]) & names["doc_id"].eqNullSafe(leads["doc_id"])
+    judged = names.join(leads, own).select(names["*"], "first").join(named, "same", "left")
+    stays = F.col("kept") & (F.col("mark") == F.col("first")) & (F.col("doc_id").isNotNull() | F.col("named").isNull())
+    judged = judged.select(F.col("doc_id").alias("_named"), F.col("mark").alias("_mark"), stays.alias("_stays"), "rows")
+    judged = materialise(judged.where("NOT _stays OR rows > 1").drop("rows"), "near-duplicate-verdicts")
+
+    marked = docs.select(*[docs[c] for c in docs.columns], F.col("doc_id").cast("long").alias("_id"), _mark().alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_named")) & (F.col("_text") == F.col("_mark"))
+    joined = marked.join(F.broadcast(judged) if fits_broadcast(judged) else judged, same, "left")
+    single = joined.where("_stays IS NULL").select(*docs.columns)
+    return single.unionByName(joined.where("_stays").dropDuplicates(["_id", "_text"]).select(*docs.columns))
+
+
+def _mark() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def shareable(sets: DataFrame) -> DataFrame:

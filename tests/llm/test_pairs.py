@@ -68,6 +68,25 @@ def test_one_of_each(docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_of_each(spark):
+    """Rows, not ids: repeated rows of a leader, a doc_id with two texts, rows without doc_id."""
+    one, two, three = (" ".join(f"{name}{k}" for k in range(30)) for name in "abc")
+    near = one + " more"
+    rows = [
+        *[(1, one, "x")] * 5, (1, one.upper(), "x"), (2, one, "x"), (3, near, "x"),
+        (4, two, "x"), (4, one, "x"), (4, two, "y"),
+        (None, two, "x"), (None, one.upper(), "x"), *[(None, three, "x")] * 3, (None, three.upper(), "x"),
+        (5, "", "x"), (5, "", "x"), (None, None, "x"), (None, None, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = one_of_each(docs)
+    assert left.columns == docs.columns
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in left.collect())
+    assert found == sorted(
+        [("1", one), ("4", two), ("None", three), ("5", ""), ("5", ""), ("None", ""), ("None", "")]
+    )
+
+
 def test_benchmark_passages(spark, docs, no_docs):
     item = " ".join(f"Alpha{i}, beta{i % 7}" for i in range(10, 25))
     items = spark.createDataFrame([(1, item, 0), (2, None, 0), (None, "too short", 0), (3, item, 0)], "item_id long, text string, doc_id long")
