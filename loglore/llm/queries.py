@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from loglore.llm.chunked_bpe import encode_documents
 from loglore.llm.common import WORD, table, tokenizer_json
+from loglore.llm.conversations import damaged, findings, repair
 from loglore.llm.decontaminate import contaminated
 from loglore.llm.lattice_lm import scores
 from loglore.llm.line_dedup import drop_boilerplate
+from loglore.llm.mixing import mix
 from loglore.llm.neardup import near_duplicates
 from loglore.llm.quality import quality
+from loglore.llm.resampling import resample
 from loglore.llm.secrets import secrets
 from loglore.llm.token_files import read_token_files, write_token_files
 from loglore.llm.token_rollup import TokenRollup, count_tokens
 from loglore.llm.url_filter import url_verdicts
+from loglore.operators.sizing import fits_broadcast
 from loglore.session import work_path
 
 #: Doubles are compared with SQL to so many places.
@@ -98,10 +102,28 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, targets, _ = mix(table(spark, sf_dir, "documents"), F.array("source"))
+    few = F.broadcast(targets) if fits_broadcast(targets) else targets
+    joined = mixed.withColumn("_own", F.col("sources")[0]).join(few, F.col("_own").eqNullSafe(F.col("source")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return findings(repair(damaged(given)), given)
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_lattice_scores, op3_divergence_rules, op4_near_duplicates, op5_benchmark_passages,
         op6_secret_owners, op7_token_rollup, op8_url_ratio, op9_site_lines, op10_chunked_bpe,
+        op11_source_mix, op12_conversation_repair, op13_target_resampling,
     )
 }
