@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import re
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
@@ -45,7 +44,7 @@ _MADE = {"u": "user", "a": "assistant"}
 _WHOLE = (_NONE, _PAIRS)
 
 BLANK, DUPLICATE, CUT_OFF = "blank", "duplicate", "truncated"
-_MARK = re.compile(r"[^\x20\x09-\x0D](?=[\x20\x09-\x0D]*\Z)")
+_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _LEGAL = ("su", "ua", "au")
 
 
@@ -174,12 +173,12 @@ def edited(rows: Sequence[tuple[str, str]], audit: str, begin: int) -> list[tupl
 
 def fault_of(text: str, seen: bool) -> str | None:
     """A turn's first fault: blank, seen earlier in the conversation, or without an end mark."""
-    last = _MARK.search(text)
-    if last is None:
+    last = text.rstrip(_SPACES)[-1:]
+    if not last:
         return BLANK
     if seen:
         return DUPLICATE
-    return None if last[0] in ".!?" else CUT_OFF
+    return None if last in ".!?" else CUT_OFF
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
