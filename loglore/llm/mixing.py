@@ -24,8 +24,9 @@ SHARE_PERCENT = 150
 #: No document, and so no source, is taken more often.
 MOST_TIMES = 2
 SEED = 11
-#: Documents of each size class (by powers of two) that may fill what a pattern's last one left open.
-FILLERS = 4
+#: Documents of each size class (by powers of two), on either side of the last one taken, that may be
+#: exchanged to fill what that one left open; and the most steps in which their words are counted.
+EXCHANGED, STEPS = 4, 1 << 20
 
 
 def sized(docs: DataFrame, sources: Column, seed: int = SEED) -> DataFrame:
@@ -189,8 +190,9 @@ def select_seeded(documents: DataFrame, routes: DataFrame) -> DataFrame:
     """doc_id, sources, size, copies and taken (words) of every document.
 
     A pattern's words are used whole as often as they are routed; the rest goes to its documents in
-    the order of their seeded numbers, as far as they fit. The words then still open are filled by a
-    few of the next documents, the first ones of each size class, largest first.
+    the order of their seeded numbers, as far as they fit. The words then still open are filled by
+    exchanging a few documents: of those nearest to the end, EXCHANGED of each size class that are in
+    and as many that are out, those are taken that come closest to what is wanted.
 
     Documents are dealt by ranges of pattern and number, so a pattern with a third of all rows spans
     a third of the tasks, which share only a sum each. Rows equal in doc_id and text may change
@@ -217,10 +219,10 @@ def select_seeded(documents: DataFrame, routes: DataFrame) -> DataFrame:
     on = (F.col("pattern") == F.col("_of")) & (F.col("part") == F.col("_part"))
     joined = placed.join(F.broadcast(starts) if fits_broadcast(starts) else starts, on).drop("_of", "_part")
     joined = joined.withColumn("more", F.col("start") + F.col("before") + F.col("size") <= F.col("open"))
-    fill = materialise(_fillers(joined), "mix-fillers")
+    fill = materialise(_exchanged(joined), "mix-exchanged")
     own = (F.col("part") == F.col("_at_part")) & (F.col("at") == F.col("_at"))
     chosen = joined.join(F.broadcast(fill) if fits_broadcast(fill) else fill, own, "left")
-    copies = F.col("whole") + (F.col("more") | F.col("_at").isNotNull()).cast("long")
+    copies = F.col("whole") + F.coalesce("_taken", "more").cast("long")
     return chosen.select("doc_id", "sources", "size", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -258,30 +260,53 @@ def _running(documents: DataFrame) -> DataFrame:
     return ordered.select(*columns).mapInArrow(run, kinds)
 
 
-def _fillers(joined: DataFrame) -> DataFrame:
-    """The place (_at_part, _at) of the documents that fill what is open behind each pattern's last one."""
+def _exchanged(joined: DataFrame) -> DataFrame:
+    """The place (_at_part, _at) of documents near each pattern's end, and whether they are _taken."""
     left = joined.groupBy("pattern").agg(
         (F.first("open") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("left")
     )
     left = materialise(left.where("left > 0").withColumnRenamed("pattern", "_of"), "mix-open")
     left = F.broadcast(left) if fits_broadcast(left) else left
-    fit = joined.where("NOT more AND size > 0").join(left, F.col("pattern") == F.col("_of")).where("size <= left")
-    nearest = Window.partitionBy("pattern", F.floor(F.log2("size"))).orderBy("luck", "doc_id", "size", "part", "at")
-    few = fit.withColumn("_place", F.row_number().over(nearest)).where(F.col("_place") <= FILLERS)
-    listed = few.groupBy("pattern").agg(
-        F.first("left").alias("left"), F.sort_array(F.collect_list(F.struct("size", "_place", "part", "at")), asc=False).alias("few")
-    )
-    start = F.struct("left", F.array().cast("array<struct<part:int,at:long>>").alias("chosen"))
-    taken = F.aggregate(
-        "few",
-        start,
-        lambda acc, d: F.when(
-            d["size"] <= acc["left"],
-            F.struct((acc["left"] - d["size"]).alias("left"), F.array_append(acc["chosen"], F.struct(d["part"], d["at"])).alias("chosen")),
-        ).otherwise(acc),
-        lambda acc: acc["chosen"],
-    )
-    return listed.select(F.explode(taken).alias("d")).select(F.col("d.part").alias("_at_part"), F.col("d.at").alias("_at"))
+    near = joined.where("size > 0").join(left, F.col("pattern") == F.col("_of"))
+    start = F.col("start") + F.col("before")
+    outward = F.when(F.col("more"), -start).otherwise(start)
+    nearest = Window.partitionBy("pattern", "more", F.floor(F.log2("size"))).orderBy(outward, "luck", "doc_id", "part", "at")
+    few = near.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= EXCHANGED)
+
+    def run(table: pa.Table) -> pa.Table:
+        # Equal documents stand side by side in any order: their places say nothing.
+        table = table.sort_by([(c, "ascending") for c in ("start", "luck", "doc_id", "part", "at")])
+        sizes, more = (table.column(c).to_pylist() for c in ("size", "more"))
+        taken = nearest_sum(sizes, more, table.column("left")[0].as_py())
+        return pa.table({"_at_part": table.column("part"), "_at": table.column("at"), "_taken": pa.array(taken, pa.bool_())})
+
+    narrow = few.select("pattern", "size", "more", "left", "luck", "doc_id", "part", "at", start.alias("start"))
+    return narrow.groupBy("pattern").applyInArrow(run, "_at_part int, _at long, _taken boolean")
+
+
+def nearest_sum(sizes: list[int], taken: list[bool], left: int) -> list[bool]:
+    """Which items to take so that their sizes come nearest to those taken so far and `left`.
+
+    Sums that can be reached are the bits of one integer; where they would be too many, sizes count
+    in larger steps. What may stay as it was stays.
+    """
+    step = 1 + sum(sizes) // STEPS
+    units = [round(n / step) for n in sizes]
+    wanted = round((left + sum(n for n, t in zip(sizes, taken, strict=True) if t)) / step)
+    reached = [1]
+    for n in units:
+        reached.append(reached[-1] | reached[-1] << n)
+    below = (reached[-1] & ((1 << (wanted + 1)) - 1)).bit_length() - 1
+    higher = reached[-1] >> (wanted + 1)
+    above = wanted + (higher & -higher).bit_length()
+    at = below if not higher or wanted - below <= above - wanted else above
+    out = []
+    for n, was, without in zip(reversed(units), reversed(taken), reversed(reached[:-1]), strict=True):
+        can_take, can_leave = at >= n and without >> (at - n) & 1, without >> at & 1
+        take = bool(can_take if was else not can_leave)
+        out.append(take)
+        at -= n if take else 0
+    return out[::-1]
 
 
 def mix(
