@@ -2,39 +2,44 @@
 
 The corpus stays where it is: each task streams its vectors in Arrow blocks
 past a broadcast matrix of queries and keeps the best k of every query, so no
-query-document pairs leave a task beyond its own k best. The shuffle that
-follows carries at most tasks x queries x k narrow rows.
+query-document pairs leave a task beyond its own k best. Where tasks may be so
+many that these rows are too many for one ranking, groups of tasks are merged
+first. For a very large k the floor of each query is found by counting (see
+`floors`), and only what reaches it leaves a task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import astuple
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglore.functions.vectors import vector_problem
+from loglore.operators.floors import BINS, Counting, Floor, unsigned
 from loglore.operators.number import number_rows
 from loglore.operators.sizing import BROADCAST_BYTES
 from loglore.schema import DEFAULT_K, SCORED
-from loglore.session import materialise, work_path
+from loglore.session import materialise, staging, work_path
 
 # Queries up to this number are read in one go; more are staged and cut up.
 FIRST_READ = 4096
-# Best rows a task keeps at once; more queries than that take another pass.
+# Best rows a task keeps at once, or counts; more queries than that take another pass.
 STATE_ROWS = 1_000_000
 # A task keeps the k best itself up to this k; beyond it, counts of scores give a floor first.
 MAX_LOCAL_K = 10_000
-# Equal steps of similarity, from -1 to 1, in which scores are counted for that floor.
-BINS = 512
-# Scored rows that may leave a scoring stage, and those of one query.
+# Scored rows that may meet in the last ranking, and those of one query.
 SCORED_ROWS = 200_000_000
 WINDOW_ROWS = 5_000_000
+# So many tasks a scoring stage may have before groups of them are merged, whatever k.
+UNMERGED_TASKS = 100_000
 # Entries of one block of scores in a task.
 BLOCK_SCORES = 2_000_000
 
@@ -57,9 +62,13 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, local_k: in
     k above the number of documents gives them all; k below 1 gives none.
 
     Up to `local_k`, every task keeps its own k best. For a larger k the corpus
-    is read twice: the first time scores are counted in BINS steps, which gives
-    each query a floor that no hit lies below, and then only what may reach it
-    leaves a task. Either way gives the same hits.
+    is read several times: scores are counted until each query has a floor that
+    no hit lies below and 2 x k documents reach at most, however close to each
+    other they are, and then only those leave a task. Either way gives the same
+    hits.
+
+    More than FIRST_READ queries are written first, so the plan behind `queries`
+    runs up to twice: write queries that are dear to make.
     """
     spark = queries.sparkSession
     if k <= 0:
@@ -79,7 +88,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_K, local_k: in
         for more in scored[1:]:
             together = together.unionByName(more)
         return _rank(together, k, local_k)
-    return _rank(_score_in_chunks(spark, usable, index, k, local_k), k, local_k)
+    return _search_in_chunks(spark, usable, index, k, local_k)
 
 
 def query_rejects(queries: DataFrame) -> DataFrame:
@@ -108,46 +117,66 @@ def best_per_commit(hits: DataFrame) -> DataFrame:
     )
 
 
-def _rank(scored: DataFrame, k: int, local_k: int = MAX_LOCAL_K) -> DataFrame:
+def _rank(scored: DataFrame, k: int, local_k: int = MAX_LOCAL_K, folder: str | None = None) -> DataFrame:
     columns = ["query_id", "rank", "sha", "source", "similarity"]
-    order = [F.col("similarity").desc(), F.col("sha"), F.col("source")]
     if k > local_k:
         # So many hits per query must not meet in one task to be numbered.
-        ranked = number_rows(scored, ["query_id"], order, "rank")
+        ranked = number_rows(scored, ["query_id"], _order(), "rank", folder and f"{folder}/{uuid.uuid4().hex}")
     else:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
         ranked = scored.withColumn("rank", place.cast("long"))
     return ranked.filter(F.col("rank") <= k).select(*columns)
 
 
-def _score_in_chunks(
+def _order() -> list[Column]:
+    return [F.col("similarity").desc(), F.col("sha"), F.col("source")]
+
+
+def _merged(scored: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """The k best of every query in each group of scoring tasks.
+
+    There are as many groups as the last ranking can take in. With few queries and a small k that is
+    more than any job has tasks, and the rows go on as they are.
+    """
+    groups = max(1, min(SCORED_ROWS // (n_queries * k), WINDOW_ROWS // k))
+    if groups >= UNMERGED_TASKS:
+        return scored
+    grouped = scored.withColumn("_group", F.spark_partition_id() % groups)
+    place = F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(*_order()))
+    return grouped.withColumn("_place", place).filter(F.col("_place") <= k).select(*scored.columns)
+
+
+def _search_in_chunks(
     spark: SparkSession, usable: DataFrame, index: DataFrame, k: int, local_k: int
 ) -> DataFrame:
-    """Score a large query table one bounded chunk at a time, into one written table."""
-    staged = materialise(usable, "queries")
-    groups = (
-        staged.groupBy("model", F.size("vector").alias("dim"))
-        .agg(F.count("*").alias("rows"), F.sum(F.octet_length("query_id") + 16).alias("id_bytes"))
-        .collect()
-    )
-    doubled = staged.groupBy("query_id").count().filter("count > 1").head(1)
-    if doubled:
-        raise ValueError(f"query_id is not unique: {doubled[0]['query_id']}")
+    """The hits of a large query table, ranked one bounded chunk at a time, into one written table."""
     path = work_path(spark, "hits")
-    spark.createDataFrame([], SCORED).write.parquet(path)
-    for group in groups:
-        total = group["rows"] * group["dim"] * 8 + group["id_bytes"]
-        # Ids are unique, so their hashes fill the chunks evenly.
-        chunks = max(1, -(-2 * total // BROADCAST_BYTES))
-        mine = staged.filter((F.col("model") == group["model"]) & (F.size("vector") == group["dim"]))
-        for chunk in range(chunks):
-            part = mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toArrow()
-            for block in _blocks(part):
-                for one in _passes(block, k, local_k):
-                    shared = _broadcast(spark, one)
-                    _score(spark, index, one, k, local_k, shared).write.mode("append").parquet(path)
-                    shared.destroy()
-    return spark.read.schema(SCORED).parquet(path)
+    with staging(spark) as folder:
+        staged = materialise(usable, "queries", folder)
+        groups = (
+            staged.groupBy("model", F.size("vector").alias("dim"))
+            .agg(F.count("*").alias("rows"), F.sum(F.octet_length("query_id") + 16).alias("id_bytes"))
+            .collect()
+        )
+        doubled = staged.groupBy("query_id").count().filter("count > 1").head(1)
+        if doubled:
+            raise ValueError(f"query_id is not unique: {doubled[0]['query_id']}")
+        nothing = _rank(spark.createDataFrame([], SCORED), DEFAULT_K)
+        nothing.write.parquet(path)
+        for group in groups:
+            total = group["rows"] * group["dim"] * 8 + group["id_bytes"]
+            # Ids are unique, so their hashes fill the chunks evenly.
+            chunks = max(1, -(-2 * total // BROADCAST_BYTES))
+            mine = staged.filter((F.col("model") == group["model"]) & (F.size("vector") == group["dim"]))
+            for chunk in range(chunks):
+                part = mine.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk).toArrow()
+                for block in _blocks(part):
+                    for one in _passes(block, k, local_k):
+                        shared = _broadcast(spark, one)
+                        scored = _score(spark, index, one, k, local_k, shared)
+                        _rank(scored, k, local_k, folder).write.mode("append").parquet(path)
+                        shared.destroy()
+    return spark.read.schema(nothing.schema).parquet(path)
 
 
 def _blocks(queries: pa.Table) -> list[QueryBlock]:
@@ -172,7 +201,7 @@ def _blocks(queries: pa.Table) -> list[QueryBlock]:
 
 def _passes(block: QueryBlock, k: int, local_k: int) -> list[QueryBlock]:
     """The block cut so that a task's best rows, or counts, stay within STATE_ROWS."""
-    step = max(1, STATE_ROWS // (k if k <= local_k else BINS))
+    step = max(1, STATE_ROWS // (k if k <= local_k else BINS + 1))
     return [
         QueryBlock(block.ids[i : i + step], block.vectors[i : i + step], block.model)
         for i in range(0, len(block.ids), step)
@@ -192,11 +221,9 @@ def _score(
     local_k: int,
     shared: Broadcast | None = None,
 ) -> DataFrame:
-    """SCORED rows of one query block: every task's k best per query, or all above the floor.
+    """SCORED rows of one query block: the k best of every group of tasks, or all above the floor.
 
-    Each task sends up to queries x k rows, so where the index has very many
-    splits, neighbouring ones are scored by one task to keep the sum bounded.
-    Behind a floor the sum is bounded as it is, and the splits stay.
+    Every split of the index is a task. Behind a floor at most 2 x k rows per query are left.
     """
     dim = block.vectors.shape[1]
     docs = index.filter((F.col("model") == block.model) & (F.col("dim") == dim)).select(
@@ -205,48 +232,63 @@ def _score(
     if shared is None:
         shared = _broadcast(spark, block)
     if k > local_k:
-        floors = _floors(docs, shared, dim, len(block.ids), k)
+        floors = _floors(docs, block.vectors, k)
         return docs.mapInArrow(_scorer(shared, dim, k, floors), SCORED)
-    tasks = min(SCORED_ROWS // (len(block.ids) * k), WINDOW_ROWS // k)
-    return docs.coalesce(max(1, tasks)).mapInArrow(_scorer(shared, dim, k), SCORED)
-
-
-def _floors(docs: DataFrame, shared: Broadcast, dim: int, n_queries: int, k: int) -> np.ndarray:
-    """A similarity for each query that its k-th best document reaches; -inf if there are fewer."""
-    counted = docs.mapInArrow(_counter(shared, dim, k), "q int, bin int, n long")
-    from_top = Window.partitionBy("q").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = counted.groupBy("q", "bin").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(from_top))
-    reached = summed.filter(F.col("n") >= k).groupBy("q").agg(F.max("bin").alias("bin"))
-    floors = np.full(n_queries, -np.inf)
-    for row in reached.collect():  # a row per query of the pass
-        floors[row["q"]] = row["bin"] * 2 / BINS - 1 - 2 * _margin(dim)
+    return _merged(docs.mapInArrow(_scorer(shared, dim, k), SCORED), len(block.ids), k)
+
+
+def _floors(docs: DataFrame, vectors: np.ndarray, k: int) -> list[Floor]:
+    """A floor for each query that its k best documents reach, and 2 x k at most.
+
+    Each pass counts for the queries that are not settled; a count is at most BINS + 1 numbers per
+    query, and _passes bounds the queries.
+    """
+    dim = vectors.shape[1]
+    floors = [Floor() for _ in vectors]
+    while open_ones := [i for i, f in enumerate(floors) if f.level is not None]:
+        shared = docs.sparkSession.sparkContext.broadcast((vectors[open_ones], [astuple(floors[i]) for i in open_ones]))
+        counted = docs.mapInArrow(_counter(shared, dim, k), "q int, bin int, n long, least long, most long")
+        sums = F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+        found = counted.groupBy("q", "bin").agg(*sums).toArrow()
+        at = found["q"].to_numpy(), found["bin"].to_numpy()
+        counts, least, most = (np.zeros((len(open_ones), BINS + 1), t) for t in (np.int64, np.uint64, np.uint64))
+        counts[at] = found["n"].to_numpy()
+        least[at], most[at] = (unsigned(found[c].to_numpy()) for c in ("least", "most"))
+        for i, *row in zip(open_ones, counts, least, most):
+            floors[i].narrowed(*row, k, _margin(dim))
+        shared.destroy()
     return floors
 
 
 def _counter(shared: Broadcast, dim: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of documents by query and step of similarity; only sums leave a task."""
+    """Counts of documents by query and step; only sums leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, raw = shared.value
+        raw, floors = shared.value
         queries = _Side.of(raw)
-        counts = np.zeros(len(raw) * BINS, np.int64)
+        counting = Counting([Floor(*f) for f in floors])
+        margin = _margin(dim)
         for batch in batches:
             for docs in _doc_blocks(batch, dim, len(raw), k):
                 rough = queries.rough @ docs.side.rough.T
-                steps = np.clip((rough + 1) * (BINS / 2), 0, BINS - 1).astype(np.int64)
-                steps += np.arange(len(raw))[:, None] * BINS
-                counts += np.bincount(steps.ravel(), minlength=len(counts))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen // BINS, pa.int32()), pa.array(seen % BINS, pa.int32()), pa.array(counts[seen])],
-            names=["q", "bin", "n"],
-        )
+                counting.add_rough(rough)
+                q, d = np.nonzero(rough >= (counting.from_score - margin)[:, None])
+                for qi, di, score in _exact(queries, docs.side, q, d):
+                    for one, own in _runs(qi):
+                        counting.add_exact(one, score[own], lambda some, d=di[own], of=docs: _names(*of.names(d[some])))
+        names = ["q", "bin", "n", "least", "most"]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in counting.rows()], names=names)
 
     return run
 
 
+def _names(sha: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """One byte string in the order of sha, then source."""
+    return np.char.add(np.char.add(sha, b"\x00"), source)
+
+
 def _scorer(
-    shared: Broadcast, dim: int, k: int, floors: np.ndarray | None = None
+    shared: Broadcast, dim: int, k: int, floors: list[Floor] | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The per-task part: blocks of documents against all queries of the broadcast."""
 
@@ -254,13 +296,17 @@ def _scorer(
         ids, raw = shared.value
         queries = _Side.of(raw)
         best = _Best(len(ids), k) if floors is None else None
-        floor = best.floor if best else floors.copy()
+        least = best.floor if best else np.array([f.score for f in floors])
+        floor = least if best else least.copy()
         for batch in batches:
             for docs in _doc_blocks(batch, dim, len(ids), k):
                 for q, d, score in _candidates(queries, docs.side, k, floor):
+                    if best is None:
+                        q, d, score = (c[score >= least[q]] for c in (q, d, score))
                     names = docs.names(d)
                     if best is None:
-                        yield _scored_batch(ids, q, *names, score)
+                        own = ~_beyond(floors, q, score, _names(*names))
+                        yield _scored_batch(ids, q[own], *(c[own] for c in names), score[own])
                     else:
                         best.add(q, *names, score)
         if best is not None:
@@ -269,6 +315,24 @@ def _scorer(
     return run
 
 
+def _beyond(floors: list[Floor], q: np.ndarray, score: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which rows have just the score of their query's floor, and a name behind its last one."""
+    out = np.zeros(len(q), bool)
+    for one, own in _runs(q):
+        floor = floors[one]
+        if floor.name is not None:
+            width = f"S{len(floor.name)}"
+            out[own] = (score[own] == floor.score) & (names[own].astype(width) > np.array([floor.name], width)[0])
+    return out
+
+
+def _runs(q: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each query of ascending `q` with its stretch."""
+    cuts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
+    for a, b in zip(cuts, [*cuts[1:], len(q)]):
+        yield int(q[a]), slice(a, b)
+
+
 class _Side(NamedTuple):
     """Vectors of one side of the product: exact, their lengths, and rough unit form."""
 
@@ -348,7 +412,7 @@ def _bytes(strings: pa.Array) -> np.ndarray:
 
 def _margin(dim: int) -> float:
     """More than a float32 product of unit vectors can be off."""
-    return 4 * dim * np.finfo(np.float32).eps
+    return 4 * dim * float(np.finfo(np.float32).eps)
 
 
 def _candidates(
@@ -361,19 +425,23 @@ def _candidates(
     element by element, and only that number counts: it does not depend on
     where a row lies in a block.
     """
-    dim = queries.exact.shape[1]
-    margin = _margin(dim)
+    margin = _margin(queries.exact.shape[1])
     step = max(1, BLOCK_SCORES // len(docs.lengths))
     for start in range(0, len(queries.exact), step):
         rough = queries.rough[start : start + step] @ docs.rough.T
         q, d = np.nonzero(_passing(rough, floor[start : start + step], k, margin))
-        q = q + start
-        # Pieces keep the element-wise products of many candidates small.
-        piece = max(1, BLOCK_SCORES // dim)
-        for at in range(0, len(q), piece):
-            qi, di = q[at : at + piece], d[at : at + piece]
-            exact = np.cumsum(queries.exact[qi] * docs.exact[di], axis=1)[:, -1]
-            yield qi, di, exact / (queries.lengths[qi] * docs.lengths[di])
+        yield from _exact(queries, docs, q + start, d)
+
+
+def _exact(
+    queries: _Side, docs: _Side, q: np.ndarray, d: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, document, similarity) of the given pairs, in pieces that keep the products small."""
+    piece = max(1, BLOCK_SCORES // queries.exact.shape[1])
+    for at in range(0, len(q), piece):
+        qi, di = q[at : at + piece], d[at : at + piece]
+        exact = np.cumsum(queries.exact[qi] * docs.exact[di], axis=1)[:, -1]
+        yield qi, di, exact / (queries.lengths[qi] * docs.lengths[di])
 
 
 def _passing(rough: np.ndarray, floor: np.ndarray, k: int, margin: float) -> np.ndarray:

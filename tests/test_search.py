@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import loglore.operators.floors as floors
 import loglore.operators.search as searching
 from loglore.functions.text import first_line
 from loglore.functions.vectors import cosine
@@ -82,6 +83,7 @@ def test_equals_brute_force(corpus, conf, monkeypatch, k):
         {"WINDOW_ROWS": 1},
         {"BLOCK_SCORES": 70},
         {"SCORED_ROWS": 1},
+        {"SCORED_ROWS": 160, "FIRST_READ": 3},
     ],
 )
 def test_every_way_gives_the_same(corpus, conf, monkeypatch, limits):
@@ -92,23 +94,92 @@ def test_every_way_gives_the_same(corpus, conf, monkeypatch, limits):
     assert got(search(asked, index_docs(docs), 10)) == brute(asked, docs, 10)
 
 
+def narrow(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(searching, name, value)
+        if name == "BINS":
+            monkeypatch.setattr(floors, name, value)
+
+
 @pytest.mark.parametrize(("k", "local_k"), [(10, 5), (100, 1), (239, 5), (500, 5)])
-@pytest.mark.parametrize("limits", [{}, {"BINS": 3}, {"STATE_ROWS": 1024}, {"FIRST_READ": 3}])
+@pytest.mark.parametrize("limits", [{}, {"BINS": 16}, {"STATE_ROWS": 4096}, {"FIRST_READ": 3}])
 def test_a_large_k_emits_what_reaches_the_floor(corpus, conf, monkeypatch, k, local_k, limits):
     conf(spark__sql__execution__arrow__maxRecordsPerBatch=64)
     asked, docs = corpus
-    for name, value in limits.items():
-        monkeypatch.setattr(searching, name, value)
+    narrow(monkeypatch, limits)
     assert got(search(asked, index_docs(docs), k, local_k)) == brute(asked, docs, k)
 
 
-def test_a_large_k_is_no_pair_of_everything(spark, corpus):
-    rng = np.random.default_rng(3)
-    docs = index_docs(documents(spark, rng.normal(size=(400, 8)).astype(np.float32)).repartition(3))
-    asked = queries(spark, rng.normal(size=(6, 8)).astype(np.float32))
-    block, = searching._blocks(asked.toArrow())
-    scored = searching._score(spark, docs, block, 20, 5).groupBy("query_id").count().collect()
-    assert len(scored) == 6 and all(20 <= r["count"] <= 3 * 20 for r in scored)
+def scored_rows(spark, asked, docs, k):
+    (block,) = searching._blocks(asked.toArrow())
+    rows = searching._score(spark, index_docs(docs), block, k, 0).groupBy("query_id").count().collect()
+    return {r["query_id"]: r["count"] for r in rows}
+
+
+def crowd(rng, n, dim=16):
+    """Vectors that are all nearly the same: similarities of more than 0.99."""
+    return (1 + rng.normal(size=(n, dim)) / 50).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["spread", "crowded", "tied", "closest"])
+@pytest.mark.parametrize("k", [7, 60])
+def test_at_most_twice_k_rows_leave_the_scoring(spark, conf, kind, k):
+    """Far apart, all close to each other, most of them equal, or apart by the last bits alone."""
+    conf(spark__sql__execution__arrow__maxRecordsPerBatch=32)
+    rng = np.random.default_rng(k)
+    vectors = rng.normal(size=(600, 16)).astype(np.float32) if kind == "spread" else crowd(rng, 600)
+    if kind == "tied":
+        vectors[rng.permutation(600)[:500]] = vectors[0]
+    if kind == "closest":
+        vectors = (1 + rng.integers(0, 3, (600, 16)) * 1.2e-7).astype(np.float32)
+    docs = documents(spark, vectors).repartition(5)
+    asked = queries(spark, np.vstack([vectors[:3], crowd(rng, 3)]).astype(np.float32))
+    counts = scored_rows(spark, asked, docs, k)
+    assert len(counts) == 6 and all(k <= n <= 2 * k for n in counts.values())
+    assert got(search(asked, index_docs(docs), k, 1)) == brute(asked, docs, k)
+
+
+def test_ties_are_settled_by_source_too(spark):
+    """Rows of one commit and one vector differ by their source alone."""
+    vectors = [[1.0, 2.0]] * 3
+    docs = documents(spark, vectors)
+    for i in range(8):
+        docs = docs.unionByName(documents(spark, vectors, source=f"source-{i:02}"))
+    docs = docs.coalesce(2)
+    asked = queries(spark, [[2.0, 4.0], [1.0, 0.0]])
+    for k in (1, 11):
+        assert got(search(asked, index_docs(docs), k, 0)) == brute(asked, docs, k)
+        assert all(n <= 2 * k for n in scored_rows(spark, asked, docs, k).values())
+
+
+def test_every_split_is_a_scoring_task(spark, monkeypatch, tmp_path):
+    """Groups of tasks are merged before the ranking; no task takes the splits of others."""
+    rng = np.random.default_rng(1)
+    index_docs(documents(spark, rng.normal(size=(300, 8))).repartition(12)).write.parquet(str(tmp_path / "index"))
+    docs = spark.read.option("mergeSchema", "false").parquet(str(tmp_path / "index")).repartition(12)
+    asked = queries(spark, rng.normal(size=(5, 8)))
+    (block,) = searching._blocks(asked.toArrow())
+    monkeypatch.setattr(searching, "SCORED_ROWS", 3 * 5 * 10)
+    merged = searching._score(spark, docs, block, 10, 100)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "_group" in plan
+    assert merged.count() <= 3 * 5 * 10
+    assert docs.mapInArrow(searching._scorer(searching._broadcast(spark, block), 8, 10), searching.SCORED).rdd.getNumPartitions() == 12
+    assert got(search(asked, docs, 10)) == brute(asked, docs, 10)
+
+
+def test_keys_keep_the_order_of_scores_and_names():
+    rng = np.random.default_rng(5)
+    scores = np.sort(np.r_[rng.normal(size=500), -1.0, 1.0, 0.0, -1e-310, 1e-310])
+    keys = floors.key_of(scores)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    assert [floors.score_of(int(k)) for k in keys] == scores.tolist()
+    assert floors.key_of(np.array([-0.0]))[0] == floors.key_of(np.array([0.0]))[0]
+    names = np.array([b"ab", b"abcdefgh", b"abcdefghi", b"abcdefgi", b"b"])
+    before, number = floors.name_chunks(names, 0)
+    assert (np.diff(number.astype(object)) >= 0).all() and set(before) == {b""}
+    before, number = floors.name_chunks(names, 1)
+    assert before.tolist() == [b"ab", b"abcdefgh", b"abcdefgh", b"abcdefgi", b"b"] and number[1] == 0 < number[2]
 
 
 def test_scoring_equals_the_column_function(spark, corpus):
