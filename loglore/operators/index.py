@@ -10,7 +10,10 @@ from loglore.functions.vectors import norm, vector_problem
 from loglore.operators.sizing import exclude, fits_broadcast, restrict
 from loglore.operators.tables import TableSet
 from loglore.schema import EMBEDDING_KEY, INDEX_DOC
-from loglore.session import materialise, staging
+from loglore.session import materialise, remove, staging
+
+# The name under which tables are noted as settled, with no keys.
+_SETTLED = "settled"
 
 
 def index_docs(embeddings: DataFrame) -> DataFrame:
@@ -32,8 +35,13 @@ def index_rejects(embeddings: DataFrame) -> DataFrame:
 
 
 def unsynced(embeddings: DataFrame, sync_log: DataFrame) -> DataFrame:
-    """Embeddings without a mark in the sync log, marker columns left out."""
-    return embeddings.join(sync_log.select(*EMBEDDING_KEY), EMBEDDING_KEY, "left_anti")
+    """Embeddings without a mark in the sync log, marker columns left out.
+
+    Keys are compared first; where the missing ones are few, they travel to the
+    vectors, which stay in place.
+    """
+    missing = exclude(embeddings.select(*EMBEDDING_KEY), sync_log, EMBEDDING_KEY, small=False).distinct()
+    return restrict(embeddings, missing, EMBEDDING_KEY, fits_broadcast(missing))
 
 
 def sync_status(sync_log: DataFrame) -> DataFrame:
@@ -53,15 +61,49 @@ def mark_synced(tables: TableSet, keys: DataFrame) -> None:
         tables.append_sync_log(marks(restrict(stored, wanted, EMBEDDING_KEY, fits_broadcast(wanted))))
 
 
-def index_batch(tables: TableSet, fresh: DataFrame) -> None:
+def index_batch(tables: TableSet, fresh: DataFrame) -> int:
     """Index embeddings that were just stored for the first time, from the rows in hand.
 
     The stored table is not read, so a small batch costs the same however large
-    the table is. The index is written before the log.
+    the table is. The index is written before the log. Returns the rows added.
     """
     docs = index_docs(fresh)
-    tables.append_index_docs(docs)
+    added = tables.append_index_docs(docs)
     tables.append_sync_log(marks(docs))
+    return added
+
+
+def settle(tables: TableSet) -> None:
+    """Bring the index up to date at the start of a run.
+
+    After runs that ended there is nothing to do, and no stored key is read.
+    Keys that a run noted as begun and never indexed are looked up, and they
+    alone. Only tables that were never settled are compared as a whole.
+    """
+    if not tables.exists("begun", _SETTLED):
+        sync_index(tables)
+        tables.begin(_SETTLED, tables.begun().limit(0))
+        return
+    begun = tables.begun()
+    runs = [r["run"] for r in begun.select("run").distinct().collect()]  # a name per run that broke off
+    if runs:
+        _repair(tables, begun.select(*EMBEDDING_KEY).distinct())
+        close_runs(tables, runs)
+
+
+def close_runs(tables: TableSet, runs: list[str]) -> None:
+    """Drop the notes of runs whose embeddings are indexed."""
+    for run in runs:
+        remove(tables.spark, tables.path("begun", run))
+
+
+def _repair(tables: TableSet, begun: DataFrame) -> None:
+    """Index the embeddings among `begun` that are stored and not marked."""
+    with staging(tables.spark) as folder:
+        begun = materialise(begun, "begun", folder)
+        few = fits_broadcast(begun)
+        stored = restrict(tables.embeddings(), begun, EMBEDDING_KEY, few)
+        _add_missing(tables, exclude(stored.select(*EMBEDDING_KEY), tables.sync_log(), EMBEDDING_KEY, few), folder)
 
 
 def sync_index(tables: TableSet) -> None:
@@ -72,15 +114,20 @@ def sync_index(tables: TableSet) -> None:
     unmarked; the next call finds their documents in place and adds only the
     marks.
     """
-    stored = tables.embeddings()
-    keys = stored.select(*EMBEDDING_KEY)
+    keys = tables.embeddings().select(*EMBEDDING_KEY)
     if keys.isEmpty():
         return
+    begun = [r["run"] for r in tables.begun().select("run").distinct().collect()] if tables.exists("begun") else []
     with staging(tables.spark) as folder:
-        missing = materialise(exclude(keys, tables.sync_log(), EMBEDDING_KEY, small=False), "unsynced", folder)
-        if missing.isEmpty():
-            return
-        few = fits_broadcast(missing)
-        absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
-        tables.append_index_docs(index_docs(restrict(stored, absent, EMBEDDING_KEY, few)))
-        tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))
+        _add_missing(tables, exclude(keys, tables.sync_log(), EMBEDDING_KEY, small=False), folder)
+    close_runs(tables, begun)
+
+
+def _add_missing(tables: TableSet, missing: DataFrame, folder: str) -> None:
+    missing = materialise(missing, "unsynced", folder)
+    if missing.isEmpty():
+        return
+    few = fits_broadcast(missing)
+    absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
+    tables.append_index_docs(index_docs(restrict(tables.embeddings(), absent, EMBEDDING_KEY, few)))
+    tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))

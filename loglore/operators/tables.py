@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglore.functions.vectors import blob_problem
 from loglore.operators.clean import commit_order, first_per_key
 from loglore.operators.sizing import exclude, fits_broadcast
-from loglore.schema import COMMIT, COMMIT_KEY, EMBEDDING, EMBEDDING_KEY, INDEX_DOC, REJECT, SYNC_LOG
+from loglore.schema import (
+    COMMIT,
+    COMMIT_KEY,
+    EMBEDDING,
+    EMBEDDING_KEY,
+    INDEX_DOC,
+    MODEL_NAME,
+    PENDING,
+    REJECT,
+    RUN,
+    SYNC_LOG,
+)
+from loglore.session import exists, observed
 
 _PREFIX = T.StructField("sha_prefix", T.StringType())
+_KEYS = T.StructType([EMBEDDING[n] for n in EMBEDDING_KEY])
+
+
+def _by(schema: T.StructType, *folders: str) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(f, T.StringType()) for f in folders)])
 
 
 @dataclass(frozen=True)
@@ -27,6 +45,11 @@ class TableSet:
     their folders; with 0 there are none. `embeddings` and `index_docs` are laid
     out by model, as a search reads all vectors of one model. One writer at a
     time.
+
+    `begun` holds, by run, the keys of embeddings that are being stored; they go
+    when the run has indexed them. `pending` holds commits whose call failed, by
+    model and run, `runs` what each run came to, `models` the names models
+    answered with.
     """
 
     spark: SparkSession
@@ -49,34 +72,80 @@ class TableSet:
     def rejects(self) -> DataFrame:
         return self._read("rejects")
 
-    def append_commits(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
-        """Store commits whose id is not stored; the first write wins.
+    def begun(self) -> DataFrame:
+        return self._read("begun")
+
+    def pending(self) -> DataFrame:
+        return self._read("pending")
+
+    def runs(self) -> DataFrame:
+        return self._read("runs")
+
+    def models(self) -> DataFrame:
+        return self._read("models")
+
+    def append_commits(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> int:
+        """Store commits whose id is not stored; the first write wins. Returns how many.
 
         `unique` says that `new` holds no id twice, which saves a shuffle, and
         `small` that its keys have been found to fit a broadcast.
         """
-        self._append_absent("commits", new, COMMIT_KEY, None if unique else commit_order(), small)
+        return self._append_absent("commits", new, COMMIT_KEY, None if unique else commit_order(), small)
 
-    def append_embeddings(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> None:
-        """Store embeddings whose (sha, model, source) is not stored; flags as for commits."""
+    def append_embeddings(self, new: DataFrame, unique: bool = False, small: bool | None = None) -> int:
+        """Store embeddings whose (sha, model, source) is not stored; flags as for commits.
+
+        Their keys count as begun until an index run or `sync_index` has them in the index.
+        """
         order = [F.col("dim"), F.col("vector")]
-        self._append_absent("embeddings", new, EMBEDDING_KEY, None if unique else order, small)
+        fresh = absent_rows(new, self.embeddings(), EMBEDDING_KEY, None if unique else order, small)
+        self.begin(f"append-{uuid.uuid4().hex}", new)
+        return self._append("embeddings", fresh)
 
-    def add_embeddings(self, fresh: DataFrame) -> None:
-        """Store embeddings whose keys are known to be unique and not stored."""
-        self._append("embeddings", fresh)
+    def add_embeddings(self, fresh: DataFrame) -> int:
+        """Store embeddings whose keys are known to be unique and not stored, and begun."""
+        return self._append("embeddings", fresh)
 
-    def append_index_docs(self, docs: DataFrame) -> None:
-        self._append("index_docs", docs)
+    def append_index_docs(self, docs: DataFrame) -> int:
+        return self._append("index_docs", docs)
 
-    def append_sync_log(self, marks: DataFrame) -> None:
-        self._append("sync_log", marks)
+    def append_sync_log(self, marks: DataFrame) -> int:
+        return self._append("sync_log", marks)
 
     def write_rejects(self, rejects: DataFrame, run: str) -> None:
         """Replace the rejects of one run, so a repeated run reports once."""
-        if not re.fullmatch(r"[\w.-]+", run):
-            raise ValueError(f"run name is not fit for a folder: {run!r}")
-        rejects.select(*REJECT.names).write.mode("overwrite").parquet(f"{self._path('rejects')}/run={run}")
+        self._replace("rejects", rejects, run)
+
+    def begin(self, run: str, keys: DataFrame) -> None:
+        """Note the keys of embeddings before they are stored."""
+        self._replace("begun", keys, run)
+
+    def write_pending(self, failed: DataFrame, queue: str, run: str) -> None:
+        self._replace("pending", failed, queue, run)
+
+    def write_run(self, row: DataFrame, run: str) -> None:
+        """Replace a run's row in the ledger."""
+        self._replace("runs", row.coalesce(1), run)
+
+    def add_models(self, names: DataFrame) -> None:
+        self._append("models", names.coalesce(1))
+
+    def path(self, name: str, *folders: str) -> str:
+        """The folder of a table, or of a part that is written and removed as a whole."""
+        for folder in folders:
+            if not re.fullmatch(r"[\w.-]+", folder):
+                raise ValueError(f"run name is not fit for a folder: {folder!r}")
+        _, layout = self._specs()[name]
+        return "/".join([self._path(name), *(f"{c}={f}" for c, f in zip(layout, folders))])
+
+    def exists(self, name: str, *folders: str) -> bool:
+        """Whether anything was written to a table, or to a part of it."""
+        return exists(self.spark, self.path(name, *folders))
+
+    def _replace(self, name: str, rows: DataFrame, *folders: str) -> None:
+        schema, layout = self._specs()[name]
+        path = self.path(name, *folders)
+        rows.select(*[n for n in schema.names if n not in layout]).write.mode("overwrite").parquet(path)
 
     def prefix(self, sha: Column | str = "sha") -> Column:
         """The folder of an id in `commits`."""
@@ -84,20 +153,23 @@ class TableSet:
 
     def _append_absent(
         self, name: str, new: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None
-    ) -> None:
-        self._append(name, absent_rows(new, self._read(name), keys, order, small))
+    ) -> int:
+        return self._append(name, absent_rows(new, self._read(name), keys, order, small))
 
-    def _append(self, name: str, rows: DataFrame) -> None:
+    def _append(self, name: str, rows: DataFrame) -> int:
+        """Add rows and tell how many, counted as they are written."""
         schema, layout = self._specs()[name]
         if "sha_prefix" in layout:
             check_layout(self._read(name), self.prefix_length)
             rows = rows.withColumn("sha_prefix", self.prefix())
-        rows = rows.select(*schema.names)
+        written = Observation()
+        rows = rows.select(*schema.names).observe(written, F.count("*").alias("rows"))
         if "sha_prefix" in layout:
             # Many folders: rebalancing gives each few files of even size. By
             # model there are few folders, and vectors need not travel for them.
             rows = rows.hint("rebalance", "sha_prefix")
         rows.write.mode("append").partitionBy(*layout).parquet(self._path(name))
+        return observed(written).get("rows", 0)
 
     def _read(self, name: str) -> DataFrame:
         schema, _ = self._specs()[name]
@@ -118,7 +190,11 @@ class TableSet:
             "embeddings": (EMBEDDING, ["model"]),
             "index_docs": (INDEX_DOC, ["model"]),
             "sync_log": (SYNC_LOG, []),
-            "rejects": (T.StructType([*REJECT.fields, T.StructField("run", T.StringType())]), ["run"]),
+            "rejects": (_by(REJECT, "run"), ["run"]),
+            "begun": (_by(_KEYS, "run"), ["run"]),
+            "pending": (_by(PENDING, "queue", "run"), ["queue", "run"]),
+            "runs": (_by(RUN, "run"), ["run"]),
+            "models": (MODEL_NAME, []),
         }
 
 

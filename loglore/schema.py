@@ -109,5 +109,32 @@ REJECT = (
     .add("detail", T.StringType())
 )
 
+# A commit whose call to the embedder failed.
+PENDING = T.StructType(
+    [*COMMIT.fields]
+    + [
+        T.StructField("model", T.StringType()),
+        T.StructField("tries", T.IntegerType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+# One row per run: rows by stage, and what went wrong.
+RUN = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("model", "state")]
+    + [
+        T.StructField(n, T.LongType())
+        for n in ("read", "rejected", "asked", "claimed", "failed", "commits", "embeddings", "indexed", "unindexed")
+    ]
+    + [
+        T.StructField("error", T.StringType()),
+        T.StructField("started", T.TimestampType()),
+        T.StructField("ended", T.TimestampType()),
+    ]
+)
+
+# The name a model was asked by, and the one it answered with.
+MODEL_NAME = T.StructType().add("asked", T.StringType()).add("answered", T.StringType())
+
 COMMIT_KEY = ["sha"]
 EMBEDDING_KEY = ["sha", "model", "source"]

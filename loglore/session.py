@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -70,5 +71,28 @@ def staging(spark: SparkSession) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def observed(metrics: Observation) -> dict[str, int]:
+    """What was counted while rows were written.
+
+    A table that is known to be empty beforehand is written without its counters, and has none.
+    """
+    try:
+        return metrics.get
+    except Py4JJavaError as missing:
+        if "assertion failed" not in str(missing.java_exception):
+            raise
+        return {}
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote; one that is not there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

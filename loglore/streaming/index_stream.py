@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from loglore.functions.embedders import EmbedderFactory
-from loglore.operators.index import sync_index
+from loglore.operators.index import settle
 from loglore.operators.tables import TableSet
 from loglore.plans.indexing import index_commits
 
@@ -25,14 +25,16 @@ def index_stream(
 ) -> StreamingQuery:
     """Start a stream that indexes every micro-batch of raw commits.
 
-    What an earlier run left unmarked is repaired first. Without
+    What an earlier run left unmarked is repaired first. Each micro-batch is a
+    run of its own in the ledger, with its counts and errors, and takes up the
+    commits whose call failed in an earlier one. Without
     `processing_time` the stream takes what is available and stops. A batch that
     is replayed after a failure stores nothing twice, as every append leaves out
     what is stored, and replaces that batch's rejects, which are named after the
     checkpoint and the batch. Commits of any date are taken at any time, so there is no
     watermark and no state beyond the tables.
     """
-    sync_index(tables)
+    settle(tables)
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, batch_id: int) -> None:
