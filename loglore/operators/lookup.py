@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglore.functions.text import hit_line
+from loglore.operators.number import number_rows
 from loglore.operators.sizing import fits_broadcast
 from loglore.operators.tables import check_layout
 from loglore.schema import COMMIT_ID_PATTERN, HIT, NO_HITS_LINE
+from loglore.session import materialise
 
 
 def request_list(lists: DataFrame, ids: str = "ids") -> DataFrame:
@@ -54,12 +56,20 @@ def with_commits(
     return find_commits(commits, hits, small, prefix_length).select(*HIT.names)
 
 
-def hit_list(hits: DataFrame) -> DataFrame:
-    """Add `display`, one numbered entry per hit; numbers have no gaps."""
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return hits.withColumn("line_no", number.cast("long")).withColumn(
-        "display", hit_line("line_no", "sha", "similarity", "message")
-    )
+def hit_list(hits: DataFrame, many: bool = False) -> DataFrame:
+    """Add `display`, one numbered entry per hit; numbers have no gaps.
+
+    With `many` hits per query these do not meet in one task to be numbered:
+    their ranks are numbered by ranges, without the messages, and joined back.
+    """
+    if many:
+        hits = materialise(hits, "hits-with-commits")
+        places = number_rows(hits.select("query_id", "rank"), ["query_id"], [F.col("rank")], "line_no")
+        numbered = hits.join(places, ["query_id", "rank"])
+    else:
+        number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        numbered = hits.withColumn("line_no", number.cast("long"))
+    return numbered.withColumn("display", hit_line("line_no", "sha", "similarity", "message"))
 
 
 def result_pages(queries: DataFrame, listed: DataFrame) -> DataFrame:

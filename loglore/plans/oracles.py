@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loglore.operators.runs import STAGES
+
 # The commits of the documents table, merges included, dates as stored.
 _RAW = """
 raw AS (
@@ -75,6 +77,22 @@ words AS (
 counted AS (SELECT id, bucket, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY id, bucket),
 lengths AS (SELECT id, sqrt(sum(n * n)) AS length FROM counted GROUP BY id)"""
 
+# Texts that the embedder of short texts refuses.
+_REFUSED = "length(message) % 97 = 0"
+
+_NO_COUNTS = ", ".join(f"NULL::BIGINT AS {c}" for c in STAGES)
+
+
+def _run(name: str, state: str, error: str, **counts: str) -> str:
+    """One row of the ledger; counts that are not given are zero."""
+    numbers = ", ".join(f"CAST({counts.get(c, '0')} AS BIGINT) AS {c}" for c in STAGES)
+    return f"SELECT '{name}' AS run, '{state}' AS state, {numbers}, {error} AS error FROM sizes"
+
+
+def _rows(reason: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN '{reason} (' || {n} || ' rows)' END"
+
+
 _FLAT = """
   SELECT repo, sha, author_name, coalesce(author_email, '') AS author_email,
          coalesce(CAST(author_date AS VARCHAR), '0001-01-01 00:00:00') AS author_date,
@@ -246,6 +264,19 @@ SELECT 'documents' AS k_case, 'fixture-64' AS query_id, count(*) AS n_hits,
 FROM vectors
 UNION ALL
 SELECT 'above count', 'last', count(*), 1, count(*) FROM vectors""",
+    "b18_top_k_of_close_vectors": f"""
+WITH {_VECTORS},
+near AS (
+  SELECT vec_id, sha, list_transform(v, lambda x: CAST(CAST(1.0 + 0.02 * x AS FLOAT) AS DOUBLE)) AS v FROM vectors
+),
+docs AS (SELECT sha, s AS source, v FROM near, unnest(['message', 'diff_summary']) AS t(s)),
+ranked AS (
+  SELECT CAST(b.item_id AS VARCHAR) AS query_id, d.sha, d.source, list_cosine_similarity(q.v, d.v) AS similarity,
+         row_number() OVER (PARTITION BY b.item_id
+                            ORDER BY list_cosine_similarity(q.v, d.v) DESC, d.sha, d.source) AS rank
+  FROM benchmark b JOIN near q ON q.vec_id = b.item_id CROSS JOIN docs d
+)
+SELECT query_id, rank, sha, source, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 50""",
     "b19_best_hit_per_commit": f"""
 WITH {_VECTORS},
 docs AS (
@@ -311,6 +342,54 @@ steps AS (
 SELECT after, unnest(['commits', 'embeddings', 'index_docs', 'sync_log', 'rejects']) AS stored,
        unnest([good, good, good, good, bad]) AS n_rows
 FROM steps""",
+    "b22_stream_of_files": f"""
+WITH {_RAW}, {_SPOILT},
+texts AS (SELECT c.sha AS id, message AS text FROM commits c JOIN judged j USING (doc_id) WHERE j.is_valid), {_HASHED}
+SELECT id AS sha, bucket, round(CAST(CAST(n / length AS FLOAT) AS DOUBLE), 4) AS weight
+FROM counted JOIN lengths USING (id)
+UNION ALL SELECT 'runs', 3, CAST(count(*) AS DOUBLE) FROM raw""",
+    "b24_failed_then_taken_up": f"""
+WITH {_RAW},
+sizes AS (
+  SELECT (SELECT count(*) FROM raw) AS seen, count(*) AS n, count(*) FILTER ({_REFUSED}) AS bad FROM commits
+)
+{_run("1-dead", "done", _rows("embed: ConnectionError: no embedder", "n"), read="seen", asked="n", failed="n")}
+UNION ALL
+{_run("2-some", "done", _rows("embed: RuntimeError: text refused", "bad"), asked="n", claimed="n", failed="bad",
+      commits="n - bad", embeddings="n - bad", indexed="n - bad")}
+UNION ALL
+SELECT 'waiting ' || sha, 'tries 2', {_NO_COUNTS}, 'RuntimeError: text refused' FROM commits WHERE {_REFUSED}""",
+    "b24_queue_worked_off": f"""
+WITH {_RAW}
+SELECT sha, repo, author_email, committer_date, CAST(length(message) AS BIGINT) AS n_chars,
+       'message' AS source, 'hashed-words-64' AS model, 64 AS dim,
+       sha || '|hashed-words-64|message' AS doc_id, TRUE AS is_synced, CAST(NULL AS INTEGER) AS tries
+FROM commits""",
+    "b25_failing_store": f"""
+WITH {_RAW}, {_SPOILT},
+sizes AS (
+  SELECT (SELECT count(*) FROM raw) AS seen, count(*) FILTER (is_valid) AS n, count(*) FILTER (NOT is_valid) AS bad
+  FROM commits JOIN judged USING (doc_id)
+)
+{_run("1-full-disk", "failed", "'store: OSError: no space left'", read="seen", rejected="bad", asked="n",
+      commits="n", embeddings="n")}
+UNION ALL
+{_run("2-repair", "done", "NULL")}
+UNION ALL
+{_run("3-again", "done", _rows("clean: invalid commit id", "bad"), read="seen", rejected="bad")}
+UNION ALL
+SELECT 'index', 'marked', {_NO_COUNTS.replace("NULL::BIGINT AS indexed", "n AS indexed")}, NULL FROM sizes""",
+    "b26_alias_asked_twice": f"""
+WITH {_RAW}, {_TURNS},
+sizes AS (
+  SELECT (SELECT count(*) FROM raw) AS seen, (SELECT count(*) FROM commits) AS n, count(*) AS more,
+         count(DISTINCT sha) AS new FROM turns
+)
+{_run("1-default", "done", "NULL", read="seen", asked="n", commits="n", embeddings="n", indexed="n")}
+UNION ALL
+{_run("2-again", "done", "NULL", read="seen + more", asked="new", commits="new", embeddings="new", indexed="new")}
+UNION ALL
+{_run("3-by-name", "done", "NULL", read="seen")}""",
     "nearest_commits": f"""
 WITH {_RAW}, {_VECTORS}, {_HITS},
 listed AS (

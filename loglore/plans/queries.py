@@ -31,6 +31,7 @@ from loglore.operators.index import index_docs, index_rejects, mark_synced, sync
 from loglore.operators.lookup import find_commits, hit_list, lookup, request_list, result_pages, with_commits
 from loglore.operators.number import with_batch_no
 from loglore.operators.report import reject_report
+from loglore.operators.runs import STAGES
 from loglore.operators.search import MAX_LOCAL_K, best_per_commit, count_documents, search
 from loglore.operators.tables import TableSet, cascade_delete, check_embeddings, check_packed
 from loglore.plans.fixture import (
@@ -45,9 +46,9 @@ from loglore.plans.fixture import (
 )
 from loglore.plans.indexing import arrival_order, index_commits
 from loglore.plans.searching import search_text
-from loglore.schema import EMBEDDING_KEY, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
+from loglore.schema import DEFAULT_MODEL, EMBEDDING_KEY, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
 from loglore.session import materialise, work_path
-from loglore.sources.commits import read_commits, read_log_dump, union_exports, write_log_dump
+from loglore.sources.commits import read_commit_stream, read_commits, read_log_dump, union_exports, write_log_dump
 from loglore.streaming.index_stream import index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +361,21 @@ def top_k_by_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "sha", "source", F.round("similarity", 4).alias("similarity"))
 
 
+def _crowded(vectors: DataFrame) -> DataFrame:
+    """Vectors that all point nearly the same way."""
+    near = F.transform("embedding", lambda x: (F.lit(1.0) + F.lit(0.02) * x.cast("double")).cast("float"))
+    return vectors.withColumn("embedding", near)
+
+
+def top_k_of_close_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A k beyond what tasks rank themselves, where all similarities are above 0.99 and each comes twice."""
+    vectors = _crowded(_vectors(spark, sf_dir))
+    rows = fixture_embeddings(vectors).unionByName(fixture_embeddings(vectors, SOURCE_DIFF_SUMMARY))
+    queries = benchmark_vectors(table(spark, sf_dir, "benchmark"), vectors)
+    hits = search(queries, index_docs(rows), k=50, local_k=20)
+    return hits.select("query_id", "rank", "sha", "source", F.round("similarity", 6).alias("similarity"))
+
+
 def best_hit_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     # The second embedding of a commit is the vector numbered one higher.
@@ -462,6 +478,115 @@ def index_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(counts, "after string, stored string, n_rows bigint")
 
 
+def _ledger(tables: TableSet) -> DataFrame:
+    """The runs with their counts, and what still waits."""
+    return tables.runs().select("run", "state", *STAGES, "error").unionByName(
+        tables.pending().select(
+            F.concat(F.lit("waiting "), "sha").alias("run"),
+            F.concat(F.lit("tries "), "tries").alias("state"),
+            *[F.lit(None).cast("long").alias(c) for c in STAGES],
+            "error",
+        )
+    )
+
+
+def dead_embedder(model: str) -> Embedder:
+    def call(texts: list[str]) -> Reply:
+        raise ConnectionError("no embedder")
+
+    return call
+
+
+def embedder_of_short_texts(model: str) -> Embedder:
+    """Refuses texts of some lengths, and answers the others as the built-in one."""
+    answer = hashed_words()
+
+    def call(texts: list[str]) -> Reply:
+        if any(len(t) % 97 == 0 for t in texts):
+            raise RuntimeError("text refused")
+        return answer(texts)
+
+    return call
+
+
+def failed_then_taken_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that fail, then some that work, on runs that bring in nothing new: the queue is worked off."""
+    raw = _raw(spark, sf_dir)
+    tables = _tables(spark, "taken-up")
+    index_commits(raw, tables, dead_embedder, HASHED_MODEL, run="1-dead")
+    index_commits(raw.limit(0), tables, embedder_of_short_texts, HASHED_MODEL, run="2-some")
+    return _ledger(tables)
+
+
+def queue_worked_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables after all commits were taken up again, the last of them by a stream without new files."""
+    raw = _raw(spark, sf_dir)
+    tables = _tables(spark, "worked-off")
+    index_commits(raw, tables, dead_embedder, HASHED_MODEL, run="1-dead")
+    index_commits(raw.limit(0), tables, embedder_of_short_texts, HASHED_MODEL, run="2-some")
+    arriving = work_path(spark, "worked-off-files")
+    _spoilt(spark, sf_dir).filter(F.col("sha") == "").write.json(arriving)
+    feed = read_commit_stream(spark, arriving)
+    checkpoint = work_path(spark, "worked-off-checkpoint")
+    index_stream(feed, tables, hashed_words, checkpoint, HASHED_MODEL).awaitTermination()
+    return _stored(tables).join(tables.pending().select("sha", "tries"), "sha", "left")
+
+
+class _FullDisk(TableSet):
+    """Tables whose index cannot be written."""
+
+    def append_index_docs(self, docs: DataFrame) -> int:
+        raise OSError("no space left")
+
+
+def failing_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose store fails is in the ledger, and the next one finishes its work from its notes."""
+    raw = _spoilt(spark, sf_dir)
+    tables = _tables(spark, "failing-store")
+    try:
+        index_commits(raw, _FullDisk(spark, tables.base, 0), hashed_words, HASHED_MODEL, run="1-full-disk")
+    except OSError:
+        pass
+    index_commits(raw.limit(0), tables, hashed_words, HASHED_MODEL, run="2-repair")
+    index_commits(raw, tables, hashed_words, HASHED_MODEL, run="3-again")
+    index_docs_now = tables.index_docs().join(sync_status(tables.sync_log()), EMBEDDING_KEY, "left_semi")
+    indexed = index_docs_now.groupBy(F.lit("index").alias("run"), F.lit("marked").alias("state")).agg(
+        *[F.count("*").alias(c) if c == "indexed" else F.lit(None).cast("long").alias(c) for c in STAGES],
+        F.lit(None).cast("string").alias("error"),
+    )
+    return _ledger(tables).unionByName(indexed)
+
+
+def alias_asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked by no name, the embedder answers under its own: the second run embeds what is new alone."""
+    raw = _raw(spark, sf_dir)
+    tables = _tables(spark, "alias")
+    index_commits(raw, tables, hashed_words, run="1-default")
+    turns = raw_from_conversations(table(spark, sf_dir, "conversations"))
+    index_commits(raw.unionByName(turns), tables, hashed_words, run="2-again")
+    index_commits(raw, tables, hashed_words, DEFAULT_MODEL, run="3-by-name")
+    return _ledger(tables)
+
+
+def stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports that arrive one by one; each micro-batch is a run of the ledger."""
+    arriving = work_path(spark, "arriving")
+    raw = _spoilt(spark, sf_dir)
+    # A file per remainder, whatever the number of cores.
+    for part in range(3):
+        raw.filter(F.pmod(F.crc32("body"), F.lit(3)) == part).coalesce(1).write.mode("append").json(arriving)
+    tables = _tables(spark, "stream-of-files")
+    feed = read_commit_stream(spark, arriving, files_per_trigger=1)
+    checkpoint = work_path(spark, "stream-of-files-checkpoint")
+    index_stream(feed, tables, hashed_words, checkpoint, HASHED_MODEL).awaitTermination()
+    indexed = tables.index_docs().select("sha", F.posexplode("vector").alias("bucket", "weight"))
+    weights = indexed.filter(F.col("weight") > 0).select(
+        "sha", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 4).alias("weight")
+    )
+    ledger = tables.runs().agg(F.count("*").alias("bucket"), F.sum("read").cast("double").alias("weight"))
+    return weights.unionByName(ledger.withColumn("sha", F.lit("runs")))
+
+
 def nearest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: for every benchmark query vector, its nearest commits as a list."""
     hits = materialise(_benchmark_hits(spark, sf_dir), "hits")
@@ -495,10 +620,16 @@ QUERIES: dict[str, Query] = {
     "b17_top_k_for_many_queries": top_k_for_many_queries,
     "b18_top_k_by_floor": top_k_by_floor,
     "b18_top_k_edges": top_k_edges,
+    "b18_top_k_of_close_vectors": top_k_of_close_vectors,
     "b19_best_hit_per_commit": best_hit_per_commit,
     "b20_text_search": text_search,
     "b21_pack_and_unpack": pack_and_unpack,
     "b22_stream_documents": stream_documents,
+    "b22_stream_of_files": stream_of_files,
     "b23_index_again": index_again,
+    "b24_failed_then_taken_up": failed_then_taken_up,
+    "b24_queue_worked_off": queue_worked_off,
+    "b25_failing_store": failing_store,
+    "b26_alias_asked_twice": alias_asked_twice,
     "nearest_commits": nearest_commits,
 }

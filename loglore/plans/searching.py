@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from loglore.functions.embedders import EmbedderFactory
 from loglore.operators.embed import embed
 from loglore.operators.lookup import hit_list, with_commits
-from loglore.operators.search import search
+from loglore.operators.search import MAX_LOCAL_K, search
 from loglore.schema import DEFAULT_K
-from loglore.session import materialise
+from loglore.session import materialise, staging
 
 
 def embed_queries(queries: DataFrame, factory: EmbedderFactory, model: str = "") -> DataFrame:
@@ -36,8 +36,11 @@ def search_text(
 ) -> DataFrame:
     """HIT rows with their display lines for many text queries at once.
 
-    The hits are narrow and dear, so they are written before the look-up; their
-    measured size decides how they meet the commits.
+    Each text is embedded once: the query vectors are written, as a search may
+    read them several times. The hits are narrow and dear, so they are written
+    before the look-up; their measured size decides how they meet the commits.
     """
-    hits = materialise(search(embed_queries(queries, factory, model), index, k), "hits")
-    return hit_list(with_commits(hits, commits, prefix_length=prefix_length))
+    with staging(queries.sparkSession) as folder:
+        asked = materialise(embed_queries(queries, factory, model), "asked", folder)
+        hits = materialise(search(asked, index, k), "hits")
+    return hit_list(with_commits(hits, commits, prefix_length=prefix_length), many=k > MAX_LOCAL_K)

@@ -315,3 +315,36 @@ def test_text_search_finds_the_same_words(spark):
         "a": (sha(0), "1. 0000000  (similarity: 1.0000)"),
         "b": (sha(1), "1. 0000000  (similarity: 1.0000)"),
     }
+
+
+def test_many_hits_are_numbered_alike(spark):
+    commits = good_commits(check_commits(raw(spark, [commit(i) for i in range(0, 40, 3)])))
+    docs = index_docs(documents(spark, [[1, i] for i in range(40)]))
+    hits = with_commits(search(queries(spark, [[1, 0], [0, 1]]), docs, 40), commits)
+    many = hit_list(hits, many=True)
+    assert got(many.select(sorted(many.columns))) == got(hit_list(hits).select(sorted(many.columns)))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("first_read", [100, 2])
+def test_each_query_text_is_embedded_once(spark, tmp_path, monkeypatch, first_read):
+    monkeypatch.setattr(searching, "FIRST_READ", first_read)
+    calls = str(tmp_path / "calls")
+
+    def noted(model):
+        answer = hashed_words()
+
+        def call(texts):
+            with open(calls, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return answer(texts)
+
+        return call
+
+    commits = good_commits(check_commits(raw(spark, [commit(i) for i in range(6)])))
+    index = index_docs(embedding_rows(embed(commits, hashed_words, HASHED_MODEL)))
+    texts = [f"commit body {i}" for i in range(5)]
+    asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
+    assert search_text(asked, index, commits, noted, HASHED_MODEL, k=2).count() == 10
+    assert sorted(open(calls).read().splitlines()) == texts
