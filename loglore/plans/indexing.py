@@ -18,7 +18,7 @@ from loglore.operators.clean import (
 from loglore.operators.embed import embed, embed_rejects, embedded
 from loglore.operators.index import close_runs, index_batch, index_rejects, settle
 from loglore.operators.number import with_batch_no
-from loglore.operators.pending import claim, failures, put_back
+from loglore.operators.pending import claim, failures, put_back, taken_up
 from loglore.operators.runs import RunOutcome, error_lines, recorded
 from loglore.operators.sizing import exclude, fits_broadcast, restrict
 from loglore.operators.tables import TableSet, absent_rows
@@ -114,18 +114,13 @@ def _answered(
     new = good
     if claimed is not None:
         ids = claimed.select(*COMMIT_KEY)
-        few = fits_broadcast(ids)
-        new = good.join(F.broadcast(ids) if few else ids, COMMIT_KEY, "left_anti")
+        new = good.join(F.broadcast(ids) if fits_broadcast(ids) else ids, COMMIT_KEY, "left_anti")
     todo = absent_rows(new, known, COMMIT_KEY, commit_order())
     if concurrency:
         todo = todo.repartition(concurrency)
     answered = embed(todo, factory, wanted)
     if claimed is not None:
-        # A commit that comes in again counts as it is now.
-        seen = restrict(good, ids, COMMIT_KEY, few).withColumn("_waited", F.lit(False))
-        both = seen.unionByName(claimed.select(*COMMIT.names, F.lit(True).alias("_waited")))
-        again = absent_rows(both, known, COMMIT_KEY, [F.col("_waited"), *commit_order()])
-        again = materialise(again.select(*COMMIT.names), "again", folder)
+        again = materialise(taken_up(tables, claimed, good, known, wanted), "again", folder)
         answered = answered.unionByName(embed(again, factory, wanted, batch_size=1))
         outcome.counts["claimed"] = again.count()
     made = Observation()
