@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
@@ -12,6 +13,38 @@ from loglore.llm.common import process_cache
 #: Pieces that a worker remembers; beyond it, new ones are encoded each time they come.
 REMEMBERED = 1_000_000
 _LONGEST = 64
+#: New pieces that are encoded as one text.
+_RUN = 256
+
+
+class _Pieces(dict):
+    """Ids of pieces; one that is not known gives no ids and is noted."""
+
+    def __init__(self, known: dict[str, bytes | None]) -> None:
+        super().__init__(known)
+        self._kept = len(known)
+        self._missing: set[str] = set()
+        self.misses = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        self._missing.add(piece)
+        self.misses += 1
+        return b""
+
+    def take_missing(self) -> set[str]:
+        taken, self._missing = self._missing, set()
+        return taken
+
+    def forget(self, most: int) -> None:
+        """Drop what came in since the last time, if it is too much: the newest pieces, and long ones."""
+        self._missing.clear()
+        if len(self) == self._kept:
+            return
+        new = list(itertools.islice(reversed(self), len(self) - self._kept))
+        for piece in new:
+            if len(piece) > _LONGEST or len(self) > most + 1:
+                del self[piece]
+        self._kept = len(self)
 
 
 class PieceEncoder:
@@ -33,41 +66,65 @@ class PieceEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.dtype = f"<u{self.width}"
         self._remembered = remembered
-        self._first: dict[str, bytes | None] = {"": b""}
-        self._later: dict[str, bytes | None] = {"": None}
+        self._lengths = np.array([len(b) for b in byte_table(content)], np.int64)
+        self._first, self._later = _Pieces({"": b""}), _Pieces({"": None})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        first = self._known(self._first, {c[0] for c in cut}, "")
-        words: set[str] = set()
-        for c in cut:
-            words.update(c[1:])
-        later = self._known(self._later, words, " ")
-        out = []
-        for text, c in zip(texts, cut, strict=True):
+        self._learn(self._first, {c[0] for c in cut if c[0] not in self._first}, "")
+        later = self._later
+        get = later.__getitem__
+        out: list[bytes | None] = []
+        lacking = []
+        for i, c in enumerate(cut):
+            met = later.misses
             try:
-                out.append(first[c[0]] + b"".join([later[p] for p in c[1:]]))
+                out.append(self._first[c[0]] + b"".join(map(get, c[1:])))
             except TypeError:  # a piece that may not stand alone
-                out.append(self._ids([text])[0])
+                out.append(None)
+            if later.misses > met and out[-1] is not None:
+                lacking.append(i)
+        if lacking:
+            self._learn(later, later.take_missing(), " ")
+            for i in lacking:
+                try:
+                    out[i] = self._first[cut[i][0]] + b"".join(map(get, cut[i][1:]))
+                except TypeError:
+                    out[i] = None
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        self._first.forget(self._remembered)
+        later.forget(self._remembered)
         return out
 
-    def _known(self, cache: dict, pieces: set[str], lead: str) -> dict:
-        """A dictionary with all of `pieces`; None marks one that ends in white space."""
-        new = [p for p in pieces if p not in cache]
-        if not new:
-            return cache
-        alone = [p for p in new if not p[-1].isspace()]
-        found: dict[str, bytes | None] = dict.fromkeys(new)
-        found.update(zip(alone, self._ids([lead + p for p in alone]), strict=True))
-        if len(cache) + len(new) <= self._remembered and all(len(p) <= _LONGEST for p in new):
-            cache.update(found)
-            return cache
-        for p, ids in found.items():
-            if len(cache) >= self._remembered:
-                break
-            if len(p) <= _LONGEST:
-                cache[p] = ids
-        return {p: found[p] if p in found else cache[p] for p in pieces}
+    def _learn(self, cache: _Pieces, new: set[str], lead: str) -> None:
+        """Add the ids of `new` pieces; None marks one that ends in white space."""
+        alone = []
+        for p in new:
+            if p and not p[-1].isspace():
+                alone.append(p)
+            else:
+                cache[p] = cache.get(p)
+        cache.update(zip(alone, self._joined_ids(alone) if lead else self._ids(alone), strict=True))
+
+    def _joined_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces with a space before each, many pieces encoded as one text.
+
+        The library cuts at those spaces, so a piece's ids are those that end within its bytes.
+        """
+        runs = [pieces[i : i + _RUN] for i in range(0, len(pieces), _RUN)]
+        out: list[bytes] = []
+        for run, ids in zip(runs, self._ids(["".join(" " + p for p in run) for run in runs]), strict=True):
+            ends = np.cumsum([len(p.encode()) + 1 for p in run])
+            reached = np.cumsum(self._lengths[np.frombuffer(ids, self.dtype)])
+            last = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[last] == ends).all():
+                stops = ((last + 1) * self.width).tolist()
+                out += [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            else:
+                out += self._ids([" " + p for p in run])
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
