@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglore.llm.common import bytes_of, slices
-from loglore.operators.sizing import measured_bytes
+from loglore.operators.sizing import fits_broadcast, measured_bytes
+from loglore.session import materialise
 
 #: Words of a seed.
 SEED = 3
@@ -150,9 +151,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the documents that hold a benchmark item; null doc_ids stay."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_dropped")).where("_dropped IS NOT NULL")
-    return docs.join(found.distinct(), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """`docs`, all columns, without the rows whose text holds a benchmark item.
+
+    Rows go by a hash of their text, as a doc_id may be null or stand for several texts: a row with a
+    leak goes whatever its doc_id, and one without stays. The few hashes travel to the documents
+    behind a check of their size.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = contaminated(docs.select(mark.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak"))
+    found = materialise(found.distinct(), "leaks")
+    return docs.join(F.broadcast(found) if fits_broadcast(found) else found, mark == F.col("_leak"), "left_anti")
 
 
 def _finder(items: Items, least_score: float) -> Callable:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglore.operators.sizing import fits_broadcast
+from loglore.session import materialise
 
 #: A line is boilerplate if it stands on more than this share of its host's pages,
 RATIO = 0.08
@@ -16,22 +17,20 @@ _LINES, _HOST = "__ll_lines", "__ll_host"
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST_PAGES, by_text: bool = True
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST_PAGES
 ) -> DataFrame:
     """Host and the hash of each of its boilerplate lines.
 
     A page counts once for a line, however often it repeats it. Pages of a host with one and the same
     text count as one, in a line's pages and in the host's total, so copies of a document do not
-    make its lines boilerplate; without `by_text` every row is a page. A host has at most (distinct lines
+    make its lines boilerplate. A host has at most (distinct lines
     of a page on average) / ratio such lines, however many pages it has. Pages are counted per host
     and line with partial sums, so a host with a third of all pages meets nowhere in one task.
     """
     once = F.array_distinct(F.transform(_worded(F.col("text")), lambda x: F.xxhash64(x)))
-    page = [F.xxhash64("text").alias("page")] if by_text else []
-    lines = docs.select(F.col(host).alias(_HOST), *page, F.explode(once).alias("line"))
-    pages = docs.select(F.col(host).alias("of_host"), *page)
-    if by_text:
-        lines, pages = lines.distinct(), pages.distinct()
+    page = F.xxhash64("text").alias("page")
+    lines = docs.select(F.col(host).alias(_HOST), page, F.explode(once).alias("line")).distinct()
+    pages = docs.select(F.col(host).alias("of_host"), page).distinct()
     common = lines.groupBy(_HOST, "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
     totals = pages.groupBy("of_host").agg(F.count("*").alias("of_pages"))
     joined = common.join(totals, F.col(_HOST).eqNullSafe(F.col("of_host")))
@@ -39,9 +38,8 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST_PAGES, counts: bool = False,
-    by_text: bool = True,
-) -> DataFrame:
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST_PAGES, counts: bool = False
+) -> DataFrame:
     """`docs`, all columns, with the boilerplate lines of each row's host taken out of `text`.
 
     With `counts`, n_lines and n_dropped are added (and replace columns of these names). Lines end
@@ -49,7 +47,7 @@ def drop_boilerplate(
     and has no lines. Null is a host of its own. Rows that repeat a text are answered each, and are one
     page (`boilerplate`). Documents stay where they are; the boilerplate travels, broadcast behind a check of its size.
     """
-    found = boilerplate(docs, host, ratio, least, by_text)
+    found = materialise(boilerplate(docs, host, ratio, least), "boilerplate-lines")
     small = fits_broadcast(found)
     grouped = found.groupBy(_HOST).agg(F.collect_set("line").alias(_LINES))
     joined = docs.join(

@@ -60,7 +60,7 @@ WITH d AS (
          regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws
   FROM documents),
 h AS (SELECT *, {", ".join(counted)}, {", ".join(chars)} FROM d),
-ref AS (SELECT lang AS rlang, {sums} FROM h GROUP BY lang),
+ref AS (SELECT lang AS rlang, {sums} FROM (SELECT DISTINCT ON (lang, t) * FROM h) GROUP BY lang),
 g AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n
   FROM (SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
@@ -199,12 +199,12 @@ def _lines() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 l AS (
-  SELECT rid, source, i, line FROM (
-    SELECT rid, source, unnest(string_split(text, chr(10))) AS line,
+  SELECT rid, source, text, i, line FROM (
+    SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line,
            unnest(range(len(string_split(text, chr(10))))) AS i FROM d WHERE text IS NOT NULL)),
 c AS (
-  SELECT source, line, count(DISTINCT rid) AS pages FROM l WHERE regexp_matches(line, '{_WORD}') GROUP BY 1, 2),
-t AS (SELECT source, count(*) AS of_pages FROM d GROUP BY 1),
+  SELECT source, line, count(DISTINCT text) AS pages FROM l WHERE regexp_matches(line, '{_WORD}') GROUP BY 1, 2),
+t AS (SELECT source, count(*) AS of_pages FROM (SELECT DISTINCT source, text FROM d) GROUP BY 1),
 b AS (
   SELECT c.source, line FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
   WHERE pages >= {LEAST_PAGES} AND pages > {RATIO} * of_pages),

@@ -36,7 +36,7 @@ _SYMBOLS = "#*$%&|<>"
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_quality(docs: DataFrame, by_text: bool = True) -> DataFrame:
+def with_quality(docs: DataFrame) -> DataFrame:
     """`docs` with one struct column `__ll_quality`: the measures, base_failed, both distances and kept.
 
     n_words, word_chars (characters in words), n_symbols, n_dup_lines (lines with a word that equal an
@@ -49,11 +49,11 @@ def with_quality(docs: DataFrame, by_text: bool = True) -> DataFrame:
     rules passed and no distance beyond its bound.
 
     The reference is the sum of the histograms of the language's distinct texts: copies of a text count
-    once. Without `by_text` it is the sum over all rows, which a group of copies can take over.
+    once, or a group of them could take it over.
 
     A null text has no words, so it fails. A null language is one of its own. Rows that repeat are
     judged each. The references are one row per language, broadcast behind a check of their size;
-    no document is shuffled: with `by_text`, a text's hash and histograms are. Windows are told apart by
+    no document is shuffled, only its hash and histograms. Windows are told apart by
     their 64-bit hash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -64,8 +64,7 @@ def with_quality(docs: DataFrame, by_text: bool = True) -> DataFrame:
     counts = {f"{c}{i}": F.col(h)[i] for c, (h, n) in bins.items() for i in range(n)}
     same = F.sha2("__ll_text", 256).alias("__ll_same")
     reference = reference.select(F.col("lang").alias("__ll_lang"), same, *[c.alias(k) for k, c in counts.items()])
-    if by_text:
-        reference = reference.groupBy("__ll_lang", "__ll_same").agg(*[F.max(k).alias(k) for k in counts])
+    reference = reference.groupBy("__ll_lang", "__ll_same").agg(*[F.max(k).alias(k) for k in counts])
     sums = [F.sum(k).alias(k) for k in counts]
     reference = materialise(reference.groupBy("__ll_lang").agg(*sums), "quality-references")
     small = fits_broadcast(reference)
@@ -136,9 +135,9 @@ def with_quality(docs: DataFrame, by_text: bool = True) -> DataFrame:
     return own.select(*[docs[c] for c in docs.columns], whole.alias("__ll_quality"))
 
 
-def quality(docs: DataFrame, by_text: bool = True) -> DataFrame:
+def quality(docs: DataFrame) -> DataFrame:
     """doc_id with all measures, distances and the verdict."""
-    return with_quality(docs, by_text).select("doc_id", "__ll_quality.*")
+    return with_quality(docs).select("doc_id", "__ll_quality.*")
 
 
 def passing(docs: DataFrame) -> DataFrame:

@@ -233,3 +233,13 @@ def test_pipeline(spark, odd_dir, tmp_path):
     found = {r.doc_id: r for r in judged.where("doc_id < 3").collect()}
     assert all(not r.base_failed and r.words_apart > 0.3 and not r.kept for r in found.values())
     assert 3 in ids
+
+
+def test_rows_with_a_leak_go_by_their_text(spark):
+    """A null doc_id hides no leak, and a clean text that shares its doc_id with one stays."""
+    leak = " ".join(f"item word {i}" for i in range(12))
+    rows = [(1, f"before {leak} after"), (1, "its own clean text"), (None, leak), (None, None), (2, "clean"), (None, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, leak)], "item_id long, text string")
+    left = sorted(map(str, without_contaminated(docs, items).collect()))
+    assert left == sorted(map(str, docs.where("text IS NULL OR text NOT LIKE '%item word%'").collect()))
