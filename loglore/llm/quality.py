@@ -165,21 +165,21 @@ def _histograms(docs: DataFrame) -> DataFrame:
     chars = F.array(*[c.cast("long") for c in [*chars, lengths[-1]]])
     hits = F.lit(None).cast("array<string>")
     for lang, common in COMMON_WORDS.items():
-        both = F.array(*[F.lit(w) for w in [*common, *[w.capitalize() for w in common]]])
-        found = F.filter("__ll_words", _within(both))
+        # More than ten literals become a set, looked up once per word.
+        found = F.filter("__ll_words", _within([*common, *[w.capitalize() for w in common]]))
         hits = F.when(F.col("lang") == lang, F.transform(found, F.lower)).otherwise(hits)
     docs = docs.select("*", chars.alias("__ll_chars"), F.coalesce(hits, F.array().cast("array<string>")).alias("__ll_hits"))
     counts = F.lit(None).cast("array<long>")
     for lang, common in COMMON_WORDS.items():
-        bins = [F.size(F.filter("__ll_hits", _within(F.array(F.lit(w))))).cast("long") for w in common]
+        bins = [F.size(F.filter("__ll_hits", _within([w]))).cast("long") for w in common]
         rest = (F.size("__ll_words") - F.size("__ll_hits")).cast("long")
         counts = F.when(F.col("lang") == lang, F.array(*bins, rest)).otherwise(counts)
     spare = [f"__ll_t{k}" for k in range(len(_CLASSES))]
     return docs.select("*", counts.alias("__ll_common")).drop("__ll_hits", "__ll_n0", *spare)
 
 
-def _within(words: Column) -> Callable[[Column], Column]:
-    return lambda x: F.array_contains(words, x)
+def _within(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(words)
 
 
 def _apart(counts: str, sums: str) -> Column:
