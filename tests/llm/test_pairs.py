@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglore.llm import neardup
+from loglore.llm import decontaminate, neardup
 from loglore.llm.common import table, tokenizer_json
-from loglore.llm.decontaminate import MATCH, align, contaminated, most_score, passage_words, without_contaminated
+from loglore.llm.decontaminate import MATCH, Items, align, contaminated, most_score, passage_words, without_contaminated
 from loglore.llm.lattice import Lattice
 from loglore.llm.lattice_lm import pieces_of, scores
 from loglore.llm.line_dedup import drop_boilerplate
@@ -138,6 +138,41 @@ def test_frequent_leaks(spark, copies, exact):
     assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(expected) and len(found) == len(expected)
 
 
+def test_stock_phrase(monkeypatch):
+    """Items that share a phrase, edited copies of some, and texts that hold the phrase alone."""
+    monkeypatch.setattr(decontaminate, "RARE_ITEMS", 2)
+    stock = "which of the following statements is true"
+    items = [(j, f"{stock} " + " ".join(f"q{j}x{k}" for k in range(12))) for j in range(60)]
+    items += [(60 + j, f"{stock} of {j} all things that one may name here") for j in range(6)] + [(70, items[3][1]), (71, items[3][1]), (72, items[3][1])]
+    rows = [(i, f"start{i} then {stock} end{i}") for i in range(20)]
+    rows += [(100 + j, f"before {stock} " + " ".join(f"q{j}x{k}" for k in range(12) if k != 5)) for j in range(0, 60, 7)]
+    # The stock phrase is the only seed left: other words stand in pairs.
+    rows += [(200, f"{stock} " + " ".join(f"q4x{k} q4x{k + 1} new{k}" for k in range(0, 12, 2))), (201, items[3][1])]
+    rows += [(300, " ".join(text for _, text in items))]
+    held = Items.of([(j, text.encode()) for j, text in items])
+    assert not held.rare.all() and held.rare.any()
+    numbers, text, place, k = held.hits([t.encode() for _, t in rows])
+    near = [held.near(numbers[t], place[text == t], k[text == t]) for t in range(len(rows))]
+    assert not any(near[:20])
+    expected = brute_shares(rows, items)
+    assert {(i, items[j][0]) for (i, _), n in zip(rows, near, strict=True) for j in n} >= set(expected)
+    assert (200, 4) in expected and (201, 72) in expected and (300, 59) in expected
+
+
+def test_excerpt_and_blocks(spark, monkeypatch):
+    """A long item's excerpt counts by its words; several blocks find what one does."""
+    long = [f"w{k}" for k in range(300)]
+    items = [(1, " ".join(long)), (2, " ".join(f"v{k}" for k in range(20))), (2, " ".join(f"v{k}" for k in range(20)))]
+    rows = [(n, "a b " + " ".join(long[50 : 50 + n]) + " c d") for n in (28, 29, 30, 40, 200)] + [(1, items[1][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, contaminated(docs, benchmark).collect()))
+    assert [r[:2] for r in whole] == [(1, 2), (1, 2), (30, 1), (40, 1), (200, 1)]
+    assert whole[2][2:] == (0.1, 2, 32, 300)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    assert sorted(map(tuple, contaminated(docs, benchmark).collect())) == whole
+
+
 def test_lattice_against_all_segmentations():
     pieces = [b"a", b"b", b"ab", b"ba", b"aba", b"c"]
     p = np.array([0.2, 0.1, 0.3, 0.05, 0.25, 0.1])
