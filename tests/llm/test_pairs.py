@@ -143,7 +143,7 @@ def test_stock_phrase(monkeypatch):
     monkeypatch.setattr(decontaminate, "RARE_ITEMS", 2)
     stock = "which of the following statements is true"
     items = [(j, f"{stock} " + " ".join(f"q{j}x{k}" for k in range(12))) for j in range(60)]
-    items += [(60 + j, f"{stock} of {j} all things that one may name here") for j in range(6)] + [(70, items[3][1]), (71, items[3][1]), (72, items[3][1])]
+    items += [(60 + j, f"{stock} or {j} all things that one may name here") for j in range(6)] + [(70, items[3][1]), (71, items[3][1]), (72, items[3][1])]
     rows = [(i, f"start{i} then {stock} end{i}") for i in range(20)]
     rows += [(100 + j, f"before {stock} " + " ".join(f"q{j}x{k}" for k in range(12) if k != 5)) for j in range(0, 60, 7)]
     # The stock phrase is the only seed left: other words stand in pairs.
