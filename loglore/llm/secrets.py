@@ -20,6 +20,9 @@ KINDS = ("assign", "access", "hex", "opaque")
 #: A value that so many owners hold is a copied example.
 SHARED_OWNERS = 3
 
+#: Spans in one list of results; the next begins a new one, as appending to a list copies it.
+LIST = 256
+
 _SPAN = "struct<start:int,rank:int,end:int,value:bigint>"
 
 
@@ -90,14 +93,58 @@ def _spans(docs: DataFrame) -> DataFrame:
         F.when(F.col("text").rlike(HEX), _matches("text", HEX, 0)).alias("m2"),
         F.when(F.col("text").rlike(OPAQUE), _matches("text", OPAQUE, 0)).alias("m3"),
     )
-    placed = [F.coalesce(_placed(f"m{k}", k), none) for k in range(4)]
+    parts = [_parts(f"m{k}").alias(f"p{k}") for k in range(4)]
+    docs = docs.select("doc_id", "owner", "repository", *parts)
+    placed = [F.coalesce(_placed(f"p{k}", k), none) for k in range(4)]
     docs = docs.select("doc_id", "owner", "repository", *[p.alias(f"s{k}") for k, p in enumerate(placed)])
-    base = F.array_sort(F.concat("s0", "s1", "s2"))
-    docs = docs.select("doc_id", "owner", "repository", base.alias("base"), "s3")
-    outside = F.filter(
-        "s3", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    )
-    return docs.select("doc_id", "owner", "repository", "base", outside.alias("more"))
+    docs = docs.select(
+        "doc_id", "owner", "repository",
+        F.array_sort(F.concat("s0", "s1", "s2")).alias("base"),
+        F.when(F.size("s3") > 0, F.array_sort(F.concat("s0", "s1", "s2", "s3"))).alias("every"),
+    )
+    return docs.select("doc_id", "owner", "repository", "base", F.coalesce(_outside("every"), none).alias("more"))
+
+
+def _scan(items: str, first: dict[str, Column], step: Callable[[Column, Column], Column]) -> Column:
+    """States of one running `step` over an array column, one state for each LIST items.
+
+    A state has the fields of `first` and `out`, the spans found since the state before. Spans are
+    appended to short lists alone, so the work grows with the number of items.
+    """
+    last = F.greatest(F.size(items) - 1, F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), (last / LIST).cast("int")), lambda i: F.slice(items, i * LIST + 1, LIST))
+    none = F.array().cast(f"array<{_SPAN}>").alias("out")
+
+    def chunk(states: Column, some: Column) -> Column:
+        before = F.get(states, F.size(states) - 1)
+        start = F.struct(*[F.coalesce(before[name], value).alias(name) for name, value in first.items()], none)
+        return F.array_append(states, F.aggregate(some, start, step))
+
+    empty = F.filter(F.array(F.struct(*[v.alias(name) for name, v in first.items()], none)), lambda _: F.lit(False))
+    return F.when(F.col(items).isNotNull(), F.aggregate(chunks, empty, chunk))
+
+
+def _outside(every: str) -> Column:
+    """Opaque runs that overlap no base span, from all spans by their start.
+
+    Opaque runs never overlap each other. One is held until the next span: a base span that begins
+    inside it takes it out, as does one before it that ends inside or behind it.
+    """
+    first = {"reach": F.lit(0), "held": F.lit(None).cast(_SPAN)}
+
+    def step(done: Column, x: Column) -> Column:
+        held, opaque = done["held"], x["rank"] == len(KINDS) - 1
+        inside = ~opaque & (x["start"] < held["end"])
+        return F.struct(
+            F.when(opaque, done["reach"]).otherwise(F.greatest(done["reach"], x["end"])).alias("reach"),
+            F.when(opaque & (done["reach"] <= x["start"]), x).when(opaque | inside, F.lit(None)).otherwise(held).alias("held"),
+            F.when(held.isNotNull() & opaque, F.array_append(done["out"], held)).otherwise(done["out"]).alias("out"),
+        )
+
+    states = _scan(every, first, step)
+    kept = F.flatten(F.transform(states, lambda s: s["out"]))
+    final = F.get(states, F.size(states) - 1)["held"]
+    return F.filter(F.array_append(kept, final), lambda x: x.isNotNull())
 
 
 def _matches(text: str, pattern: str, value: int) -> Column:
@@ -110,26 +157,28 @@ def _matches(text: str, pattern: str, value: int) -> Column:
     )
 
 
-def _placed(found: str, rank: int) -> Column:
-    """Spans of the matches that count: a match starts where the gaps and matches before it end."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    parts = F.arrays_zip(
+def _parts(found: str) -> Column:
+    """Each match with what stands before it."""
+    return F.arrays_zip(
         F.slice(F.col(f"{found}.gaps"), 1, F.size(f"{found}.whole")).alias("gap"),
         F.col(f"{found}.whole").alias("whole"),
         F.col(f"{found}.value").alias("value"),
     )
 
+
+def _placed(parts: str, rank: int) -> Column:
+    """Spans of the matches that count: a match starts where the gaps and matches before it end."""
+
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + F.length(x["gap"])
         end = begin + F.length(x["whole"])
         span = F.struct(
             begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.xxhash64(x["value"]).alias("value")
         )
-        return F.struct(
-            end.alias("at"), F.when(_counts(x, rank), F.array_append(done["out"], span)).otherwise(done["out"]).alias("out")
-        )
+        out = F.when(_counts(x, rank), F.array_append(done["out"], span)).otherwise(done["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(parts, start, step)["out"]
+    return F.flatten(F.transform(_scan(parts, {"at": F.lit(0)}, step), lambda s: s["out"]))
 
 
 def _of_rank(rank: int) -> Callable[[Column], Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from loglore.llm.line_dedup import drop_boilerplate
 from loglore.llm.oracles import ORACLES
 from loglore.llm.quality import passing, quality
 from loglore.llm.queries import QUERIES
-from loglore.llm.secrets import secrets
+from loglore.llm.secrets import ACCESS, ASSIGN, HEX, KINDS, OPAQUE, secrets
 from loglore.llm.url_filter import url_verdicts
 from tests.oracle import normal, spark_rows, sql_rows
 
@@ -54,6 +57,38 @@ def test_copies_keep_their_lines(spark):
     assert sorted((r.doc_id, r.text) for r in found) == expected
 
 
+def brute_spans(text: str) -> list[tuple]:
+    """All spans of a text whose opaque runs stand nowhere else, by start, then kind."""
+    found = []
+    for rank, pattern in enumerate((ASSIGN, ACCESS, HEX, OPAQUE)):
+        for m in re.finditer(pattern, text):
+            value = m[2] if rank == 0 else m[0]
+            if rank == 3:
+                counts = all(re.search(c, value) for c in ("[A-Z]", "[a-z]", "[0-9]"))
+                counts = counts and not any(s < m.end() and m.start() < e for s, k, e in found if k < 3)
+            else:
+                counts = rank > 0 or len(value) >= 8
+            if counts:
+                found.append((m.start(), rank, m.end()))
+    return sorted(found)
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than one list holds, of all kinds, some inside and across others."""
+    draw = random.Random(3)
+    run = lambda letters, n: "".join(draw.choices(letters, k=n))
+    kinds = [
+        lambda: f"token={run('abcXYZ019/+', draw.randint(4, 40))}", lambda: "AKIA" + run("ABC012", 13),
+        lambda: run("0123456789abcdef", 40), lambda: run("abcXYZ019/+_", 30), lambda: run("XYZ_/", 9) + run("abcdef01", 33),
+        lambda: "secret: 'é", lambda: run("XYZ_/", 9) + "AKIA" + run("ABC012", 20) + run("xyz", 9), lambda: "plain words",
+    ]
+    texts = [" ".join(draw.choice(kinds)() for _ in range(n)) for n in (1, 2, 255, 256, 257, 3000)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in secrets(docs).collect():
+        assert r.spans == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in brute_spans(texts[r.doc_id]))
+    assert len(brute_spans(texts[-1])) > 1000
+
+
 def test_empty_tables(spark, no_docs):
     assert quality(no_docs).count() == drop_boilerplate(no_docs, counts=True).count() == secrets(no_docs).count() == 0
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
