@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-#: Words longer than this are worked off one by one.
+#: Words longer than this are worked off one by one, so many bytes at a time.
 _LONG = 64
+_BLOCK = 4096
 
 
 class Lattice:
@@ -20,13 +22,15 @@ class Lattice:
         self.hashes, self.number = hashes[order], order
         self.logp = np.asarray(logp, np.float64)
         self.longest = max(map(len, pieces))
-        self._whole = {p: i for i, p in enumerate(pieces)}
+        self.sizes = {len(p) for p in pieces}
 
     def marginals(self, words: list[bytes]) -> np.ndarray:
         """Log of the sum, over all segmentations of a word, of the product of the pieces' probabilities."""
         out = np.empty(len(words))
         for rows, edges, n in self._groups(words):
             out[rows] = self._forward(edges, n, len(rows))[n]
+        for row in _long_ones(words):
+            out[row] = self._forward_of_one(np.frombuffer(words[row], np.uint8))[-1]
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -43,6 +47,8 @@ class Lattice:
                 for end, at, piece in edges[i]:
                     weight = np.exp(alpha[i, at] + self.logp[piece] + beta[end, at] - alpha[n, at])
                     total += np.bincount(piece, weight * counts[rows[at]], len(total))
+        for row in _long_ones(words):
+            total += counts[row] * self._expected_of_one(np.frombuffer(words[row], np.uint8))
         return total
 
     def _forward(self, edges: list, n: int, rows: int) -> np.ndarray:
@@ -54,11 +60,11 @@ class Lattice:
         return alpha
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, list, int]]:
-        """Words of one length together: their rows, the pieces found at each place, the length."""
-        lengths = np.array([len(w) for w in words])
-        for n in np.unique(lengths).tolist():
+        """Short words of one length together: their rows, the pieces found at each place, the length."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lengths[lengths <= _LONG]).tolist():
             rows = np.flatnonzero(lengths == n)
-            step = max(1, 1_000_000 // max(n, 1)) if n <= _LONG else 1
+            step = max(1, 1_000_000 // max(n, 1))
             for s in range(0, len(rows), step):
                 some = rows[s : s + step]
                 data = np.frombuffer(b"".join(words[r] for r in some), np.uint8).reshape(len(some), n)
@@ -67,8 +73,6 @@ class Lattice:
     def _edges(self, data: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each place, the pieces that start there: where they end, in which rows, their numbers."""
         rows, n = data.shape
-        if rows == 1 and n > _LONG:
-            return self._edges_of_one(data.tobytes())
         columns = data.T.astype(np.uint64) + np.uint64(1)
         every = np.arange(rows)
         out = []
@@ -85,16 +89,65 @@ class Lattice:
             out.append(here)
         return out
 
-    def _edges_of_one(self, word: bytes) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        row = np.zeros(1, np.int64)
-        return [
-            [
-                (j, row, np.array([self._whole[word[i:j]]]))
-                for j in range(i + 1, min(len(word), i + self.longest) + 1)
-                if word[i:j] in self._whole
-            ]
-            for i in range(len(word))
-        ]
+    def _forward_of_one(self, data: np.ndarray) -> np.ndarray:
+        """The forward recursion over one long word; the pieces of a block are found when it is reached."""
+        alpha = np.full(len(data) + 1, -np.inf)
+        alpha[0] = 0.0
+        for first in range(0, len(data), _BLOCK):
+            start, size, piece = self._found(data, first)
+            here = alpha[first : first + _BLOCK + self.longest].tolist()
+            for i, n, logp in zip(start.tolist(), size.tolist(), self.logp[piece].tolist(), strict=True):
+                here[i + n] = _log_add(here[i + n], here[i] + logp)
+            alpha[first : first + len(here)] = here
+        return alpha
+
+    def _expected_of_one(self, data: np.ndarray) -> np.ndarray:
+        """How often each piece is used in one long word; the backward recursion goes block by block as well."""
+        total = np.zeros(len(self.logp))
+        alpha = self._forward_of_one(data)
+        beta = np.full(len(data) + 1, -np.inf)
+        beta[-1] = 0.0
+        for first in reversed(range(0, len(data), _BLOCK)):
+            start, size, piece = self._found(data, first)
+            here = beta[first : first + _BLOCK + self.longest].tolist()
+            back = zip(start[::-1].tolist(), size[::-1].tolist(), self.logp[piece[::-1]].tolist(), strict=True)
+            for i, n, logp in back:
+                here[i] = _log_add(here[i], logp + here[i + n])
+            beta[first : first + len(here)] = here
+            at = first + start
+            weight = np.exp(alpha[at] + self.logp[piece] + beta[at + size] - alpha[-1])
+            total += np.bincount(piece, weight, len(total))
+        return total
+
+    def _found(self, data: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that start in the block at `first`: where in the block, in order, their sizes and numbers."""
+        width = min(_BLOCK, len(data) - first)
+        columns = data[first : first + width + self.longest - 1].astype(np.uint64) + np.uint64(1)
+        h = np.zeros(width, np.uint64)
+        found = []
+        for size in range(1, min(self.longest, len(columns)) + 1):
+            h = h[: len(columns) - size + 1]
+            h = h * _MUL + columns[size - 1 : size - 1 + len(h)]
+            if size not in self.sizes:
+                continue
+            at = np.searchsorted(self.hashes, h)
+            at[at == len(self.hashes)] = 0
+            hit = np.flatnonzero(self.hashes[at] == h)
+            found.append((hit, np.full(len(hit), size), self.number[at[hit]]))
+        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], size[order], piece[order]
+
+
+def _long_ones(words: list[bytes]) -> list[int]:
+    return [row for row, w in enumerate(words) if len(w) > _LONG]
+
+
+def _log_add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def _hash(piece: bytes) -> int:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglore.llm import decontaminate, neardup
+from loglore.llm import lattice as lattice_code
 from loglore.llm.common import table, tokenizer_json
 from loglore.llm.decontaminate import MATCH, Items, align, contaminated, most_score, passage_words, without_contaminated
 from loglore.llm.lattice import Lattice
@@ -197,6 +198,22 @@ def test_lattice_against_all_segmentations():
     assert lattice.marginals(words)[4] == pytest.approx(lattice._forward(lattice._edges(np.frombuffer(words[4], np.uint8).reshape(1, -1)), 80, 1)[80, 0])
 
 
+def test_long_words_in_blocks(monkeypatch):
+    """A long word worked off in blocks equals the recursion over short ones."""
+    pieces = [b"a", b"b", b"ab", b"ba", b"aba", b"c", b"bcabcab"]
+    lattice = Lattice(pieces, np.log([0.2, 0.1, 0.3, 0.05, 0.15, 0.1, 0.1]))
+    draw = np.random.default_rng(4)
+    words = [bytes(draw.choice([97, 98, 99], n).astype(np.uint8)) for n in (65, 66, 71, 72, 200, 200)]
+    counts = np.arange(1.0, 7.0)
+    monkeypatch.setattr(lattice_code, "_LONG", 1000)
+    plain, used = lattice.marginals(words), lattice.expected(words, counts)
+    monkeypatch.setattr(lattice_code, "_LONG", 64)
+    for block in (7, 65, 4096):
+        monkeypatch.setattr(lattice_code, "_BLOCK", block)
+        assert lattice.marginals(words) == pytest.approx(plain, rel=1e-12)
+        assert lattice.expected(words, counts) == pytest.approx(used, rel=1e-9)
+
+
 def test_scores(spark, docs, no_docs):
     apart = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     strange = next(i for i in range(100, 200) if apart(i))
