@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from loglore.llm import chunked_bpe
 from loglore.llm.chunked_bpe import ChunkEncoder, encode_documents
-from loglore.llm.common import tokenizer_json
+from loglore.llm.common import table, tokenizer_json
 from loglore.llm.encoding import PieceEncoder, byte_table
+from loglore.llm.queries import QUERIES
 from loglore.llm.token_files import read_ids, read_token_files, write_token_files
 from loglore.llm.token_rollup import TokenRollup, count_tokens
 from tests.llm.conftest import DOCS
@@ -98,3 +100,37 @@ def test_rollup(spark, docs, no_docs, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "ledger" / "batch=d"))
     assert rollup.upsert("d", spark.createDataFrame([(0, "z", "en", "v", 5)], known))
     assert total() == sum(b[0] for i, b in best.items() if i not in (0, 1)) + 5
+
+
+def test_rollup_query(spark, odd_dir):
+    """The query's four batches one by one, in plain Python."""
+    rows = table(spark, odd_dir, "documents").select("doc_id", "text", "source", "lang").collect()
+    words = lambda text: (text or "").encode().split()
+    spelt = lambda text: [w for w in words(text) if regex.search(r"[\p{L}\p{N}]", w.decode())]
+    first: dict = {}
+    for r in rows:
+        if r.doc_id is not None and r.text is not None:
+            first[r.text] = min(first.get(r.text, r.doc_id), r.doc_id)
+    copies = {r.doc_id for r in rows if r.doc_id is not None and r.text is not None and first[r.text] != r.doc_id}
+
+    def greatest(given, count):
+        best: dict = {}
+        for r in given:
+            value = (count(r.text), r.source is not None, r.source or "", r.lang is not None, r.lang or "")
+            best[r.doc_id] = max(best.get(r.doc_id, value), value)
+        return best
+
+    held = {"byte_bpe_50k": greatest(rows, lambda t: len(ids_of(t))), "words": greatest(rows, lambda t: len(words(t)))}
+    for best in held.values():
+        for i in copies:
+            best.pop(i, None)
+    held["words"].update(greatest([r for r in rows if r.doc_id not in copies], lambda t: len(spelt(t))))
+    cells: dict = {}
+    for version, best in held.items():
+        for n, has_source, source, has_lang, lang in best.values():
+            cell = (source if has_source else None, lang if has_lang else None, version)
+            docs, tokens = cells.get(cell, (0, 0))
+            cells[cell] = (docs + 1, tokens + n)
+    found = QUERIES["op7_token_rollup"](spark, odd_dir).collect()
+    assert copies and {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in found} == cells
+    assert len(found) == len(cells)
