@@ -13,6 +13,11 @@ def is_commit_id(sha: Column | str) -> Column:
     return F.coalesce(_col(sha).rlike(COMMIT_ID_PATTERN), F.lit(False))
 
 
+def id_folder(sha: Column, length: int) -> Column:
+    """The first digits of an id, filled up where the id is shorter, so that every id has a folder."""
+    return F.rpad(F.substring(sha, 1, length), length, "_")
+
+
 def short_id(sha: Column | str) -> Column:
     return F.substring(_col(sha), 1, SHORT_ID_LENGTH)
 

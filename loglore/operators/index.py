@@ -57,8 +57,8 @@ def mark_synced(tables: TableSet, keys: DataFrame) -> None:
     """Mark keys as synced; unknown keys change nothing, a repeat renews the time."""
     with staging(tables.spark) as folder:
         wanted = materialise(keys.select(*EMBEDDING_KEY).distinct(), "wanted", folder)
-        stored = tables.embeddings().select(*EMBEDDING_KEY)
-        tables.append_sync_log(marks(restrict(stored, wanted, EMBEDDING_KEY, fits_broadcast(wanted))))
+        found = restrict(tables.embeddings(), wanted, EMBEDDING_KEY, fits_broadcast(wanted), tables.prefix_length)
+        tables.append_sync_log(marks(found))
 
 
 def index_batch(tables: TableSet, fresh: DataFrame) -> int:
@@ -102,8 +102,9 @@ def _repair(tables: TableSet, begun: DataFrame) -> None:
     with staging(tables.spark) as folder:
         begun = materialise(begun, "begun", folder)
         few = fits_broadcast(begun)
-        stored = restrict(tables.embeddings(), begun, EMBEDDING_KEY, few)
-        _add_missing(tables, exclude(stored.select(*EMBEDDING_KEY), tables.sync_log(), EMBEDDING_KEY, few), folder)
+        stored = restrict(tables.embeddings(), begun, EMBEDDING_KEY, few, tables.prefix_length).select(*EMBEDDING_KEY)
+        missing = exclude(stored, tables.sync_log(), EMBEDDING_KEY, few, tables.prefix_length)
+        _add_missing(tables, missing, folder)
 
 
 def sync_index(tables: TableSet) -> None:
@@ -129,5 +130,6 @@ def _add_missing(tables: TableSet, missing: DataFrame, folder: str) -> None:
         return
     few = fits_broadcast(missing)
     absent = exclude(missing, tables.index_docs(), EMBEDDING_KEY, few)
-    tables.append_index_docs(index_docs(restrict(tables.embeddings(), absent, EMBEDDING_KEY, few)))
+    lacking = restrict(tables.embeddings(), absent, EMBEDDING_KEY, few, tables.prefix_length)
+    tables.append_index_docs(index_docs(lacking))
     tables.append_sync_log(marks(restrict(tables.index_docs(), missing, EMBEDDING_KEY, few)))

@@ -44,7 +44,7 @@ def taken_up(tables: TableSet, claimed: DataFrame, fresh: DataFrame, stored: Dat
     seen = restrict(fresh, ids, COMMIT_KEY, fits_broadcast(ids)).withColumn("_tries", F.lit(None).cast("int"))
     both = seen.unionByName(waiting(tables, model).select(*COMMIT.names, F.col("tries").alias("_tries")))
     order = [F.col("_tries").desc_nulls_first(), *commit_order()]
-    return absent_rows(both, stored, COMMIT_KEY, order).select(*COMMIT.names)
+    return absent_rows(both, stored, COMMIT_KEY, order, folders=tables.prefix_length).select(*COMMIT.names)
 
 
 def failures(answered: DataFrame, claimed: DataFrame | None, model: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglore.functions.text import id_folder
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 32
 
@@ -27,18 +29,26 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
-def restrict(big: DataFrame, keys_of: DataFrame, keys: list[str], small: bool) -> DataFrame:
+def restrict(big: DataFrame, keys_of: DataFrame, keys: list[str], small: bool, folders: int = 0) -> DataFrame:
     """Rows of `big` whose key is in `keys_of`.
 
     With `small` set (checked by the caller) the keys travel and `big` stays in
-    place; otherwise both sides are shuffled on the key.
+    place; otherwise both sides are shuffled on the key. Where `big` lies in
+    `sha_prefix` folders of `folders` digits, small keys have only their own
+    folders read.
     """
     wanted = keys_of.select(*keys)
-    return big.join(F.broadcast(wanted) if small else wanted, keys, "left_semi")
+    if not small:
+        return big.join(wanted, keys, "left_semi")
+    if folders:
+        # A comparison, though true of every id, tells the optimizer that pruning folders pays.
+        wanted = wanted.withColumn("sha_prefix", id_folder(F.col("sha"), folders)).filter(F.col("sha_prefix") >= "")
+        keys = [*keys, "sha_prefix"]
+    return big.join(F.broadcast(wanted), keys, "left_semi")
 
 
-def exclude(new: DataFrame, existing: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Rows of `new` whose key is not in `existing`.
+def exclude(new: DataFrame, existing: DataFrame, keys: list[str], small: bool, folders: int = 0) -> DataFrame:
+    """Rows of `new` whose key is not in `existing`; `folders` as for `restrict`.
 
     For a small `new`, the existing keys are first cut down to those that can
     match, in place, so a large table is never shuffled for a small addition.
@@ -46,5 +56,6 @@ def exclude(new: DataFrame, existing: DataFrame, keys: list[str], small: bool) -
     """
     known = existing.select(*keys)
     if small:
-        known = F.broadcast(restrict(known, new, keys, small=True).distinct())
+        stored = existing.select(*keys, "sha_prefix") if folders else known
+        known = F.broadcast(restrict(stored, new, keys, True, folders).select(*keys).distinct())
     return new.join(known, keys, "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglore.functions.text import id_folder
 from loglore.functions.vectors import blob_problem
 from loglore.operators.clean import commit_order, first_per_key
 from loglore.operators.sizing import exclude, fits_broadcast
@@ -26,9 +27,12 @@ from loglore.schema import (
     RUN,
     SYNC_LOG,
 )
-from loglore.session import exists, observed
+from loglore.session import exists, mark, observed, remove, subfolders
 
 _PREFIX = T.StructField("sha_prefix", T.StringType())
+#: Tables that grow by appends, and so are worth compacting.
+COMPACTED = ("commits", "embeddings", "index_docs", "sync_log")
+_COMPLETE = "_COMPLETE"  # readers pass over names that begin so
 _KEYS = T.StructType([EMBEDDING[n] for n in EMBEDDING_KEY])
 
 
@@ -40,11 +44,14 @@ def _by(schema: T.StructType, *folders: str) -> T.StructType:
 class TableSet:
     """The Parquet tables under one base path; one not yet written reads as empty.
 
-    `commits` is laid out by the first `prefix_length` digits of the id: ids
-    are uniform, so the folders are even, and a look-up of a few ids reads only
-    their folders; with 0 there are none. `embeddings` and `index_docs` are laid
-    out by model, as a search reads all vectors of one model. One writer at a
-    time.
+    `commits`, `embeddings` and `sync_log` are laid out by the first
+    `prefix_length` digits of the id: ids are uniform, so the folders are even,
+    and a look-up of a few ids, or an append of a few rows, reads only their
+    folders; with 0 there are none. `embeddings` and `index_docs` are laid out
+    by model, as a search reads all vectors of one model. One writer at a time.
+
+    Many small appends leave many small files; `compact` writes them anew, as
+    the next version of the table.
 
     `begun` holds, by run, the keys of embeddings that are being stored; they go
     when the run has indexed them. `pending` holds commits whose call failed, by
@@ -57,7 +64,7 @@ class TableSet:
     prefix_length: int = 2
 
     def commits(self) -> DataFrame:
-        """COMMIT columns, and `sha_prefix` where there are folders."""
+        """COMMIT columns, and `sha_prefix` where there are folders; so embeddings and sync log."""
         return self._read("commits")
 
     def embeddings(self) -> DataFrame:
@@ -98,7 +105,8 @@ class TableSet:
         Their keys count as begun until an index run or `sync_index` has them in the index.
         """
         order = [F.col("dim"), F.col("vector")]
-        fresh = absent_rows(new, self.embeddings(), EMBEDDING_KEY, None if unique else order, small)
+        order = None if unique else order
+        fresh = absent_rows(new, self.embeddings(), EMBEDDING_KEY, order, small, self.prefix_length)
         self.begin(f"append-{uuid.uuid4().hex}", new)
         return self._append("embeddings", fresh)
 
@@ -149,12 +157,12 @@ class TableSet:
 
     def prefix(self, sha: Column | str = "sha") -> Column:
         """The folder of an id in `commits`."""
-        return F.substring(F.col(sha) if isinstance(sha, str) else sha, 1, self.prefix_length)
+        return id_folder(F.col(sha) if isinstance(sha, str) else sha, self.prefix_length)
 
     def _append_absent(
         self, name: str, new: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None
     ) -> int:
-        return self._append(name, absent_rows(new, self._read(name), keys, order, small))
+        return self._append(name, absent_rows(new, self._read(name), keys, order, small, self.prefix_length))
 
     def _append(self, name: str, rows: DataFrame) -> int:
         """Add rows and tell how many, counted as they are written."""
@@ -166,11 +174,46 @@ class TableSet:
         rows = rows.select(*schema.names).observe(written, F.count("*").alias("rows"))
         if "sha_prefix" in layout:
             # Many folders: rebalancing gives each few files of even size. By
-            # model there are few folders, and vectors need not travel for them.
+            # model there are few folders, and the index need not travel for them.
             rows = rows.hint("rebalance", "sha_prefix")
         rows.write.mode("append").partitionBy(*layout).parquet(self._path(name))
         return observed(written).get("rows", 0)
 
+    def compact(self, name: str) -> int:
+        """Write a table anew in few files, as its next version. Returns how many rows it has.
+
+        Files get the session's advisory partition size, folders stay. The new
+        version holds as soon as it is marked, after its last file; a run that
+        dies before leaves the old one in force. Readers of the old version go
+        on undisturbed until `drop_versions`. It reads and writes the whole
+        table, so it pays when small files have come to be many.
+        """
+        if name not in COMPACTED:
+            raise ValueError(f"{name} is not compacted; it is kept by run")
+        schema, layout = self._specs()[name]
+        if not exists(self.spark, self._path(name)):
+            return 0
+        path = f"{self.base}/{name}@{max(self._versions(name), default=0) + 1:06d}"
+        written = Observation()
+        rows = self._read(name).select(*schema.names).observe(written, F.count("*").alias("rows"))
+        rows.hint("rebalance", *layout).write.partitionBy(*layout).parquet(path)
+        mark(self.spark, f"{path}/{_COMPLETE}")
+        return observed(written).get("rows", 0)
+
+    def drop_versions(self, name: str) -> int:
+        """Remove versions that are not in force, those of compactions that died included."""
+        current = self._path(name)
+        known = [f"{self.base}/{name}", *(f"{self.base}/{name}@{v:06d}" for v in self._versions(name))]
+        old = [path for path in known if path != current and exists(self.spark, path)]
+        for path in old:
+            remove(self.spark, path)
+        return len(old)
+
+    def _versions(self, name: str) -> list[int]:
+        """Numbers of the versions that were begun, whole or not."""
+        found = [re.fullmatch(rf"{name}@(\d+)", folder) for folder in subfolders(self.spark, self.base)]
+        return [int(m.group(1)) for m in found if m]
+
     def _read(self, name: str) -> DataFrame:
         schema, _ = self._specs()[name]
         try:
@@ -181,15 +224,22 @@ class TableSet:
             return self.spark.createDataFrame([], schema)
 
     def _path(self, name: str) -> str:
+        """The version in force: the last that is marked, or the folder that was there first."""
+        if name in COMPACTED:
+            for number in sorted(self._versions(name), reverse=True):
+                path = f"{self.base}/{name}@{number:06d}"
+                if exists(self.spark, f"{path}/{_COMPLETE}"):
+                    return path
         return f"{self.base}/{name}"
 
     def _specs(self) -> dict[str, tuple[T.StructType, list[str]]]:
         folders = [_PREFIX] if self.prefix_length else []
+        names = [f.name for f in folders]
         return {
-            "commits": (T.StructType([*COMMIT.fields, *folders]), [f.name for f in folders]),
-            "embeddings": (EMBEDDING, ["model"]),
+            "commits": (T.StructType([*COMMIT.fields, *folders]), names),
+            "embeddings": (T.StructType([*EMBEDDING.fields, *folders]), ["model", *names]),
             "index_docs": (INDEX_DOC, ["model"]),
-            "sync_log": (SYNC_LOG, []),
+            "sync_log": (T.StructType([*SYNC_LOG.fields, *folders]), names),
             "rejects": (_by(REJECT, "run"), ["run"]),
             "begun": (_by(_KEYS, "run"), ["run"]),
             "pending": (_by(PENDING, "queue", "run"), ["queue", "run"]),
@@ -198,31 +248,38 @@ class TableSet:
         }
 
 
-def check_layout(commits: DataFrame, prefix_length: int) -> None:
-    """Fail if stored commits lie in folders of another prefix: looking there would find nothing."""
-    stored = commits.select(F.length("sha_prefix").alias("n")).first()
-    if stored and stored["n"] != prefix_length:
-        raise ValueError(f"commits are stored by {stored['n']} digits of the id, not by {prefix_length}")
+def check_layout(stored: DataFrame, prefix_length: int) -> None:
+    """Fail if stored rows lie in folders of another prefix: looking there would find nothing."""
+    row = stored.filter(F.col("sha").isNotNull()).select(F.length("sha_prefix").alias("n")).first()
+    if row and row["n"] != prefix_length:
+        raise ValueError(f"rows are stored by {row['n'] or 0} digits of the id, not by {prefix_length}")
 
 
 def absent_rows(
-    new: DataFrame, stored: DataFrame, keys: list[str], order: list[Column] | None, small: bool | None = None
+    new: DataFrame,
+    stored: DataFrame,
+    keys: list[str],
+    order: list[Column] | None,
+    small: bool | None = None,
+    folders: int = 0,
 ) -> DataFrame:
     """One row, the first in `order`, of every key of `new` that is not stored.
 
+    `folders` is the length of the `sha_prefix` that `stored` is laid out by.
+
     Without `order`, `new` holds no key twice. A small `new` loses its stored
     rows before the rest is shuffled by key. A large one is cut to one row per
     key first: that happens before the shuffle, so copies of a key never meet,
     and the join that follows finds its rows already in place.
     """
     one = (lambda df: first_per_key(df, keys, order)) if order else (lambda df: df)
-    existing = stored.select(*keys)
+    existing = stored.select(*keys, *(["sha_prefix"] if folders else []))
     if existing.isEmpty():
         return one(new)
     if small is None:
         small = fits_broadcast(new.select(*keys))
     if small:
-        return one(exclude(new, existing, keys, small))
+        return one(exclude(new, existing, keys, small, folders))
     return exclude(one(new), existing, keys, small)
 
 

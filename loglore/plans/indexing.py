@@ -115,7 +115,7 @@ def _answered(
     if claimed is not None:
         ids = claimed.select(*COMMIT_KEY)
         new = good.join(F.broadcast(ids) if fits_broadcast(ids) else ids, COMMIT_KEY, "left_anti")
-    todo = absent_rows(new, known, COMMIT_KEY, commit_order())
+    todo = absent_rows(new, known, COMMIT_KEY, commit_order(), folders=tables.prefix_length)
     if concurrency:
         todo = todo.repartition(concurrency)
     answered = embed(todo, factory, wanted)
@@ -152,8 +152,8 @@ def _store(
     fresh = good
     if not keys.filter(F.col("model") != wanted).isEmpty():
         # Answers under another name than asked for may be stored already.
-        stored = tables.embeddings().select(*EMBEDDING_KEY)
-        new_keys = materialise(exclude(keys, stored, EMBEDDING_KEY, small), "fresh", folder)
+        absent = exclude(keys, tables.embeddings(), EMBEDDING_KEY, small, tables.prefix_length)
+        new_keys = materialise(absent, "fresh", folder)
         fresh = restrict(good, new_keys, EMBEDDING_KEY, small)
     counts = outcome.counts
     counts["commits"] = tables.append_commits(good, unique=True, small=small)

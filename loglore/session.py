@@ -96,3 +96,18 @@ def remove(spark: SparkSession, folder: str) -> None:
 def exists(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def mark(spark: SparkSession, file: str) -> None:
+    """Write an empty file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
+
+
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    if not exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return [entry.getPath().getName() for entry in found]
