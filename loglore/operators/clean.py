@@ -37,7 +37,8 @@ def flatten(raw: DataFrame) -> DataFrame:
     """Author and committer as columns, dates in UTC, body as message.
 
     A date outside the four-digit years comes out as NULL here and is reported
-    by `commit_problem` through `date_out_of_range`.
+    by `commit_problem` through `date_out_of_range`. `malformed` stays, where
+    the source has it.
     """
     return raw.select(
         "repo",
@@ -50,6 +51,7 @@ def flatten(raw: DataFrame) -> DataFrame:
         utc_date(F.col("committer.epoch")).alias("committer_date"),
         F.col("body").alias("message"),
         (_out_of_range("author.epoch") | _out_of_range("committer.epoch")).alias("date_out_of_range"),
+        *[c for c in raw.columns if c == "malformed"],
     )
 
 
@@ -88,9 +90,16 @@ def commit_problem() -> Column:
 
 
 def check_commits(raw: DataFrame) -> DataFrame:
-    """Raw commits to COMMIT rows with a `reason` column, NULL for good rows."""
-    flat = flatten(drop_merges(raw)).withColumn("reason", commit_problem())
-    return empty_to_null(flat).select(*COMMIT.names, "reason")
+    """Raw commits to COMMIT rows with a `reason` column, NULL for good rows.
+
+    A record that the source could not read has that for a reason, its file as
+    `repo` and its text as `message`.
+    """
+    flat = flatten(drop_merges(raw))
+    problem = commit_problem()
+    if "malformed" in flat.columns:
+        problem = F.when(F.col("malformed"), F.lit("malformed record")).otherwise(problem)
+    return empty_to_null(flat.withColumn("reason", problem)).select(*COMMIT.names, "reason")
 
 
 def good_commits(checked: DataFrame) -> DataFrame:

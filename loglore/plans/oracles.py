@@ -390,6 +390,23 @@ UNION ALL
 {_run("2-again", "done", "NULL", read="seen + more", asked="new", commits="new", embeddings="new", indexed="new")}
 UNION ALL
 {_run("3-by-name", "done", "NULL", read="seen")}""",
+    "b27_appends_compacted": f"""
+WITH {_RAW}, {_VECTORS}, {_TURNS},
+stored AS (
+  SELECT c.sha, CASE WHEN l.sha IS NULL THEN c.repo ELSE 'early/' || c.repo END AS repo, committer_date, message
+  FROM commits c LEFT JOIN labelled l ON l.sha = c.sha
+  UNION ALL
+  SELECT sha, repo, committer_date, message FROM turns
+)
+SELECT s.sha, repo, committer_date, CAST(length(message) AS BIGINT) AS n_chars,
+       l.sha IS NOT NULL AS asked, TRUE AS fewer_files
+FROM stored s LEFT JOIN labelled l ON l.sha = s.sha""",
+    "b28_malformed_records": f"""
+WITH {_RAW},
+judged AS (SELECT repo, n_parents = 0 OR author_email IS NULL AS damaged FROM commits),
+total AS (SELECT 'clean: malformed record (' || count(*) FILTER (damaged) || ' rows)' AS error FROM judged)
+SELECT repo, CASE WHEN damaged THEN 'malformed record' ELSE 'indexed' END AS reason, error, count(*) AS n_rows
+FROM judged, total GROUP BY ALL""",
     "nearest_commits": f"""
 WITH {_RAW}, {_VECTORS}, {_HITS},
 listed AS (

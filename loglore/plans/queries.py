@@ -46,7 +46,7 @@ from loglore.plans.fixture import (
 )
 from loglore.plans.indexing import arrival_order, index_commits
 from loglore.plans.searching import search_text
-from loglore.schema import DEFAULT_MODEL, EMBEDDING_KEY, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
+from loglore.schema import DEFAULT_MODEL, EMBEDDING_KEY, RAW_COMMIT, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
 from loglore.session import materialise, work_path
 from loglore.sources.commits import read_commit_stream, read_commits, read_log_dump, union_exports, write_log_dump
 from loglore.streaming.index_stream import index_stream
@@ -587,6 +587,61 @@ def stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.unionByName(ledger.withColumn("sha", F.lit("runs")))
 
 
+def appends_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends into the usual folders, written anew as one version; the labelled ids are found in it."""
+    commits, labelled = _commits(spark, sf_dir), _labelled(spark, sf_dir)
+    turns = good_commits(check_commits(raw_from_conversations(table(spark, sf_dir, "conversations"))))
+    tables = TableSet(spark, work_path(spark, "compacted"))
+    early = commits.join(labelled, "sha", "left_semi").withColumn("repo", F.concat(F.lit("early/"), "repo"))
+    for part in (early, commits, turns):
+        tables.append_commits(part)
+    n_files = F.count_distinct("_metadata.file_path").alias("n")
+    before = tables.commits().agg(n_files).first()["n"]
+    tables.compact("commits")
+    after = tables.commits().agg(n_files).first()["n"]
+    tables.append_commits(commits)  # all of it is stored
+    tables.drop_versions("commits")
+    found = find_commits(tables.commits(), labelled, prefix_length=tables.prefix_length)
+    return (
+        tables.commits()
+        .join(found.select("sha", F.lit(True).alias("asked")), "sha", "left")
+        .select(
+            "sha",
+            "repo",
+            "committer_date",
+            F.length("message").cast("long").alias("n_chars"),
+            F.coalesce("asked", F.lit(False)).alias("asked"),
+            F.lit(after < before).alias("fewer_files"),
+        )
+    )
+
+
+def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in which roots are cut off and commits without an author's address have times that are none."""
+    line = F.to_json(F.struct(*RAW_COMMIT.names))
+    no_address = F.coalesce("author.email", F.lit("")) == ""
+    damaged = (
+        F.when(F.size("parents") == 0, F.left(line, F.length(line) - 2))
+        .when((F.size("parents") == 1) & no_address, F.regexp_replace(line, r'"epoch":(-?\d+)', r'"epoch":"at $1"'))
+        .otherwise(line)
+    )
+    path = work_path(spark, "damaged")
+    _raw(spark, sf_dir).select("repo", damaged.alias("value")).write.partitionBy("repo").text(path)
+    tables = _tables(spark, "quarantine")
+    outcome = index_commits(
+        read_commits(spark, path, tolerant=True), tables, hashed_words, HASHED_MODEL, run="quarantine"
+    )
+    rejected = tables.rejects().select(
+        F.regexp_extract("detail", "/repo=([^/]*)/", 1).alias("repo"), "reason", F.lit(outcome.error).alias("error")
+    )
+    kept = tables.commits().join(tables.index_docs().select("sha"), "sha")
+    return rejected.groupBy("repo", "reason", "error").agg(F.count("*").alias("n_rows")).unionByName(
+        kept.groupBy("repo", F.lit("indexed").alias("reason"), F.lit(outcome.error).alias("error")).agg(
+            F.count("*").alias("n_rows")
+        )
+    )
+
+
 def nearest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: for every benchmark query vector, its nearest commits as a list."""
     hits = materialise(_benchmark_hits(spark, sf_dir), "hits")
@@ -631,5 +686,7 @@ QUERIES: dict[str, Query] = {
     "b24_queue_worked_off": queue_worked_off,
     "b25_failing_store": failing_store,
     "b26_alias_asked_twice": alias_asked_twice,
+    "b27_appends_compacted": appends_compacted,
+    "b28_malformed_records": malformed_records,
     "nearest_commits": nearest_commits,
 }

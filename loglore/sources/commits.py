@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from loglore.schema import RAW_COMMIT
@@ -16,8 +17,16 @@ FIELD_SEPARATOR = "\x1f"
 DUMP_FIELDS = ["sha", "parents", "an", "ae", "at", "cn", "ce", "ct", "body"]
 
 
-def read_commits(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
-    """Exported raw commits; a malformed JSON record ends the job."""
+def read_commits(
+    spark: SparkSession, path: str | list[str], fmt: str = "json", tolerant: bool = False
+) -> DataFrame:
+    """Exported raw commits; a malformed JSON record ends the job.
+
+    With `tolerant`, malformed records come along and are told by a further
+    column, see `quarantined`; an index run then rejects them one by one.
+    """
+    if tolerant:
+        return quarantined(spark.read.text(path), fmt)
     reader = spark.read.schema(RAW_COMMIT)
     if fmt == "json":
         reader = reader.option("mode", "FAILFAST")
@@ -25,17 +34,50 @@ def read_commits(spark: SparkSession, path: str | list[str], fmt: str = "json")
 
 
 def read_commit_stream(
-    spark: SparkSession, path: str, fmt: str = "json", files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "json",
+    files_per_trigger: int | None = None,
+    tolerant: bool = False,
 ) -> DataFrame:
     """The same exports as they arrive in a folder."""
-    reader = spark.readStream.schema(RAW_COMMIT).format(fmt)
-    if fmt == "json":
-        reader = reader.option("mode", "FAILFAST")
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if tolerant:
+        return quarantined(reader.text(path), fmt)
+    reader = reader.schema(RAW_COMMIT).format(fmt)
+    if fmt == "json":
+        reader = reader.option("mode", "FAILFAST")
     return reader.load(path)
 
 
+def quarantined(lines: DataFrame, fmt: str = "json") -> DataFrame:
+    """RAW_COMMIT columns and `malformed` from lines of JSON.
+
+    A malformed line keeps its whole record as `body`, the file it lies in as
+    `repo`, and its id if that could be read; its other columns are NULL. Blank
+    lines are passed over; a line that is no object, `null` and arrays included,
+    is malformed.
+    """
+    if fmt != "json":
+        raise ValueError(f"only JSON is read with malformed records, not {fmt}")
+    schema = T.StructType([*RAW_COMMIT.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.filter(F.col("value").rlike(r"\S")).select(
+        "value", F.col("_metadata.file_path").alias("file"), parsed.alias("r")
+    )
+    broken = F.col("r").isNull() | F.col("r._broken").isNotNull() | ~F.col("value").rlike(r"\A\s*\{")
+    instead = {"repo": F.col("file"), "sha": F.col("r.sha"), "body": F.col("value")}
+    return rows.withColumn("malformed", broken).select(
+        *[
+            F.when(~F.col("malformed"), F.col(f"r.{c}")).otherwise(instead.get(c, F.lit(None))).alias(c)
+            for c in RAW_COMMIT.names
+        ],
+        "malformed",
+    )
+
+
 def read_log_dump(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """Raw commits of delimited log dumps.
 
@@ -95,8 +137,8 @@ def write_log_dump(raw: DataFrame, path: str) -> None:
 
 
 def union_exports(*exports: DataFrame) -> DataFrame:
-    """All exports as one; the same commit may be in several of them."""
-    return reduce(lambda a, b: a.unionByName(b), exports)
+    """All exports as one; the same commit may be in several of them, `malformed` in some."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), exports)
 
 
 def _person(name: Column, email: Column, epoch: Column) -> Column:

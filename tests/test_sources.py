@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
-from loglore.operators.clean import check_commits, good_commits
-from loglore.sources.commits import read_commits, read_log_dump, union_exports, write_log_dump
+from loglore.operators.clean import check_commits, good_commits, rejected_commits
+from loglore.sources.commits import read_commit_stream, read_commits, read_log_dump, union_exports, write_log_dump
 from tests.commits import commit, person, raw, sha
 
 
@@ -65,3 +65,39 @@ def test_broken_dump_ends_the_job(spark, tmp_path, record):
     (tmp_path / "log.txt").write_text(record + "\x1e\n")
     with pytest.raises(PySparkException):
         read_log_dump(spark, str(tmp_path / "log.txt"), repo="r").collect()
+
+
+BROKEN = ["{broken", "null", "[]", '[{"sha": "x"}]', '"text"', '{"sha": "5", "author": {"epoch": "noon"}}', "5"]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_malformed_records_keep_text_and_file(spark, tmp_path, stream):
+    good = [json.dumps(commit(i)) for i in range(3)]
+    (tmp_path / "a.json").write_text("\n".join([good[0], *BROKEN, "", " \t", good[1]]) + "\n")
+    (tmp_path / "b.json").write_text(good[2] + "\n")
+    (tmp_path / "c.json").write_text("")
+    if stream:
+        feed = read_commit_stream(spark, str(tmp_path), tolerant=True)
+        running = feed.writeStream.format("memory").queryName("malformed").trigger(availableNow=True).start()
+        running.awaitTermination()
+        read = spark.table("malformed")
+    else:
+        read = read_commits(spark, str(tmp_path), tolerant=True)
+    checked = check_commits(read)
+    assert sorted(r["sha"] for r in good_commits(checked).collect()) == [sha(0), sha(1), sha(2)]
+    bad = checked.filter("reason is not null").collect()
+    assert sorted(r["message"] for r in bad) == sorted(BROKEN)
+    assert {r["reason"] for r in bad} == {"malformed record"}
+    assert all(r["repo"].endswith("/a.json") for r in bad)
+    assert {r["detail"] for r in rejected_commits(checked).collect()} == {r["repo"] for r in bad}
+
+
+def test_tolerant_rows_equal_strict_ones(spark, tmp_path):
+    rows = [commit(1, body="two\nlines \"quoted\" é"), commit(2, author=person("", "", None)), commit(3, parents=[])]
+    raw(spark, rows).write.json(str(tmp_path / "j"))
+    strict, tolerant = (read_commits(spark, str(tmp_path / "j"), tolerant=t) for t in (False, True))
+    assert sorted(map(str, strict.collect())) == sorted(map(str, tolerant.drop("malformed").collect()))
+    both = check_commits(union_exports(strict, tolerant))
+    assert both.count() == 6 and both.filter("reason is not null").isEmpty()
+    with pytest.raises(ValueError, match="only JSON"):
+        read_commits(spark, str(tmp_path / "j"), "parquet", tolerant=True)
