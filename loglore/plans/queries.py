@@ -602,18 +602,15 @@ def appends_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_commits(commits)  # all of it is stored
     tables.drop_versions("commits")
     found = find_commits(tables.commits(), labelled, prefix_length=tables.prefix_length)
-    return (
-        tables.commits()
-        .join(found.select("sha", F.lit(True).alias("asked")), "sha", "left")
-        .select(
-            "sha",
-            "repo",
-            "committer_date",
-            F.length("message").cast("long").alias("n_chars"),
-            F.coalesce("asked", F.lit(False)).alias("asked"),
-            F.lit(after < before).alias("fewer_files"),
-        )
+    stored = tables.commits().select(
+        "sha",
+        "repo",
+        "committer_date",
+        F.length("message").cast("long").alias("n_chars"),
+        F.lit(after < before).alias("fewer_files"),
     )
+    asked = found.select("sha", F.lit(True).alias("asked"))
+    return stored.join(asked, "sha", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
 
 def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
