@@ -47,7 +47,7 @@ from loglore.plans.fixture import (
 from loglore.plans.indexing import arrival_order, index_commits
 from loglore.plans.searching import search_text
 from loglore.schema import DEFAULT_MODEL, EMBEDDING_KEY, RAW_COMMIT, SOURCE_DIFF_SUMMARY, SOURCE_MESSAGE
-from loglore.session import materialise, work_path
+from loglore.session import materialise, subfolders, work_path
 from loglore.sources.commits import read_commit_stream, read_commits, read_log_dump, union_exports, write_log_dump
 from loglore.streaming.index_stream import index_stream
 
@@ -572,13 +572,15 @@ def stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports that arrive one by one; each micro-batch is a run of the ledger."""
     arriving = work_path(spark, "arriving")
     raw = _spoilt(spark, sf_dir)
-    # A file per remainder, whatever the number of cores.
-    for part in range(3):
-        raw.filter(F.pmod(F.crc32("body"), F.lit(3)) == part).coalesce(1).write.mode("append").json(arriving)
     tables = _tables(spark, "stream-of-files")
-    feed = read_commit_stream(spark, arriving, files_per_trigger=1)
     checkpoint = work_path(spark, "stream-of-files-checkpoint")
-    index_stream(feed, tables, hashed_words, checkpoint, HASHED_MODEL).awaitTermination()
+    # An export per remainder, of as many files as tasks wrote; the stream goes on where it stopped.
+    for part in range(3):
+        known = set(subfolders(spark, arriving))
+        raw.filter(F.pmod(F.crc32("body"), F.lit(3)) == part).write.mode("append").json(arriving)
+        n_files = len([f for f in set(subfolders(spark, arriving)) - known if f.startswith("part-")])
+        feed = read_commit_stream(spark, arriving, files_per_trigger=n_files)
+        index_stream(feed, tables, hashed_words, checkpoint, HASHED_MODEL).awaitTermination()
     indexed = tables.index_docs().select("sha", F.posexplode("vector").alias("bucket", "weight"))
     weights = indexed.filter(F.col("weight") > 0).select(
         "sha", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 4).alias("weight")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from loglore.operators.index import settle, sync_index
 from loglore.operators.pending import waiting
 from loglore.operators.tables import TableSet
 from loglore.plans.indexing import index_commits
+from loglore.plans.queries import stream_of_files
+from loglore.session import shared_dir
 from loglore.sources.commits import read_commit_stream
 from loglore.streaming.index_stream import index_stream
 from tests.commits import commit, raw, sha
@@ -193,3 +197,19 @@ def test_unsynced_leaves_vectors_in_place(spark, tables):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "broadcast" in plan.split("LeftSemi")[1].splitlines()[0] + plan
     assert rows.select(F.size("vector").alias("n")).agg(F.sum("n")).first()[0] == 4
+
+
+def test_exports_of_a_stream_are_written_by_many_tasks(spark, tmp_path):
+    """Each of the three exports is a run, and none passes whole through one task."""
+    texts = spark.range(80).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("some words of text "), "id").alias("text"),
+        *[F.lit("x").alias(c) for c in ("lang", "source")],
+    )
+    texts.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(shared_dir(spark)) / "loglore"
+    earlier = set(shared.glob("arriving-*"))
+    found = stream_of_files(spark, str(tmp_path)).filter("sha = 'runs'").first()
+    assert (found["bucket"], found["weight"]) == (3, 80.0)
+    (arriving,) = set(shared.glob("arriving-*")) - earlier
+    assert len(list(arriving.glob("part-*"))) > 3
