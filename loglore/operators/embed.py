@@ -130,22 +130,28 @@ def _checked(reply: Reply, asked: int) -> tuple[list[np.ndarray], str]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int, key: str | None) -> Iterator[pa.RecordBatch]:
-    """Cut a stream of Arrow batches at every `size` rows, or where `key` changes."""
-    rest: pa.RecordBatch | None = None
+    """Cut a stream of Arrow batches at every `size` rows, or where `key` changes.
+
+    Only a slice that spans batches is copied, so a task holds the batches it is given and no more.
+    """
+    parts: list[pa.RecordBatch] = []  # a slice that may go on in the next batch
     for incoming in batches:
-        if not incoming.num_rows:
-            continue
-        piece = incoming if rest is None else pa.concat_batches([rest, incoming])
-        cuts = _cuts(piece, size, key)
-        for start, end in zip(cuts[:-1], cuts[1:]):
-            yield piece.slice(start, end - start)
-        rest = piece.slice(cuts[-1])
-    if rest is not None:
-        yield rest
-
-
-def _cuts(piece: pa.RecordBatch, size: int, key: str | None) -> list[int]:
+        at = 0
+        for cut in _cuts(incoming, size, key, parts):
+            yield pa.concat_batches([*parts, incoming.slice(at, cut - at)]) if parts else incoming.slice(at, cut - at)
+            parts, at = [], cut
+        if at < incoming.num_rows:
+            parts.append(incoming.slice(at))
+    if parts:
+        yield pa.concat_batches(parts)
+
+
+def _cuts(incoming: pa.RecordBatch, size: int, key: str | None, parts: list[pa.RecordBatch]) -> list[int]:
+    """Where slices end in `incoming`, of which the first began with `parts`."""
     if key is None:
-        return list(range(0, piece.num_rows, size))
-    keys = piece.column(key).to_numpy(zero_copy_only=False)
-    return [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        return list(range(size - sum(p.num_rows for p in parts), incoming.num_rows + 1, size))
+    if not incoming.num_rows:
+        return []
+    keys = incoming.column(key).to_numpy(zero_copy_only=False)
+    ends = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return [0, *ends] if parts and parts[-1].column(key)[-1].as_py() != keys[0] else ends

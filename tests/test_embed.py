@@ -3,13 +3,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loglore.functions.embedders import HASHED_MODEL, Reply, hashed_words
 from loglore.operators.clean import check_commits, good_commits
-from loglore.operators.embed import attach_vectors, embed, embed_rejects, embedded, embedding_rows
+from loglore.operators.embed import _slices, attach_vectors, embed, embed_rejects, embedded, embedding_rows
 from loglore.operators.number import number_rows, with_batch_no
 from loglore.plans.searching import embed_queries
 from loglore.schema import DEFAULT_MODEL
@@ -169,3 +170,25 @@ def test_hashed_words():
     assert vectors[3].max() == 1.0
     assert math.isclose(float(np.linalg.norm(vectors[0])), 1.0, rel_tol=1e-6)
     assert hashed_words("whatever")(["x"]).model == HASHED_MODEL
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_batches_are_cut_without_a_copy(key):
+    """Slices are as before, and of two batches only the slice between them is copied."""
+    rng = np.random.default_rng(5)
+    for sizes in ([10_000, 10_000], [0, 3, 0, 7], [50, 50], [120, 1, 1, 200]):
+        keys = np.sort(rng.integers(0, max(sum(sizes) // 40, 1), sum(sizes))).astype(str)
+        texts = [f"text {i}" * 10 for i in range(len(keys))]
+        whole = pa.RecordBatch.from_pydict({"text": texts, "k": keys.tolist()})
+        starts = np.cumsum([0, *sizes[:-1]])
+        batches = [whole.take(pa.array(np.arange(a, a + n))) for a, n in zip(starts, sizes)]
+        before = pa.total_allocated_bytes()
+        found, most = [], 0
+        for piece in _slices(iter(batches), 50, key):
+            found.append(piece.column("text").to_pylist())
+            most = max(most, pa.total_allocated_bytes() - before)
+            if key:
+                assert len(set(piece.column("k").to_pylist())) == 1
+        assert [t for f in found for t in f] == texts
+        assert len(found) == (len(set(keys)) if key else -(-len(texts) // 50))
+        assert most < 100_000
