@@ -11,6 +11,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Words longer than this are worked off one by one, so many bytes at a time.
 _LONG = 64
 _BLOCK = 4096
+_FIRST_BITS = 20
 
 
 class Lattice:
@@ -20,6 +21,9 @@ class Lattice:
         hashes = np.array([_hash(p) for p in pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
+        # Most runs of bytes are no piece: a look at the hash's first bits spares them the search.
+        self.begun = np.zeros(1 << _FIRST_BITS, bool)
+        self.begun[hashes >> np.uint64(64 - _FIRST_BITS)] = True
         self.logp = np.asarray(logp, np.float64)
         self.longest = max(map(len, pieces))
         self.sizes = {len(p) for p in pieces}
@@ -74,21 +78,26 @@ class Lattice:
         """For each place, the pieces that start there: where they end, in which rows, their numbers."""
         rows, n = data.shape
         columns = data.T.astype(np.uint64) + np.uint64(1)
-        every = np.arange(rows)
         out = []
         for i in range(n):
             h = np.zeros(rows, np.uint64)
             here = []
             for j in range(i, min(n, i + self.longest)):
                 h = h * _MUL + columns[j]
-                at = np.searchsorted(self.hashes, h)
-                at[at == len(self.hashes)] = 0
-                hit = self.hashes[at] == h
-                if hit.any():
-                    here.append((j + 1, every[hit], self.number[at[hit]]))
+                which, piece = self._pieces(h)
+                if len(which):
+                    here.append((j + 1, which, piece))
             out.append(here)
         return out
 
+    def _pieces(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are those of pieces, and the pieces' numbers."""
+        which = np.flatnonzero(self.begun[h >> np.uint64(64 - _FIRST_BITS)])
+        at = np.searchsorted(self.hashes, h[which])
+        at[at == len(self.hashes)] = 0
+        hit = self.hashes[at] == h[which]
+        return which[hit], self.number[at[hit]]
+
     def _forward_of_one(self, data: np.ndarray) -> np.ndarray:
         """The forward recursion over one long word; the pieces of a block are found when it is reached."""
         alpha = np.full(len(data) + 1, -np.inf)
@@ -130,10 +139,8 @@ class Lattice:
             h = h * _MUL + columns[size - 1 : size - 1 + len(h)]
             if size not in self.sizes:
                 continue
-            at = np.searchsorted(self.hashes, h)
-            at[at == len(self.hashes)] = 0
-            hit = np.flatnonzero(self.hashes[at] == h)
-            found.append((hit, np.full(len(hit), size), self.number[at[hit]]))
+            hit, piece = self._pieces(h)
+            found.append((hit, np.full(len(hit), size), piece))
         start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(start, kind="stable")
         return start[order], size[order], piece[order]

@@ -15,6 +15,7 @@ from loglore.llm import chunked_bpe
 from loglore.llm.chunked_bpe import ChunkEncoder, encode_documents
 from loglore.llm.common import table, tokenizer_json
 from loglore.llm.encoding import PieceEncoder, byte_table
+from loglore.llm.lattice import Lattice
 from loglore.llm.queries import QUERIES
 from loglore.llm.token_files import read_ids, read_token_files, write_token_files
 from loglore.llm.token_rollup import TokenRollup, count_tokens
@@ -134,3 +135,19 @@ def test_rollup_query(spark, odd_dir):
     found = QUERIES["op7_token_rollup"](spark, odd_dir).collect()
     assert copies and {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in found} == cells
     assert len(found) == len(cells)
+
+
+def test_few_runs_of_bytes_are_searched_in_the_lattice(monkeypatch):
+    pieces = [b" ", *[bytes([c]) for c in range(97, 123)], b" ab", b"abc", b"zz"]
+    lattice = Lattice(pieces, np.full(len(pieces), -3.0))
+    searched = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: searched.append(len(v)) or search(a, v, *rest, **more))
+    words = [b" abcdefghijklm", b" zzzzzzzzzzzzzz", b" ab", b" " + b"qabc" * 40]
+    found = lattice.marginals(words)
+    # ` ab` at once or in three pieces; `qabc` forty times, with `abc` at once or in three pieces.
+    assert np.isclose(found[2], np.logaddexp(-3, -9))
+    assert np.isclose(found[3], -3 + 40 * (-3 + np.logaddexp(-3, -9)))
+    runs = sum(len(w) - i for n in (1, 2, 3) for w in words for i in range(n))
+    hits = sum(w[i : i + n] in pieces for n in (1, 2, 3) for w in words for i in range(len(w) - n + 1))
+    assert sum(searched) < hits + runs // 20
