@@ -7,6 +7,8 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from loglore.llm.common import process_cache
 
@@ -17,27 +19,19 @@ _LONGEST = 64
 _RUN = 256
 
 
+#: Stands for the ids of a piece that is not known.
+_NEW = b"new"
+
+
 class _Pieces(dict):
-    """Ids of pieces; one that is not known gives no ids and is noted."""
+    """Ids of pieces."""
 
     def __init__(self, known: dict[str, bytes | None]) -> None:
         super().__init__(known)
         self._kept = len(known)
-        self._missing: set[str] = set()
-        self.misses = 0
-
-    def __missing__(self, piece: str) -> bytes:
-        self._missing.add(piece)
-        self.misses += 1
-        return b""
-
-    def take_missing(self) -> set[str]:
-        taken, self._missing = self._missing, set()
-        return taken
 
     def forget(self, most: int) -> None:
         """Drop what came in since the last time, if it is too much: the newest pieces, and long ones."""
-        self._missing.clear()
         if len(self) == self._kept:
             return
         new = list(itertools.islice(reversed(self), len(self) - self._kept))
@@ -70,32 +64,36 @@ class PieceEncoder:
         self._first, self._later = _Pieces({"": b""}), _Pieces({"": None})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        self._learn(self._first, {c[0] for c in cut if c[0] not in self._first}, "")
-        later = self._later
-        get = later.__getitem__
-        out: list[bytes | None] = []
-        lacking = []
-        for i, c in enumerate(cut):
-            met = later.misses
-            try:
-                out.append(self._first[c[0]] + b"".join(map(get, c[1:])))
-            except TypeError:  # a piece that may not stand alone
-                out.append(None)
-            if later.misses > met and out[-1] is not None:
-                lacking.append(i)
-        if lacking:
-            self._learn(later, later.take_missing(), " ")
-            for i in lacking:
-                try:
-                    out[i] = self._first[cut[i][0]] + b"".join(map(get, cut[i][1:]))
-                except TypeError:
-                    out[i] = None
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = coded.indices.to_numpy().astype(np.int64)
+        firsts = [pieces[i] for i in index[bounds[:-1]].tolist()]
+        # The table has the ids of each different piece with a space before it, then those of each text's first.
+        index[bounds[:-1]] = len(pieces) + np.arange(len(texts))
+        self._learn(self._first, {p for p in firsts if p not in self._first}, "")
+        ids = list(map(self._later.get, pieces, itertools.repeat(_NEW)))
+        used = np.bincount(index, minlength=len(ids))
+        new = [i for i, found in enumerate(ids) if found is _NEW]
+        self._learn(self._later, {pieces[i] for i in new if used[i]}, " ")
+        for i in new:
+            ids[i] = self._later[pieces[i]] if used[i] else b""
+        ids += [self._first[p] for p in firsts]
+        table = pa.array(ids, pa.large_binary())
+        joined = table.take(pa.array(index))
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(index) + 1)[bounds].tolist()
+        data = joined.buffers()[2]
+        out = [data.slice(a, b - a).to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]
+        if table.null_count:  # a piece that may not stand alone
+            alone = np.array([i is not None for i in ids])[index]
+            whole = np.flatnonzero(~np.logical_and.reduceat(alone, bounds[:-1])).tolist()
+            for i, found in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = found
         self._first.forget(self._remembered)
-        later.forget(self._remembered)
+        self._later.forget(self._remembered)
         return out
 
     def _learn(self, cache: _Pieces, new: set[str], lead: str) -> None:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from loglore.llm import chunked_bpe
 from loglore.llm.chunked_bpe import ChunkEncoder, encode_documents
 from loglore.llm.common import table, tokenizer_json
-from loglore.llm.encoding import PieceEncoder, byte_table
+from loglore.llm.encoding import PieceEncoder, _Pieces, byte_table
 from loglore.llm.lattice import Lattice
 from loglore.llm.queries import QUERIES
 from loglore.llm.token_files import read_ids, read_token_files, write_token_files
@@ -137,6 +137,26 @@ def test_rollup_query(spark, odd_dir):
     assert len(found) == len(cells)
 
 
+def test_each_different_piece_is_looked_up_once_a_call():
+    class Counted(_Pieces):
+        n = 0
+
+        def __getitem__(self, piece):
+            Counted.n += 1
+            return super().__getitem__(piece)
+
+        def get(self, *args):
+            Counted.n += 1
+            return super().get(*args)
+
+    pieces = PieceEncoder(CONTENT)
+    pieces._later = Counted({"": None})
+    texts = ["one two three four " * 50 + "five", "six  two one", "", "one", "two two"] * 4
+    expected = [np.array(e.ids, pieces.dtype).tobytes() for e in pieces.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert pieces.encode(texts) == expected
+    assert Counted.n < 30
+
+
 def test_few_runs_of_bytes_are_searched_in_the_lattice(monkeypatch):
     pieces = [b" ", *[bytes([c]) for c in range(97, 123)], b" ab", b"abc", b"zz"]
     lattice = Lattice(pieces, np.full(len(pieces), -3.0))
