@@ -14,6 +14,8 @@ from loglore.llm.common import process_cache
 
 #: Pieces that a worker remembers; beyond it, new ones are encoded each time they come.
 REMEMBERED = 1_000_000
+#: Pieces whose number of ids a worker remembers; a job that counts goes on in the JVM, beside the workers' memory.
+COUNTED = 200_000
 _LONGEST = 64
 #: New pieces that are encoded as one text.
 _RUN = 256
@@ -24,9 +26,9 @@ _NEW = b"new"
 
 
 class _Pieces(dict):
-    """Ids of pieces."""
+    """Ids of pieces, or their numbers."""
 
-    def __init__(self, known: dict[str, bytes | None]) -> None:
+    def __init__(self, known: dict[str, bytes | int | None]) -> None:
         super().__init__(known)
         self._kept = len(known)
 
@@ -50,6 +52,9 @@ class PieceEncoder:
     encoded whole. Ids come as little-endian bytes of `width` each.
     """
 
+    #: What is kept of a piece without ids.
+    _nothing: bytes | int = b""
+
     def __init__(self, content: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -61,11 +66,25 @@ class PieceEncoder:
         self.dtype = f"<u{self.width}"
         self._remembered = remembered
         self._lengths = np.array([len(b) for b in byte_table(content)], np.int64)
-        self._first, self._later = _Pieces({"": b""}), _Pieces({"": None})
+        self._first, self._later = _Pieces({"": self._nothing}), _Pieces({"": None})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
+        ids, index, bounds = self._looked_up(texts)
+        table = pa.array(ids, pa.large_binary())
+        joined = table.take(pa.array(index))
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(index) + 1)[bounds].tolist()
+        data = joined.buffers()[2]
+        out = [data.slice(a, b - a).to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]
+        if table.null_count:
+            whole = _not_alone(ids, index, bounds)
+            for i, found in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = found
+        return out
+
+    def _looked_up(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """What is kept of each different piece, None where it can't stand alone; the texts' pieces, and their bounds."""
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
@@ -80,21 +99,11 @@ class PieceEncoder:
         new = [i for i, found in enumerate(ids) if found is _NEW]
         self._learn(self._later, {pieces[i] for i in new if used[i]}, " ")
         for i in new:
-            ids[i] = self._later[pieces[i]] if used[i] else b""
+            ids[i] = self._later[pieces[i]] if used[i] else self._nothing
         ids += [self._first[p] for p in firsts]
-        table = pa.array(ids, pa.large_binary())
-        joined = table.take(pa.array(index))
-        ends = np.frombuffer(joined.buffers()[1], np.int64, len(index) + 1)[bounds].tolist()
-        data = joined.buffers()[2]
-        out = [data.slice(a, b - a).to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:], strict=False)]
-        if table.null_count:  # a piece that may not stand alone
-            alone = np.array([i is not None for i in ids])[index]
-            whole = np.flatnonzero(~np.logical_and.reduceat(alone, bounds[:-1])).tolist()
-            for i, found in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-                out[i] = found
         self._first.forget(self._remembered)
         self._later.forget(self._remembered)
-        return out
+        return ids, index, bounds
 
     def _learn(self, cache: _Pieces, new: set[str], lead: str) -> None:
         """Add the ids of `new` pieces; None marks one that ends in white space."""
@@ -104,7 +113,11 @@ class PieceEncoder:
                 alone.append(p)
             else:
                 cache[p] = cache.get(p)
-        cache.update(zip(alone, self._joined_ids(alone) if lead else self._ids(alone), strict=True))
+        found = self._joined_ids(alone) if lead else self._ids(alone)
+        cache.update(zip(alone, map(self._kept, found), strict=True))
+
+    def _kept(self, ids: bytes) -> bytes | int:
+        return ids
 
     def _joined_ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces with a space before each, many pieces encoded as one text.
@@ -129,12 +142,49 @@ class PieceEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
 
+class PieceCounter(PieceEncoder):
+    """How many ids the library gives for a whole text; of a word, the number alone is remembered."""
+
+    _nothing = 0
+
+    def __init__(self, content: str, remembered: int = COUNTED) -> None:
+        super().__init__(content, remembered)
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.empty(0, np.int64)
+        numbers, index, bounds = self._looked_up(texts)
+        out = np.add.reduceat(np.array([n or 0 for n in numbers], np.int64)[index], bounds[:-1])
+        whole = _not_alone(numbers, index, bounds) if None in numbers else []
+        if whole:
+            out[whole] = list(map(self._kept, self._ids([texts[i] for i in whole])))
+        return out
+
+    def _kept(self, ids: bytes) -> int:
+        return len(ids) // self.width
+
+
+def _not_alone(found: list, index: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """The texts with a piece that may not stand alone."""
+    alone = np.array([f is not None for f in found])[index]
+    return np.flatnonzero(~np.logical_and.reduceat(alone, bounds[:-1])).tolist()
+
+
 def encoder(content: str) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
-    cache = process_cache("encoders")
+    return _cached("encoders", PieceEncoder, content)
+
+
+def counter(content: str) -> PieceCounter:
+    """One counter per worker process and vocabulary."""
+    return _cached("counters", PieceCounter, content)
+
+
+def _cached(name: str, kind: type[PieceEncoder], content: str) -> PieceEncoder:
+    cache = process_cache(name)
     key = hash(content)
     if key not in cache:
-        cache[key] = PieceEncoder(content)
+        cache[key] = kind(content)
     return cache[key]
 
 

@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglore.llm.common import slices, texts_of
-from loglore.llm.encoding import encoder
+from loglore.llm.common import WORD, slices, texts_of
+from loglore.llm.encoding import counter
 from loglore.operators.sizing import fits_broadcast, restrict
 from loglore.session import materialise
 
 _KEY = ["doc_key", "tokenizer_version"]
 _CELL = ["source", "lang", "tokenizer_version"]
 _LEDGER = "doc_key string, tokenizer_version string, source string, lang string, docs long, tokens long"
+#: Larger keys of a batch are not broadcast; the ledger's rows are dealt by key after the join in any case.
+_KEYS_BYTES = 8 * 1024 * 1024
+_IN_WORD = WORD.removesuffix("+")
+# The first letter or digit of a word that has one, with the rest of the word behind it; or what stands before.
+_SPELT = r"[^\p{L}\p{N}]++|([\p{L}\p{N}])" + _IN_WORD + "*+"
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text, null for a null one.
+
+    One character is left of each word, so a text's words never stand in memory as strings.
+    """
+    return F.length(F.regexp_replace(text, rf"({_IN_WORD}){_IN_WORD}*+|[\x20\x09-\x0D]++", "$1"))
+
+
+def spelt_word_count(text: Column) -> Column:
+    """Words with a letter or digit (\\p{L}, \\p{N}), counted likewise."""
+    return F.length(F.regexp_replace(text, _SPELT, "$1"))
 
 
 def count_tokens(docs: DataFrame, content: str, version: str) -> DataFrame:
@@ -27,11 +44,13 @@ def count_tokens(docs: DataFrame, content: str, version: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(content)
+        enc = counter(content)
         for some in slices(batches):
-            counts = [len(a) // enc.width for a in enc.encode(texts_of(some.column("text")))]
+            counts = enc.count(texts_of(some.column("text")))
             kept = [some.column(c).cast(schema.field(c).type) for c in ("doc_id", "source", "lang")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(counts, np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts)], schema=schema)
+        # The worker stays while the JVM works on.
+        pa.default_memory_pool().release_unused()
 
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(
         run, "doc_id long, source string, lang string, n_tokens long"
@@ -96,7 +115,7 @@ class TokenRollup:
         new = materialise(new, "rollup-batch")
         ledger = self._committed("ledger")
         keys = new.select(*_KEY)
-        known = restrict(ledger.drop("batch"), keys, _KEY, small=fits_broadcast(keys))
+        known = restrict(ledger.drop("batch"), keys, _KEY, small=fits_broadcast(keys, _KEYS_BYTES))
         # What the committed batches say of a document sums to one row per cell, or to nothing.
         before = (
             known.groupBy(*_KEY, "source", "lang")

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loglore.llm import chunked_bpe
+from loglore.llm import chunked_bpe, encoding
 from loglore.llm.chunked_bpe import ChunkEncoder, encode_documents
-from loglore.llm.common import table, tokenizer_json
-from loglore.llm.encoding import PieceEncoder, _Pieces, byte_table
+from loglore.llm.common import WORD, table, tokenizer_json
+from loglore.llm.encoding import COUNTED, PieceCounter, PieceEncoder, _Pieces, byte_table
 from loglore.llm.lattice import Lattice
 from loglore.llm.queries import QUERIES
 from loglore.llm.token_files import read_ids, read_token_files, write_token_files
-from loglore.llm.token_rollup import TokenRollup, count_tokens
+from loglore.llm.token_rollup import TokenRollup, count_tokens, spelt_word_count, word_count
 from tests.llm.conftest import DOCS
 
 CONTENT = tokenizer_json()
@@ -46,6 +48,49 @@ def test_pieces_and_chunks_give_the_library_s_ids(remembered):
     assert chunks.reused > 0
 
 
+@pytest.mark.parametrize("remembered", [0, 50, COUNTED])
+def test_counted_pieces_give_the_library_s_number_of_ids(remembered):
+    rng = random.Random(11)
+    parts = ["a", "Z", " ", "  ", "\n", "é", "日本", "<|endoftext|>", "'s", "1", "!", "\x85", "😀", " ", "x" * 400]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 9, 300]))) for _ in range(120)]
+    texts += ["", " ", "one two", *(d[1] or "" for d in DOCS)]
+    pieces = PieceCounter(CONTENT, remembered)
+    for _ in range(2):
+        assert pieces.count(texts).tolist() == [len(ids_of(t)) for t in texts]
+    assert len(pieces._later) <= remembered + 1 and pieces.count([]).tolist() == []
+
+
+def test_counting_tokens_remembers_numbers_alone_and_few(docs):
+    """Ids of a million pieces took two workers of an executor beyond its memory, together with the JVM."""
+    run = count_tokens(docs, CONTENT, "v")
+    assert run.count() == len(DOCS)
+    cache: dict = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("loglore.llm.encoding.process_cache", lambda name: cache)
+        (held,) = {encoding.counter(CONTENT) for _ in range(2)}
+    texts = [" ".join(f"{i:x}" for i in range(at, at + 2500)) for at in range(0, COUNTED + 50_000, 2500)]
+    found = [held.count(texts[i : i + 20]) for i in range(0, len(texts), 20)]
+    assert np.concatenate(found)[::25].tolist() == [len(ids_of(t)) for t in texts[::25]]
+    assert COUNTED <= len(held._later) <= COUNTED + 1
+    kept = sum(sys.getsizeof(p) for p in held._later) + sys.getsizeof(held._later)
+    assert kept < 32 * 1024 * 1024 and all(n is None or type(n) is int for n in held._later.values())
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    rng = random.Random(5)
+    parts = ["a", "Z", " ", "  ", "\n", "\t", "\x0b", "\x1f", "\x85", "\xa0", "é", "日", "𝒳", "😀", "٣", "½", "-", "--", "$1", "\\", "_", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 5, 60]))) for _ in range(600)]
+    texts += [None, "", " ", " - ", "-" * 100_000, "x" * 100_000, "--a " * 20_000, "-- " * 20_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    spelt = F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    counted = rows.select(word_count(F.col("text")), spelt_word_count(F.col("text")))
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    # The size of no array is -1 or null, by setting; a null text has no count.
+    listed = rows.select(F.when(F.col("text").isNotNull(), F.size(words)), F.when(F.col("text").isNotNull(), F.size(spelt)))
+    assert list(map(tuple, counted.collect())) == list(map(tuple, listed.collect()))
+
+
 def test_chunks_depend_on_content_alone():
     text = np.frombuffer(" ".join(f"w{i * i}" for i in range(4000)).encode(), np.uint8)
     ends = {int(s) for s in chunked_bpe.chunk_starts(text)}
