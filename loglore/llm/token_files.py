@@ -21,6 +21,12 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 4_000
 DICTIONARY_BYTES = 64 * 1024
 #: A shard is closed when its frames reach so many bytes.
 SHARD_BYTES = 1024 * 1024
+#: One shard a row group and page, so that no task writes or reads a whole file's shards at once.
+_LAID_OUT = {
+    "parquet.block.size": SHARD_BYTES,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size.row.check.min": 1,
+}
 
 _SHARD = (
     "part int, seq int, start_in_part long, n_ids long, width int, dict_hash string, "
@@ -113,6 +119,8 @@ def write_token_files(docs: DataFrame, path: str, content: str, end_id: int = EN
                     ids, counts, offsets, frames = [], [], [], []
         if ids:
             yield shard()
+        # The worker stays while the JVM works on.
+        pa.default_memory_pool().release_unused()
 
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("_row")]
     ordered = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys)
@@ -121,6 +129,7 @@ def write_token_files(docs: DataFrame, path: str, content: str, end_id: int = EN
         .drop("_row")
         .mapInArrow(pack, _SHARD)
         .write.mode("overwrite")
+        .options(**_LAID_OUT)
         .parquet(f"{path}/shards")
     )
 
@@ -186,6 +195,7 @@ def _documents(shards: DataFrame, held: tuple[str, bytes], with_ids: bool, only:
                 else [pa.array([], f.type) for f in schema],
                 schema=schema,
             )
+        pa.default_memory_pool().release_unused()
 
     kind = "ids array<int>" if with_ids else "ids_crc32 long"
     return shards.select(

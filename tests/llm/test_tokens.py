@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -91,6 +93,58 @@ def test_words_are_counted_without_a_list_of_them(spark):
     assert list(map(tuple, counted.collect())) == list(map(tuple, listed.collect()))
 
 
+def test_ids_of_words_are_remembered_in_arrays():
+    """A string and a bytes object for each piece took twice the memory: two workers and the JVM went beyond an executor's."""
+    rng = random.Random(3)
+    words = [f"{rng.getrandbits(rng.choice([20, 28, 40])):x}" for _ in range(250_000)]
+    pieces = PieceEncoder(CONTENT)
+    texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+    pieces.encode(["What is imported late, and what arrays are made of"])
+    tracemalloc.start()
+    try:
+        first = [hash(x) for i in range(0, len(texts), 25) for x in pieces.encode(texts[i : i + 25])]
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 100 * len(set(words))
+    again = [x for i in range(0, len(texts), 25) for x in pieces.encode(texts[i : i + 25])]
+    assert [hash(x) for x in again] == first
+    assert [np.frombuffer(x, pieces.dtype).tolist() for x in again[:5]] == [ids_of(t) for t in texts[:5]]
+
+
+@pytest.mark.parametrize("remembered", [0, 700, 10**6])
+def test_short_pieces_are_found_by_all_their_bytes(remembered):
+    """Zeros at the end, prefixes, the longest short piece and one byte more are pieces of their own."""
+    rng = random.Random(9)
+    parts = ["a", "b", "\x00", "é", "日", "\n"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 17))) for _ in range(3000)]
+    words += ["a" * n + "\x00" * m for n in range(18) for m in range(18 - n)]
+    words = [w for w in words if w and w[-1] != "\n"]
+    pieces = PieceEncoder(CONTENT, remembered)
+    for _ in range(3):
+        rng.shuffle(words)
+        texts = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+        texts[1::9] = [f"{t}\n a  b" for t in texts[1::9]]
+        texts[2::9] = [f"{t} " for t in texts[2::9]]
+        found = [x for i in range(0, len(texts), 8) for x in pieces.encode(texts[i : i + 8])]
+        assert [np.frombuffer(x, pieces.dtype).tolist() for x in found] == [ids_of(t) for t in texts]
+    assert pieces._short_later._held <= remembered
+
+
+def test_each_shard_is_a_row_group(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(10_000))) for i in range(40)]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path), CONTENT)
+    groups = [
+        meta.row_group(g).num_rows
+        for f in (tmp_path / "shards").glob("*.parquet")
+        for meta in [pq.ParquetFile(f).metadata]
+        for g in range(meta.num_row_groups)
+    ]
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(groups) > 2 and set(groups) == {1}
+    assert read_token_files(spark, str(tmp_path)).count() == len(rows)
+
+
 def test_chunks_depend_on_content_alone():
     text = np.frombuffer(" ".join(f"w{i * i}" for i in range(4000)).encode(), np.uint8)
     ends = {int(s) for s in chunked_bpe.chunk_starts(text)}
